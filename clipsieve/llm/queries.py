@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup
+from . import dedup, mixing
 from .common import Scratch
 
 
@@ -18,9 +18,37 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(_table(spark, sf_dir, "documents"), index, scratch)
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup,)}
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), Scratch(spark, "op2")).drop("source")
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup)}
+
+#: Targets: weights 5, 2, 1 in turn, 150 % of all words, 2 times a source's at most.
+#: The level is that of the first source in order of cap / weight which stays below its cap.
+_TARGETS = r"""
+    sizes AS (
+        SELECT source, key, size, doc_id FROM (SELECT *, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key,
+               coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM {docs})),
+    totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
+    weighted AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM totals),
+    filled AS (
+        SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - coalesce(sum(2.0::DOUBLE * source_size) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+        FROM weighted WINDOW before AS (ORDER BY 2.0::DOUBLE * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    targets AS (
+        SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * (SELECT level FROM filled WHERE level * weight < 2.0::DOUBLE * source_size ORDER BY 2.0::DOUBLE * source_size / weight, source LIMIT 1)) AS target FROM filled)
+"""
+
+_TAKEN = """
+    taken AS (
+        SELECT doc_id, key, size, source_size, target,
+               CASE WHEN source_size = 0 THEN 0 ELSE floor(target)::BIGINT // source_size * size
+                    + greatest(0, least(size, floor(target)::BIGINT % source_size - (sum(size) OVER (PARTITION BY source ORDER BY key) - size))) END::BIGINT AS taken
+        FROM (SELECT s.*, t.source_size, t.target FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source))
+"""
 
 ORACLES = {
+    "op2_mix_sources": f"WITH {_TARGETS.format(docs='documents')}, {_TAKEN} SELECT doc_id, size, source_size, target, taken FROM taken",
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
