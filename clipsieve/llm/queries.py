@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, mixing
+from . import dedup, mixing, pieces
 from .common import Scratch
 
 
@@ -22,7 +22,18 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), Scratch(spark, "op2")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup)}
+def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"), piece_model(), ("n_tokens", "ids_sha256", "decoded_sha256", "covered"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op6_sentencepiece)}
 
 #: Targets: weights 5, 2, 1 in turn, 150 % of all words, 2 times a source's at most.
 #: The level is that of the first source in order of cap / weight which stays below its cap.
