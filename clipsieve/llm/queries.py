@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import dedup, mixing, pieces
+from . import dedup, language, mixing, pieces
 from .common import Scratch
 
 
@@ -33,7 +34,22 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), piece_model(), ("n_tokens", "ids_sha256", "decoded_sha256", "covered"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op6_sentencepiece)}
+def _fold(n: int) -> Column:
+    """crc32 of doc_id as text, mod n (null: that of the empty text)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``doc_id, lang_pred, score`` with profiles learned outside the held-out fold."""
+    return language.identify(docs, language.learn_profiles(docs.filter(_fold(3) != 1)))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identified(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op6_sentencepiece, op10_language_id)}
 
 #: Targets: weights 5, 2, 1 in turn, 150 % of all words, 2 times a source's at most.
 #: The level is that of the first source in order of cap / weight which stays below its cap.
