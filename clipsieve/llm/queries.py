@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, language, mixing, pieces
+from . import dedup, language, mixing, pieces, toxicity
 from .common import Scratch
 
 
@@ -49,7 +49,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op6_sentencepiece, op10_language_id)}
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    train = toxicity.training_rows(docs, labels.filter(_fold(5) != 0), Scratch(spark, "op1"))
+    found = toxicity.score(docs, toxicity.train_model(train))
+    return found.withColumn("held_out", _fold(5) == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_exact_dedup, op6_sentencepiece, op10_language_id)}
 
 #: Targets: weights 5, 2, 1 in turn, 150 % of all words, 2 times a source's at most.
 #: The level is that of the first source in order of cap / weight which stays below its cap.
