@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, jaccard, language, mixing, pieces, toxicity
+from . import dedup, jaccard, language, mixing, neighbours, pieces, toxicity
 from .common import Scratch
 
 
@@ -38,6 +38,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), piece_model(), ("n_tokens", "ids_sha256", "decoded_sha256", "covered"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op8"))
+
+
 def _fold(n: int) -> Column:
     """crc32 of doc_id as text, mod n (null: that of the empty text)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
@@ -60,7 +64,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", _fold(5) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_exact_dedup, op5_shingle_join, op6_sentencepiece, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_exact_dedup, op5_shingle_join, op6_sentencepiece, op8_neighbours, op10_language_id)}
 
 #: Targets: weights 5, 2, 1 in turn, 150 % of all words, 2 times a source's at most.
 #: The level is that of the first source in order of cap / weight which stays below its cap.
