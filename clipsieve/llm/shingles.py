@@ -56,8 +56,8 @@ def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def _slice(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """Shingle sets of the texts between ``offsets`` of ``data``."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts between ``offsets`` of ``data``, and each text's first word (one more at the end)."""
     _, space = _bytes()
     solid = ~space[data]
     bounds = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
@@ -68,8 +68,11 @@ def _slice(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         before[bounds] = False
         after[bounds - 1] = False
     starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-    words = _hash_words(data, starts, ends)
-    first = np.searchsorted(starts, offsets)
+    return _hash_words(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def _sets(words: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """Shingle sets of texts whose words are ``words[first[i]:first[i + 1]]``."""
     factors = [mix(np.array([k + 101], np.uint64))[0] | np.uint64(1) for k in range(WIDTH)]
     n = max(0, len(words) - WIDTH + 1)
     rolled = np.zeros(n, np.uint64)
@@ -89,11 +92,10 @@ def _slice(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; null and wordless texts: none.
+def word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For slices of ``texts`` in order: hashes of all words, and where each text's begin (one more at the end).
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer than
-    WIDTH words has one shingle, the whole sequence.
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; null counts as empty.
     """
     texts = texts.cast(pa.large_string())
     if texts.null_count:
@@ -104,10 +106,19 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1)
-        yield from _slice(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        yield _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 
 
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; null and wordless texts: none.
+
+    A text of fewer than WIDTH words has one shingle, the whole sequence.
+    """
+    for words, first in word_hashes(texts):
+        yield from _sets(words, first)
+
+
 def set_key(shingles: np.ndarray) -> int:
     """A signed 64-bit key of a set of shingles."""
     total = int(shingles.sum(dtype=np.uint64)) + int(np.bitwise_xor.reduce(shingles, initial=np.uint64(0))) * int(_ODD) + len(shingles)
