@@ -138,6 +138,30 @@ def distances(doc: np.ndarray, known: np.ndarray, ranks: np.ndarray, size: int)
     return out.sum(axis=0)
 
 
+class Identifier:
+    """Predicts the language of single texts from the profiles learned."""
+
+    def __init__(self, profiles: dict[str, np.ndarray], size: int = PROFILE):
+        self.names, self.size = sorted(profiles), size
+        self.known = np.unique(np.concatenate([profiles[x] for x in self.names])) if self.names else np.zeros(0, np.int64)
+        self.ranks = np.full((len(self.known), len(self.names)), -1, np.int64)
+        for k, name in enumerate(self.names):
+            self.ranks[np.searchsorted(self.known, profiles[name]), k] = np.arange(len(profiles[name]))
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        if not text or not len(self.known):
+            return UNKNOWN, 0.0
+        grams, counts = ngram_counts(text)
+        if not len(grams):
+            return UNKNOWN, 0.0
+        far = distances(profile(grams, counts, self.size), self.known, self.ranks, self.size)
+        best = int(np.argmin(far))
+        rest = np.delete(far, best)
+        if not len(rest):
+            return self.names[best], 1.0
+        return self.names[best], float((rest.min() - far[best]) / rest.min()) if rest.min() else 0.0
+
+
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, lang_pred, score`` for every row of ``docs``.
 
@@ -148,29 +172,23 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFI
     no language was learned. Whole texts are read, in Arrow batches and without a
     shuffle; other columns are not read. Repeated rows give repeated rows.
     """
-    names = sorted(profiles)
-    known = np.unique(np.concatenate([profiles[x] for x in names])) if names else np.zeros(0, np.int64)
-    ranks = np.full((len(known), len(names)), -1, np.int64)
-    for k, name in enumerate(names):
-        ranks[np.searchsorted(known, profiles[name]), k] = np.arange(len(profiles[name]))
+    one = Identifier(profiles, size)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def one(text: str | None) -> tuple[str, float]:
-        if not text or not len(known):
-            return UNKNOWN, 0.0
-        grams, counts = ngram_counts(text)
-        if not len(grams):
-            return UNKNOWN, 0.0
-        far = distances(profile(grams, counts, size), known, ranks, size)
-        best = int(np.argmin(far))
-        rest = np.delete(far, best)
-        if not len(rest):
-            return names[best], 1.0
-        return names[best], float((rest.min() - far[best]) / rest.min()) if rest.min() else 0.0
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [one(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [id_col, "lang_pred", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(rows, schema)
+
+
+def identified_rows(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, in whose text a language is found; those with ``und`` are left out."""
+    one, at = Identifier(profiles, size), docs.columns.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([one(t)[0] != UNKNOWN for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -83,13 +83,14 @@ def _fold(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang_pred, score`` with profiles learned outside the held-out fold."""
-    return language.identify(docs, language.learn_profiles(docs.filter(_fold(3) != 1)))
+def language_profiles(docs: DataFrame) -> dict:
+    """Profiles learned outside the held-out fold."""
+    return language.learn_profiles(docs.filter(_fold(3) != 1))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = identified(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    found = language.identify(docs, language_profiles(docs))
     return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
