@@ -5,7 +5,7 @@ whole corpus) first, then by hash. Documents with equal sets are one class.
 
 1. Candidates. Two sets with Jaccard similarity t or more share one of each
    one's first ``n - ceil(t n) + 1`` shingles. Of every such shingle's list of
-   classes, only the pairs with its least class, the hub, are made.
+   classes (of similar size), only the pairs with its least class, the hub, are made.
 2. Overlaps. The hash range is cut into fragments; a candidate pair's overlap is
    counted in each fragment separately and summed per pair.
 3. Closing. Links make components. In a hub's group, two classes in different
@@ -273,12 +273,17 @@ def similar_classes(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
     levels = cast(_sketch(None, docs, SKETCH_BITS))
     rows = scratch.write(_prefixes(docs, levels, SKETCH_BITS, percent), "rows")
     leads = rows.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "key", "n")
-    lists = leads.groupBy("token").agg(F.min(F.struct("key", "n")).alias("hub"), F.max("key").alias("last")).filter("hub.key < last").drop("last")
-    stars = scratch.write(
-        leads.join(lists, "token").filter("key != hub.key")
-        .select(F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"), "key", "n").distinct(), "stars")
+    several = leads.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("token")
+    shared = scratch.write(leads.join(several, "token").distinct(), "shared")
     _free(docs)
-    keys = stars.select(F.col("hub").alias("h")).unionByName(stars.select(F.col("key").alias("h")))
+    # Sizes of linked sets differ by less than 100 / percent, so they lie in the same class of sizes or in
+    # neighbouring ones: a list has the sets of one class, whose least key is its hub, and those of the class below.
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
+    sided = shared.select("token", "key", "n", F.explode(F.array(F.struct(size.alias("size"), F.lit(True).alias("own")), F.struct((size + 1).alias("size"), F.lit(False).alias("own")))).alias("s")).select("token", "key", "n", "s.*")
+    hubs = sided.groupBy("token", "size").agg(F.min(F.when(F.col("own"), F.struct("key", "n"))).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1 AND hub IS NOT NULL")
+    lists = scratch.write(sided.join(hubs, ["token", "size"]).filter("key != hub.key").select("token", "size", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"), "key", "n"), "lists")
+    stars = scratch.write(lists.select("hub", "hub_n", "key", "n").distinct(), "stars")
+    keys = stars.select(F.col("hub").alias("h")).unionByName(stars.select(F.col("key").alias("h"))).distinct()
     wanted = cast(_sketch(keys, None, SKETCH_BITS))
     segments = scratch.write(_segments(docs, wanted, SKETCH_BITS), "segments")
     _free(docs)
@@ -298,16 +303,16 @@ def similar_classes(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
     linked = overlaps.filter(100 * F.col("overlap") >= percent * (F.col("n") + F.col("hub_n") - F.col("overlap"))).select(F.col("hub").alias("a"), F.col("key").alias("b"))
     links = scratch.write(linked, "links")
     roots = components(links, scratch, "first")
-    # hubs with a member outside their component and another member besides
-    known = overlaps.join(roots.select(F.col("node").alias("key"), F.col("root")), "key", "left").join(
-        roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
-    known = known.withColumns({"root": F.coalesce("root", "key"), "hub_root": F.coalesce("hub_root", "hub")}).withColumn("open", F.col("root") != F.col("hub_root"))
-    known = scratch.write(known, "known")
-    unsettled = known.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.max("open").alias("any"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("any AND m > 1 AND lo < hi").select("hub")
-    groups = known.join(unsettled, "hub", "left_semi")
+    # lists with members in different components, besides the hub
+    placed = lists.join(roots.select(F.col("node").alias("key"), F.col("root")), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    unsettled = placed.groupBy("token", "size").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token", "size")
+    members = placed.join(unsettled, ["token", "size"], "left_semi").select("hub", "key", "root").distinct()
+    groups = overlaps.join(members, ["hub", "key"]).join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
+    groups = scratch.write(groups.withColumn("open", F.col("root") != F.coalesce("hub_root", "hub")).drop("hub_root"), "groups")
+    _free(docs)
     apart = beside(groups).select("hub", "key", F.concat(F.array_except(mine, hubs), F.array_except(hubs, mine)).alias("part"))
     apart = apart.groupBy("hub", "key").agg(F.flatten(F.collect_list("part")).alias("apart"))
-    more = scratch.write(_close(groups.join(apart, ["hub", "key"]).drop("hub_root"), percent).distinct(), "more")
+    more = scratch.write(_close(groups.join(apart, ["hub", "key"]), percent).distinct(), "more")
     _free(docs)
     if more.limit(1).count():
         roots = components(links.unionByName(more), scratch, "second")
