@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ from .components import components
 #: Similarity in hundredths from which two sets are linked.
 PERCENT = 80
 #: Counters of the frequency sketch: 2 ** SKETCH_BITS, a byte each when sent to executors.
-SKETCH_BITS = 21
+SKETCH_BITS = 23
 #: Pieces into which sketches are cut to be added up.
 SKETCH_PIECES = 64
 #: Fragments of the hash range in which overlaps are counted.
@@ -66,6 +67,7 @@ def _sketch(hashes: DataFrame | None, docs: DataFrame | None, bits: int) -> byte
     Of every shingle of every text of ``docs``, or of the column ``h`` of
     ``hashes``. Tasks count into one array of fixed size; its pieces are dealt
     out by number and added in a stream, so no task holds more than its pieces.
+    A task's counts are cut at 255 when sent: what is that frequent comes last anyway.
     """
     schema = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("counts", T.BinaryType())])
     width = (1 << bits) // SKETCH_PIECES
@@ -89,14 +91,16 @@ def _sketch(hashes: DataFrame | None, docs: DataFrame | None, bits: int) -> byte
                 if n > 2_000_000:
                     add()
         add()
+        pack = zstandard.ZstdCompressor(level=1)
         for k in np.flatnonzero(total.reshape(SKETCH_PIECES, width).any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k * width : (k + 1) * width].tobytes()], pa.binary())], schema.names)
+            piece = np.minimum(total[k * width : (k + 1) * width], 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack.compress(piece.tobytes())], pa.binary())], schema.names)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(blob, np.uint32).astype(np.uint64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(zstandard.decompress(blob), np.uint8).astype(np.uint64)
         for k, x in sums.items():
             level = np.ceil(2 * np.log2(x + 1.0)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], schema.names)
