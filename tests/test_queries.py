@@ -13,7 +13,7 @@ from clipsieve.plans import registry  # noqa: E402
 
 def rows_of(frame):
     frame = frame[sorted(frame.columns)]
-    shown = lambda x: "null" if x is None or x != x or str(x) in ("NaT", "<NA>") else "%.6g" % (x + 0.0) if isinstance(x, float) else str(x)
+    shown = lambda x: "null" if x is None or str(x) in ("NaT", "<NA>", "nan") else "%.6g" % (x + 0.0) if isinstance(x, float) else str(x)
     return sorted(tuple(map(shown, r)) for r in frame.itertuples(index=False, name=None))
 
 
