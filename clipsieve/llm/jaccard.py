@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,8 @@ SKETCH_BITS = 23
 SKETCH_PIECES = 64
 #: Fragments of the hash range in which overlaps are counted.
 FRAGMENTS = 8
+#: Rounds in which lists are made (by shingle) and overlaps counted (by fragment), so that a round's shuffle files are a part of the whole.
+LIST_ROUNDS, OVERLAP_ROUNDS = 2, 4
 #: Members of a hub's group that are compared with how many others in one task.
 BLOCK = (256, 4096)
 
@@ -251,6 +253,13 @@ def _block(queries: pd.DataFrame, members: pd.DataFrame, percent: int) -> list[t
     return out
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # -- the join ---------------------------------------------------------------------
 
 
@@ -277,9 +286,15 @@ def similar_classes(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
     levels = cast(_sketch(None, docs, SKETCH_BITS))
     rows = scratch.write(_prefixes(docs, levels, SKETCH_BITS, percent), "rows")
     leads = rows.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "key", "n")
-    several = leads.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("token")
-    shared = scratch.write(leads.join(several, "token").distinct(), "shared")
-    _free(docs)
+    parts = []
+    for k in range(LIST_ROUNDS):
+        some = leads.filter(F.pmod("token", F.lit(LIST_ROUNDS)) == k)
+        several = some.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("token")
+        parts.append(scratch.write(some.join(several, "token").distinct(), f"shared{k}"))
+        _free(docs)
+    shared = _union(parts)
+    rows = scratch.write(rows.select("doc_id", "key", "n"), "classes")
+    scratch.drop("rows")
     # Sizes of linked sets differ by less than 100 / percent, so they lie in the same class of sizes or in
     # neighbouring ones: a list has the sets of one class, whose least key is its hub, and those of the class below.
     size = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
@@ -292,15 +307,23 @@ def similar_classes(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
     segments = scratch.write(_segments(docs, wanted, SKETCH_BITS), "segments")
     _free(docs)
 
-    def beside(pairs: DataFrame) -> DataFrame:
-        """Both segments of each pair, fragment by fragment."""
-        cut = pairs.select("hub", "key", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
-        of_hub = segments.select(F.col("key").alias("hub"), "fragment", F.col("segment").alias("hub_segment"))
-        return cut.join(of_hub, ["hub", "fragment"], "left").join(segments, ["key", "fragment"], "left")
-
     none = F.array().cast("array<bigint>")
-    mine, hubs = F.coalesce("segment", none), F.coalesce("hub_segment", none)
-    partial = beside(stars).select("hub", "key", F.size(F.array_intersect(mine, hubs)).alias("part"))
+    mine, hubs_own = F.coalesce("segment", none), F.coalesce("hub_segment", none)
+
+    def beside(pairs: DataFrame, part: Column, name: str) -> DataFrame:
+        """``hub, key, part`` of each pair and fragment, from both segments; a round for some of the fragments at a time."""
+        found = []
+        for k in range(OVERLAP_ROUNDS):
+            here = [f for f in range(FRAGMENTS) if f % OVERLAP_ROUNDS == k]
+            cut = pairs.select("hub", "key", F.explode(F.array(*[F.lit(f) for f in here])).alias("fragment"))
+            some = segments.filter(F.col("fragment").isin(here))
+            of_hub = some.select(F.col("key").alias("hub"), "fragment", F.col("segment").alias("hub_segment"))
+            both = cut.join(of_hub, ["hub", "fragment"], "left").join(some, ["key", "fragment"], "left")
+            found.append(scratch.write(both.select("hub", "key", part.alias("part")), f"{name}{k}"))
+            _free(docs)
+        return _union(found)
+
+    partial = beside(stars, F.size(F.array_intersect(mine, hubs_own)), "partial")
     overlaps = scratch.write(
         stars.join(partial.groupBy("hub", "key").agg(F.sum("part").alias("overlap")), ["hub", "key"]), "overlaps")
     _free(docs)
@@ -314,7 +337,8 @@ def similar_classes(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
     groups = overlaps.join(members, ["hub", "key"]).join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
     groups = scratch.write(groups.withColumn("open", F.col("root") != F.coalesce("hub_root", "hub")).drop("hub_root"), "groups")
     _free(docs)
-    apart = beside(groups).select("hub", "key", F.concat(F.array_except(mine, hubs), F.array_except(hubs, mine)).alias("part"))
+    apart = beside(groups, F.concat(F.array_except(mine, hubs_own), F.array_except(hubs_own, mine)), "apart")
+    scratch.drop("segments")
     apart = apart.groupBy("hub", "key").agg(F.flatten(F.collect_list("part")).alias("apart"))
     more = scratch.write(_close(groups.join(apart, ["hub", "key"]), percent).distinct(), "more")
     _free(docs)
