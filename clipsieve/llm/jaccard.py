@@ -36,8 +36,9 @@ from .components import components
 
 #: Similarity in hundredths from which two sets are linked.
 PERCENT = 80
-#: Counters of the frequency sketch: 2 ** SKETCH_BITS, a byte each when sent to executors.
-SKETCH_BITS = 23
+#: The frequency sketch has one counter for every 48 characters (some eight shingles) at least, so that the order is alike at every
+#: size, within these powers of two (a byte each when sent to executors: 32 MB at most).
+SKETCH_BITS = (16, 25)
 #: Pieces into which sketches are cut to be added up.
 SKETCH_PIECES = 64
 #: Fragments of the hash range in which overlaps are counted.
@@ -76,13 +77,14 @@ def _sketch(hashes: DataFrame | None, docs: DataFrame | None, bits: int) -> byte
     shift, whole = np.uint64(64 - bits), docs is not None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
+        total = np.zeros(1 << bits, np.uint16)
         held, n = [], 0
 
         def add() -> None:
             nonlocal held, n
             if held:
-                np.add(total, np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=1 << bits), out=total, casting="unsafe")
+                at, counts = np.unique(np.concatenate(held) >> shift, return_counts=True)
+                total[at] = np.minimum(total[at] + counts, 60_000)
             held, n = [], 0
 
         for batch in batches:
@@ -90,7 +92,7 @@ def _sketch(hashes: DataFrame | None, docs: DataFrame | None, bits: int) -> byte
             for part in shingles.shingle_sets(column) if whole else [shingles.mix(column.to_numpy(zero_copy_only=False).view(np.uint64))]:
                 held.append(part)
                 n += len(part)
-                if n > 2_000_000:
+                if n > 1_000_000:
                     add()
         add()
         pack = zstandard.ZstdCompressor(level=1)
@@ -119,12 +121,13 @@ def _sketch(hashes: DataFrame | None, docs: DataFrame | None, bits: int) -> byte
 
 
 def _prefixes(docs: DataFrame, levels, bits: int, percent: int) -> DataFrame:
-    """``doc_id, key, n, prefix`` of every document: its class (key, n) and leading shingles.
+    """``doc_id, key, n, prefix, last`` of every document: its class (key, n), leading shingles, and the last one's place in the global order.
 
     A task gives the prefix of a class once; rows after the first have none.
     """
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())),
+        T.StructField("last", T.LongType()),
     ])
     shift = np.uint64(64 - bits)
 
@@ -132,17 +135,19 @@ def _prefixes(docs: DataFrame, levels, bits: int, percent: int) -> DataFrame:
         level = np.frombuffer(levels.value, np.uint8)
         given: set[tuple[int, int]] = set()
         for batch in batches:
-            keys, sizes, leads = [], [], []
+            keys, sizes, leads, lasts = [], [], [], []
             for s in shingles.shingle_sets(batch.column(1)):
-                n, key, lead = len(s), shingles.set_key(s), None
+                n, key, lead, last = len(s), shingles.set_key(s), None, None
                 if n and (key, n) not in given:
                     given.add((key, n))
-                    order = np.lexsort((s, level[(s >> shift).astype(np.int64)]))
-                    lead = (s[order[: prefix_length(n, percent)]]).view(np.int64)
+                    rare = level[(s >> shift).astype(np.int64)]
+                    order = np.lexsort((s, rare))[: prefix_length(n, percent)]
+                    lead, last = s[order].view(np.int64), int(rare[order[-1]]) << 55 | int(s[order[-1]]) >> 9
                 keys.append(key)
                 sizes.append(n)
                 leads.append(lead)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(leads, pa.list_(pa.int64()))], schema.names)
+                lasts.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(leads, pa.list_(pa.int64())), pa.array(lasts, pa.int64())], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(rows, schema)
 
@@ -283,8 +288,11 @@ def similar_classes(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cast = spark.sparkContext.broadcast
-    levels = cast(_sketch(None, docs, SKETCH_BITS))
-    rows = scratch.write(_prefixes(docs, levels, SKETCH_BITS, percent), "rows")
+    low, high = SKETCH_BITS
+    characters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(high, max(low, (characters // 48).bit_length()))
+    levels = cast(_sketch(None, docs, bits))
+    rows = scratch.write(_prefixes(docs, levels, bits, percent), "rows")
     leads = rows.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "key", "n")
     parts = []
     for k in range(LIST_ROUNDS):
@@ -293,26 +301,40 @@ def similar_classes(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
         parts.append(scratch.write(some.join(several, "token").distinct(), f"shared{k}"))
         _free(docs)
     shared = _union(parts)
+    # Of two sets, the one whose prefix ends first in the global order shares at most its listed leading shingles
+    # and all behind its prefix; so it links with sets of at most ``most`` shingles.
+    ends = rows.filter("prefix IS NOT NULL").select("key", "last", (F.col("n") - F.size("prefix")).alias("rest")).distinct()
+    shared = shared.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("listed")).join(ends, "key"), "key")
+    most = F.floor((100 + percent) * (F.col("listed") + F.col("rest")) / percent).cast("long") - F.col("n")
+    shared = scratch.write(shared.select("token", "key", "n", "last", most.alias("most")), "shared")
     rows = scratch.write(rows.select("doc_id", "key", "n"), "classes")
-    scratch.drop("rows")
+    scratch.drop("rows", *(f"shared{k}" for k in range(LIST_ROUNDS)))
+    _free(docs)
     # Sizes of linked sets differ by less than 100 / percent, so they lie in the same class of sizes or in
     # neighbouring ones: a list has the sets of one class, whose least key is its hub, and those of the class below.
     size = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
-    sided = shared.select("token", "key", "n", F.explode(F.array(F.struct(size.alias("size"), F.lit(True).alias("own")), F.struct((size + 1).alias("size"), F.lit(False).alias("own")))).alias("s")).select("token", "key", "n", "s.*")
-    hubs = sided.groupBy("token", "size").agg(F.min(F.when(F.col("own"), F.struct("key", "n"))).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1 AND hub IS NOT NULL")
-    lists = scratch.write(sided.join(hubs, ["token", "size"]).filter("key != hub.key").select("token", "size", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"), "key", "n"), "lists")
-    stars = scratch.write(lists.select("hub", "hub_n", "key", "n").distinct(), "stars")
-    keys = stars.select(F.col("hub").alias("h")).unionByName(stars.select(F.col("key").alias("h"))).distinct()
-    wanted = cast(_sketch(keys, None, SKETCH_BITS))
-    segments = scratch.write(_segments(docs, wanted, SKETCH_BITS), "segments")
-    _free(docs)
+    sides = F.array(F.struct(size.alias("size"), F.lit(True).alias("own")), F.struct((size + 1).alias("size"), F.lit(False).alias("own")))
+    sided = shared.select("*", F.explode(sides).alias("s")).select(*shared.columns, "s.*")
+    hubs = sided.groupBy("token", "size").agg(
+        F.min(F.when(F.col("own"), F.struct("key", "n", "last", "most"))).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1 AND hub IS NOT NULL")
+    can = F.when(F.col("last") < F.col("hub.last"), F.col("most") >= F.col("hub.n")).when(F.col("last") > F.col("hub.last"), F.col("hub.most") >= F.col("n")).otherwise(True)
+    near = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
+    lists = scratch.write(sided.join(hubs, ["token", "size"]).filter("key != hub.key").select(
+        "token", "size", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"), "key", "n", "most", (can & near).alias("can")), "lists")
+    stars = scratch.write(lists.filter("can").select("hub", "hub_n", "key", "n").distinct(), "stars")
+
+    def segments_of(pairs: DataFrame, name: str) -> DataFrame:
+        keys = pairs.select(F.col("hub").alias("h")).unionByName(pairs.select(F.col("key").alias("h"))).distinct()
+        found = scratch.write(_segments(docs, cast(_sketch(keys, None, high - 2)), high - 2), name)
+        _free(docs)
+        return found
 
     none = F.array().cast("array<bigint>")
     mine, hubs_own = F.coalesce("segment", none), F.coalesce("hub_segment", none)
 
     def beside(pairs: DataFrame, part: Column, name: str) -> DataFrame:
         """``hub, key, part`` of each pair and fragment, from both segments; a round for some of the fragments at a time."""
-        found = []
+        found, segments = [], segments_of(pairs, f"{name}_segments")
         for k in range(OVERLAP_ROUNDS):
             here = [f for f in range(FRAGMENTS) if f % OVERLAP_ROUNDS == k]
             cut = pairs.select("hub", "key", F.explode(F.array(*[F.lit(f) for f in here])).alias("fragment"))
@@ -321,6 +343,7 @@ def similar_classes(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
             both = cut.join(of_hub, ["hub", "fragment"], "left").join(some, ["key", "fragment"], "left")
             found.append(scratch.write(both.select("hub", "key", part.alias("part")), f"{name}{k}"))
             _free(docs)
+        scratch.drop(f"{name}_segments")
         return _union(found)
 
     partial = beside(stars, F.size(F.array_intersect(mine, hubs_own)), "partial")
@@ -330,17 +353,20 @@ def similar_classes(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
     linked = overlaps.filter(100 * F.col("overlap") >= percent * (F.col("n") + F.col("hub_n") - F.col("overlap"))).select(F.col("hub").alias("a"), F.col("key").alias("b"))
     links = scratch.write(linked, "links")
     roots = components(links, scratch, "first")
-    # lists with members in different components, besides the hub
+    # lists with members in different components, besides the hub, that can link by their sizes
     placed = lists.join(roots.select(F.col("node").alias("key"), F.col("root")), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    unsettled = placed.groupBy("token", "size").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token", "size")
-    members = placed.join(unsettled, ["token", "size"], "left_semi").select("hub", "key", "root").distinct()
-    groups = overlaps.join(members, ["hub", "key"]).join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
+    range_ = placed.groupBy("token", "size").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least_n"), F.max("most").alias("most_most")).filter("lo < hi").drop("lo", "hi")
+    able = placed.join(range_, ["token", "size"]).filter("most >= least_n OR most_most >= n").select("token", "size", "hub", "hub_n", "key", "n", "root")
+    able = scratch.write(able, "able")
+    unsettled = able.groupBy("token", "size").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token", "size")
+    members = able.join(unsettled, ["token", "size"], "left_semi").select("hub", "hub_n", "key", "n", "root").distinct()
+    groups = members.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
     groups = scratch.write(groups.withColumn("open", F.col("root") != F.coalesce("hub_root", "hub")).drop("hub_root"), "groups")
     _free(docs)
     apart = beside(groups, F.concat(F.array_except(mine, hubs_own), F.array_except(hubs_own, mine)), "apart")
-    scratch.drop("segments")
     apart = apart.groupBy("hub", "key").agg(F.flatten(F.collect_list("part")).alias("apart"))
-    more = scratch.write(_close(groups.join(apart, ["hub", "key"]), percent).distinct(), "more")
+    groups = groups.join(apart, ["hub", "key"]).withColumn("overlap", F.expr("(n + hub_n - size(apart)) div 2"))
+    more = scratch.write(_close(groups, percent).distinct(), "more")
     _free(docs)
     if more.limit(1).count():
         roots = components(links.unionByName(more), scratch, "second")
