@@ -11,7 +11,7 @@ import pyarrow as pa
 #: Words in a shingle.
 WIDTH = 5
 #: Bytes of text hashed at once; a longer text goes alone.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
