@@ -9,7 +9,7 @@ with the index, whose buckets need no shuffle, and what is new is appended.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +70,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     normalise: Callable[[Column], Column] | None = None,
+    tie_cols: Sequence[str] = (),
 ) -> DataFrame:
     """One row per row of ``docs`` (dropped ones too), and the index extended.
 
@@ -91,10 +92,14 @@ def exact_dedup(
         docs.select(
             F.col(id_col).alias("id"),
             F.unhex(F.sha2(normalise(text) if normalise else text, 256)).alias("digest"),
+            *(F.col(c).alias(f"tie{k}") for k, c in enumerate(tie_cols)),
         ),
         "digests",
     )
-    groups = scratch.write(rows.groupBy("digest").agg(F.max("id").alias("top_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    ties = [f"tie{k}" for k in range(len(tie_cols))]
+    top = F.max(F.struct("id", *ties) if ties else F.col("id")).alias("top")
+    groups = rows.groupBy("digest").agg(top, F.count(F.lit(1)).alias("group_size"))
+    groups = scratch.write(groups.withColumn("top_id", F.col("top.id" if ties else "top")), "groups")
     known = index.read().filter(F.col("batch") != batch).select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
     fresh = groups.join(known.hint("merge"), "digest", "left_anti")
     index.append(fresh.select("digest", F.col("top_id").alias("keep_id"), F.lit(batch).alias("batch")))
@@ -103,17 +108,17 @@ def exact_dedup(
     else:
         groups = groups.withColumns({"known_id": F.lit(None).cast("long"), "known": F.lit(None).cast("boolean")})
     groups = groups.select(
-        "digest", "group_size", F.when(F.col("known"), F.col("known_id")).otherwise(F.col("top_id")).alias("keep_id"),
+        "digest", "group_size", "top", F.when(F.col("known"), F.col("known_id")).otherwise(F.col("top_id")).alias("keep_id"),
         F.coalesce("known", F.lit(False)).alias("known"),
     )
     least = max(1000, int(rows.count() * HOT_SHARE))
     hot = F.col("group_size") >= least
-    few = F.broadcast(groups.filter(hot).select("digest", F.struct("group_size", "keep_id", "known").alias("hot")))
+    few = F.broadcast(groups.filter(hot).select("digest", F.struct("group_size", "top", "keep_id", "known").alias("hot")))
     split = rows.join(few, "digest", "left")
-    common = split.filter(F.col("hot").isNotNull()).select("id", "digest", "hot.*")
-    rest = split.filter(F.col("hot").isNull()).select("id", "digest").join(groups.filter(~hot), "digest")
+    common = split.filter(F.col("hot").isNotNull()).select("id", "digest", *ties, "hot.*")
+    rest = split.filter(F.col("hot").isNull()).select("id", "digest", *ties).join(groups.filter(~hot), "digest")
     return common.unionByName(rest).select(
         F.col("id").alias(id_col), "keep_id", "group_size",
-        (F.col("id").eqNullSafe(F.col("keep_id")) & ~F.col("known")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        ((F.struct("id", *ties) if ties else F.col("id")).eqNullSafe(F.col("top")) & ~F.col("known")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"), *(F.col(t).alias(c) for t, c in zip(ties, tie_cols, strict=True)),
     )

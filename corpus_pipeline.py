@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsieve.llm import dedup, jaccard, language, mixing, pieces, queries
-from clipsieve.llm.common import Scratch
+from clipsieve.llm.common import Scratch, fresh_name
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,20 +20,36 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.identified_rows(docs, queries.language_profiles(docs))
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str, str]:
+    """``docs``, written with a number and a hash of each row, and the names of these two columns.
+
+    Ids may repeat or be null, so stages choose rows by them: the hash settles
+    ties of the id, and the number those of rows that repeat wholly.
+    """
+    row, tie = fresh_name(docs, "row"), fresh_name(docs, "tie")
+    return scratch.write(docs.select("*", F.monotonically_increasing_id().alias(row), F.xxhash64(*docs.columns).alias(tie)), "numbered"), row, tie
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts one row stays: that with the largest doc_id (null: the smallest), of repeated ids that with the largest row hash."""
     scratch = Scratch(spark, "pipeline-copies")
-    found = dedup.exact_dedup(docs, dedup.DigestIndex(spark, scratch.path("index")), scratch)
-    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("kept_sha"))
-    return docs.join(kept, same, "left_semi")
+    rows, row, tie = numbered(docs, scratch)
+    found = dedup.exact_dedup(rows, dedup.DigestIndex(spark, scratch.path("index")), scratch, tie_cols=(tie, row))
+    return rows.join(found.filter("kept").select(row), row, "left_semi").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links (five words, 0.8) the one with the smallest doc_id stays; rows that share an id stay together."""
-    found = jaccard.similar_classes(docs, Scratch(spark, "pipeline-near"))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Of documents connected by links (five words, 0.8) one row stays: that with the smallest doc_id (null: the largest), of repeated ids that with the smallest row hash.
+
+    Rows are the nodes, so rows that share an id are told apart.
+    """
+    scratch = Scratch(spark, "pipeline-near")
+    rows, row, tie = numbered(docs, scratch)
+    found = jaccard.similar_classes(rows.select(F.col(row).alias("doc_id"), "text"), scratch)
+    ranked = found.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, tie, F.col("doc_id").alias("id")), row)
+    first = F.min(F.struct(F.col("id").isNull(), "id", tie, row)).alias("first")
+    kept = ranked.groupBy("component_id").agg(first).select(F.col(f"first.{row}").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

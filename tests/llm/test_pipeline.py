@@ -81,3 +81,21 @@ def test_every_source_is_near_its_target(spark, folder):
     for r in corpus_pipeline.mix_sources(spark, docs, path).collect():
         words[r["source"]] += len(WORD.findall(r["text"]))
     assert all(abs(words[s] - target[s]) <= 1 for s in totals)
+
+
+def test_one_row_stays_of_repeats(spark):
+    """Rows that repeat wholly, ids that repeat with another text, and null ids."""
+    a, b, c, d = (prose(70 + k, 60) for k in range(4))
+    schema = "doc_id long, text string, row string"
+    docs = spark.createDataFrame([(1, a, "x"), (1, a, "x"), (1, a, "y"), (2, b, "x"), (2, c, "x"), (None, d, "x"), (None, d, "x"), (None, d, "y"), (None, c, "x"), (9, None, "x"), (None, "", "x")], schema)
+    for parts in (1, 5):
+        got = corpus_pipeline.drop_copies(spark, docs.repartition(parts), "").select("doc_id", "text").collect()
+        assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([(1, a), (2, b), (2, c), (None, d), (9, None)], "doc_id long, text string").collect()))
+    near = lambda text, k: edited(text, 0.01, k)
+    docs = spark.createDataFrame([(1, a, "x"), (5, b, "x"), (5, near(a, 1), "x"), (7, c, "x"), (7, c, "x"), (8, near(c, 2), "x"),
+                                  (None, d, "x"), (None, near(d, 3), "x"), (None, near(b, 4), "x"), (3, near(a, 5), "x")], schema)
+    for parts in (1, 5):
+        got = corpus_pipeline.drop_near_copies(spark, docs.repartition(parts), "").select("doc_id", "text").collect()
+        rest = [r for r in got if r["doc_id"] is not None]
+        assert sorted((r["doc_id"], r["text"]) for r in rest) == sorted([(1, a), (5, b), (7, c)])
+        assert len(got) == 4 and [r["text"] in (d, near(d, 3)) for r in got if r["doc_id"] is None] == [True]
