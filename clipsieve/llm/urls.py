@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 #: Time units (days here) of one join bucket; an interval is copied to each bucket that it meets.
 BUCKET = 64
-#: Labels of the longest host suffix that is looked up.
-MAX_LABELS = 10
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 
@@ -21,9 +19,9 @@ def host(url: Column) -> Column:
 
 def suffixes(host_: Column) -> Column:
     """The host and its parent domains, longest first (``a.b.c``: ``a.b.c, b.c, c``); none for an empty host."""
-    parts = F.slice(F.split(host_, r"\."), -F.least(F.size(F.split(host_, r"\.")), F.lit(MAX_LABELS)), F.lit(MAX_LABELS))
+    parts = F.split(host_, r"\.")
     return F.when(host_ == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.lit(MAX_LABELS)), ".")))
+        F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), ".")))
 
 
 def intervals(entries: DataFrame) -> DataFrame:

@@ -321,6 +321,14 @@ def test_url_lists(spark):
     assert urls.evaluate(captures, entries.limit(0), 365).filter("blocked").count() == 0
 
 
+def test_url_lists_know_deep_hosts(spark):
+    deep = "l12.l11.l10.l9.l8.l7.l6.l5.l4.l3.l2.l1"
+    captures = spark.createDataFrame([(1, f"http://{deep}/", 5), (2, f"http://x.{deep}/", 5), (3, f"http://y.{deep}/", 5), (4, f"http://z{deep}/", 5)], "id long, url string, fetched long")
+    entries = spark.createDataFrame([(deep, "block", 1), (f"x.{deep}", "allow", 1)], "key string, action string, listed long")
+    got = {r["id"]: (r["matched"], r["blocked"]) for r in urls.evaluate(captures, entries, 365).collect()}
+    assert got == {1: (deep, True), 2: (f"x.{deep}", False), 3: (deep, True), 4: (None, False)}
+
+
 # -- 8 ----------------------------------------------------------------------------
 
 
