@@ -46,15 +46,15 @@ def evaluate(captures: DataFrame, entries: DataFrame, horizon: int) -> DataFrame
     its domain. Without an active entry (or with a null or hostless URL or no
     fetch time) ``matched``, ``action`` and ``since`` are null and nothing is
     blocked. ``horizon``: the time up to which open intervals reach, not below
-    any fetch time. An id that repeats with another URL or time is evaluated each
-    time; rows that repeat wholly give one row. Other columns are not read.
+    any fetch time. Rows that repeat, with another URL or wholly, are evaluated each
+    time. Other columns are not read.
 
     Keys of captures are first reduced to distinct (host, time) pairs, so a host
     with a third of all captures is looked up once a day. Intervals are dealt to
     time buckets: a key with a long history meets only what was active near a
     capture. The answer goes back to captures by host and day.
     """
-    rows = captures.select("id", host(F.col("url")).alias("host"), F.col("fetched").cast("long").alias("fetched")).distinct()
+    rows = captures.select("id", host(F.col("url")).alias("host"), F.col("fetched").cast("long").alias("fetched"))
     asked = rows.select("host", "fetched").filter("host != '' AND fetched IS NOT NULL").distinct()
     keys = asked.select("host", "fetched", F.explode(suffixes(F.col("host"))).alias("key")).withColumn("bucket", F.expr(f"fetched div {BUCKET}"))
     spans = intervals(entries)

@@ -329,6 +329,13 @@ def test_url_lists_know_deep_hosts(spark):
     assert got == {1: (deep, True), 2: (f"x.{deep}", False), 3: (deep, True), 4: (None, False)}
 
 
+def test_url_lists_give_a_row_for_every_capture(spark):
+    captures = spark.createDataFrame([(1, "http://a.org/x", 5), (1, "http://a.org/y", 5), (1, "http://a.org/y", 5), (2, None, 5), (2, None, 5)], "id long, url string, fetched long")
+    entries = spark.createDataFrame([("a.org", "block", 1)], "key string, action string, listed long")
+    got = sorted((r["id"], r["blocked"]) for r in urls.evaluate(captures, entries, 365).collect())
+    assert got == [(1, True), (1, True), (1, True), (2, False), (2, False)]
+
+
 # -- 8 ----------------------------------------------------------------------------
 
 
