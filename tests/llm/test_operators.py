@@ -185,6 +185,28 @@ def test_resampling_prefers_target_text(spark):
     assert resampling.resample(docs.limit(0), labels, Scratch(spark, "t4")).count() == 0
 
 
+def test_buckets_grow_with_the_corpus():
+    assert [resampling.bucket_bits(8 * n) for n in (1 << 13, 1 << 22, 1 << 26, 1 << 29)] == [14, 23, 27, 30]
+
+
+def test_ratios_from_pieces_match_one_table(spark, corpus, monkeypatch):
+    """Beyond the largest piece size there are more pieces (here 128)."""
+    import pyarrow as pa
+
+    bits = 15
+    monkeypatch.setattr(resampling, "CHUNK", 10_000)
+    monkeypatch.setattr(resampling, "PIECE_BITS", 8)
+    rows = [(r["doc_id"], r["text"]) for r in corpus.collect()]
+    found = list(resampling._buckets(pa.array([t for _, t in rows]), bits))
+    raw, target = Counter(np.concatenate(found).tolist()), Counter(np.concatenate([b for (i, _), b in zip(rows, found, strict=True) if (i or 1) % 2 == 0]).tolist())
+    ratio = {b: float(resampling.log_ratio(np.array([n]), np.array([target[b]]), raw.total(), target.total(), 1 << bits)[0]) for b, n in raw.items()}
+    want = sorted((str(i), sum(ratio[x] for x in b.tolist()) / len(b) ** 0.5 if len(b) else 0.0) for (i, _), b in zip(rows, found, strict=True))
+    scratch = Scratch(spark, "t4b")
+    counts = scratch.write(resampling.count_models(corpus.withColumn("target", F.col("doc_id") % 2 == 0), bits), "counts")
+    got = sorted((str(r["doc_id"]), r["log_weight"]) for r in resampling.weights(corpus, counts, bits, scratch).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and [w for _, w in got] == pytest.approx([w for _, w in want], rel=1e-4, abs=1e-4)
+
+
 @pytest.mark.parametrize("k", [1, 7, 500, 999])
 def test_kth_largest(spark, k):
     values = np.round(np.random.default_rng(k).normal(size=1000), 2)
