@@ -1,54 +1,62 @@
 """Similarity join of documents on word shingles (Jaccard), by vertical partitioning.
 
-All shingles stand in one global order: rarer ones (by a counting sketch of the
-whole corpus) first, then by hash. Documents with equal sets are one class.
-
-1. Candidates. Two sets with Jaccard similarity t or more share one of each
+All shingles stand in one global order: rarer ones first (by the number of sets
+that have them), then by hash. Documents with equal sets are one class.
+
+1. Frequencies. Shingles are counted by bucket in a distributed table (see
+   ``buckets``), and every chunk of texts looks its own up. A shingle that is
+   alone in its bucket is in one set only and can't be shared. A class in which
+   such shingles fill the prefix can't link, and goes no further.
+2. Fragments. The global order is cut where the counted mass is even; each
+   class's shared shingles are kept as one segment a fragment.
+3. Candidates. Two sets with Jaccard similarity t or more share one of each
    one's first ``n - ceil(t n) + 1`` shingles. Of every such shingle's list of
    classes (of similar size), only the pairs with its least class, the hub, are made.
-2. Overlaps. The hash range is cut into fragments; a candidate pair's overlap is
-   counted in each fragment separately and summed per pair.
-3. Closing. Links make components. In a hub's group, two classes in different
+4. Overlaps. In each fragment separately a hub's segment meets those of its
+   partners, which pass by as a stream; partial counts are summed per pair.
+5. Closing. Links make components. In a hub's group, two classes in different
    components are compared by what sets each apart from the hub: their overlap
    follows from the overlaps with the hub and the number of differences that they
    share. Groups are cut into blocks, and only links leave a block.
 
-Steps 1 to 3 test every pair that shares a leading shingle, or find it in one
-component already; no pair is lost, and no pair is made within a component.
+Every pair that shares a leading shingle is tested, or found in one component
+already; no pair is lost, and no pair is made within a component.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import shingles
-from .common import Scratch
+from . import buckets, shingles
+from .common import Scratch, free, join_by_size
 from .components import components
 
 #: Similarity in hundredths from which two sets are linked.
 PERCENT = 80
-#: The frequency sketch has one counter for every 48 characters (some eight shingles) at least, so that the order is alike at every
-#: size, within these powers of two (a byte each when sent to executors: 32 MB at most).
-SKETCH_BITS = (16, 25)
-#: Pieces into which sketches are cut to be added up.
-SKETCH_PIECES = 64
-#: Fragments of the hash range in which overlaps are counted.
+#: Bits of a bucket's number, at least; there is a bucket for every character at least, some six for each shingle, at any size.
+MIN_BITS = 16
+#: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 8
-#: Rounds in which lists are made (by shingle) and overlaps counted (by fragment), so that a round's shuffle files are a part of the whole.
-LIST_ROUNDS, OVERLAP_ROUNDS = 2, 4
+#: Rounds in which texts look their shingles up, so that a round's files are a part of the whole.
+ROUNDS = 3
+#: The level of a bucket that was counted once: its shingle is in one set only.
+ALONE = 2
 #: Members of a hub's group that are compared with how many others in one task.
 BLOCK = (256, 4096)
+#: Partners of a hub that one task meets, unless they are less than a 10,000th of all.
+PARTNERS = 1000
 
-_SIGN = np.uint64(1 << 63)
+_SETS = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shared", T.LongType()),
+    T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("segments", T.ArrayType(T.BinaryType())),
+])
 
 
 def least_overlap(total: int | np.ndarray, percent: int = PERCENT):
@@ -61,133 +69,172 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-# -- sketches -------------------------------------------------------------------
+# -- frequencies ------------------------------------------------------------------
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Steps of half a power of two, one byte each; 1 gives ALONE."""
+    return np.ceil(2 * np.log2(counts + 1.0)).astype(np.uint8)
 
 
-def _sketch(hashes: DataFrame | None, docs: DataFrame | None, bits: int) -> bytes:
-    """Counts of hashes by their top bits, as levels (steps of half a power of two), one byte each.
+def _distinct_sets(texts: pa.Array, seen: set[tuple[int, int]]) -> Iterator[np.ndarray]:
+    """The sets of ``texts`` that ``seen`` lacks, which gets them."""
+    for s in shingles.shingle_sets(texts):
+        if len(s) and (name := (shingles.set_key(s), len(s))) not in seen:
+            seen.add(name)
+            yield s
 
-    Of every shingle of every text of ``docs``, or of the column ``h`` of
-    ``hashes``. Tasks count into one array of fixed size; its pieces are dealt
-    out by number and added in a stream, so no task holds more than its pieces.
-    A task's counts are cut at 255 when sent: what is that frequent comes last anyway.
+
+def frequencies(docs: DataFrame, bits: int) -> DataFrame:
+    """``piece, levels, mass``: how many sets of ``docs`` (``text``) have a shingle of each bucket, as levels, and the sum of counts by level.
+
+    Equal sets count once within a chunk; that they count again elsewhere only
+    makes a class go on that could have been left out.
     """
-    schema = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("counts", T.BinaryType())])
-    width = (1 << bits) // SKETCH_PIECES
-    shift, whole = np.uint64(64 - bits), docs is not None
+    low, shift = buckets.low_bits(bits), np.uint64(64 - bits)
+    sent = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("places", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("levels", T.BinaryType()), T.StructField("mass", T.ArrayType(T.LongType()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint16)
-        held, n = [], 0
+        held, n, seen = [], 0, set()
 
-        def add() -> None:
-            nonlocal held, n
-            if held:
-                at, counts = np.unique(np.concatenate(held) >> shift, return_counts=True)
-                total[at] = np.minimum(total[at] + counts, 60_000)
-            held, n = [], 0
+        def packed() -> pa.RecordBatch:
+            at, counts = np.unique((np.concatenate(held) >> shift).astype(np.int64), return_counts=True)
+            rows = [(k, places, buckets.pack(counts[lo:hi].astype(np.uint32))) for k, lo, hi, places in buckets.cut(at, low)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], sent.names)
 
         for batch in batches:
-            column = batch.column(0)
-            for part in shingles.shingle_sets(column) if whole else [shingles.mix(column.to_numpy(zero_copy_only=False).view(np.uint64))]:
-                held.append(part)
-                n += len(part)
-                if n > 1_000_000:
-                    add()
-        add()
-        pack = zstandard.ZstdCompressor(level=1)
-        for k in np.flatnonzero(total.reshape(SKETCH_PIECES, width).any(axis=1)).tolist():
-            piece = np.minimum(total[k * width : (k + 1) * width], 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack.compress(piece.tobytes())], pa.binary())], schema.names)
+            for s in _distinct_sets(batch.column(0), seen):
+                held.append(s)
+                n += len(s)
+                if n >= buckets.CHUNK:
+                    yield packed()
+                    held, n = [], 0
+                    seen.clear()
+        if n:
+            yield packed()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zstandard.decompress(blob), np.uint8).astype(np.uint64)
-        for k, x in sums.items():
-            level = np.ceil(2 * np.log2(x + 1.0)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], schema.names)
+        now, sums = None, np.zeros(0, np.int64)
 
-    source = docs.select("text") if docs is not None else hashes.select("h")
-    pieces = source.mapInArrow(count, schema).repartition(SKETCH_PIECES, "piece").mapInArrow(add_up, schema).collect()
-    out = np.zeros((SKETCH_PIECES, width), np.uint8)
-    for row in pieces:
-        out[row["piece"]] = np.frombuffer(row["counts"], np.uint8)
-    return out.tobytes()
+        def summed() -> pa.RecordBatch:
+            level = _levels(sums)
+            mass = np.bincount(level, sums, 256).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([buckets.pack(level)], pa.binary()), pa.array([mass.tolist()], pa.list_(pa.int64()))], schema.names)
 
-
-# -- sets, prefixes, segments -----------------------------------------------------
+        for batch in batches:
+            for k, places, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if k != now:
+                    if now is not None:
+                        yield summed()
+                    now, sums = k, np.zeros(1 << low, np.int64)
+                sums[buckets.places_of(places)] += buckets.unpack(counts, np.uint32)
+        if now is not None:
+            yield summed()
+
+    return docs.select("text").mapInArrow(count, sent).repartition("piece").sortWithinPartitions("piece").mapInArrow(add_up, schema)
+
+
+def fragment_cuts(table: DataFrame) -> np.ndarray:
+    """The FRAGMENTS - 1 places (level, then the hash's top 56 bits) that cut the mass of shared shingles evenly."""
+    mass = np.zeros(256)
+    for r in table.select(F.posexplode("mass").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect():
+        mass[r["level"]] = r["n"]
+    mass[: ALONE + 1] = 0
+    until = np.cumsum(mass)
+    out = []
+    for k in range(1, FRAGMENTS):
+        goal = until[-1] * k / FRAGMENTS
+        level = int(np.searchsorted(until, goal, "right"))
+        inside = (goal - (until[level] - mass[level])) / mass[level] if level < 256 and mass[level] else 0.0
+        out.append(min(level, 255) << 56 | int(inside * (2**56 - 1)))
+    return np.array(out, np.uint64)
 
 
-def _prefixes(docs: DataFrame, levels, bits: int, percent: int) -> DataFrame:
-    """``doc_id, key, n, prefix, last`` of every document: its class (key, n), leading shingles, and the last one's place in the global order.
+def _sets(asked: DataFrame, answered: DataFrame, bits: int, cuts: np.ndarray, percent: int) -> DataFrame:
+    """``doc_id, key, n, shared, prefix, segments`` of every document.
 
-    A task gives the prefix of a class once; rows after the first have none.
+    The last three stand at a class's first row in its chunk, if the class may
+    link: the number of shingles that other sets may have, those of them that lead
+    in the global order, and all of them as one segment a fragment.
     """
-    schema = T.StructType([
-        T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())),
-        T.StructField("last", T.LongType()),
-    ])
     shift = np.uint64(64 - bits)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels.value, np.uint8)
-        given: set[tuple[int, int]] = set()
-        for batch in batches:
-            keys, sizes, leads, lasts = [], [], [], []
-            for s in shingles.shingle_sets(batch.column(1)):
-                n, key, lead, last = len(s), shingles.set_key(s), None, None
-                if n and (key, n) not in given:
-                    given.add((key, n))
-                    rare = level[(s >> shift).astype(np.int64)]
-                    order = np.lexsort((s, rare))[: prefix_length(n, percent)]
-                    lead, last = s[order].view(np.int64), int(rare[order[-1]]) << 55 | int(s[order[-1]]) >> 9
-                keys.append(key)
-                sizes.append(n)
-                leads.append(lead)
-                lasts.append(last)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(leads, pa.list_(pa.int64())), pa.array(lasts, pa.int64())], schema.names)
-
-    return docs.select("doc_id", "text").mapInArrow(rows, schema)
-
-
-def _segments(docs: DataFrame, wanted, bits: int) -> DataFrame:
-    """``key, fragment, segment`` of the classes that ``wanted`` (a sketch of keys) may hold.
-
-    A segment has a set's shingles within one fragment of the hash range, so even
-    a long text gives short rows. Empty segments are left out.
+    def use(batch: pa.RecordBatch, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sets = list(shingles.shingle_sets(batch.column(1)))
+        at = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]) >> shift, return_inverse=True)[1]
+        seen: set[tuple[int, int]] = set()
+        keys, sizes, shared, leads, segments, begin = [], [], [], [], [], 0
+        for s in sets:
+            n, key = len(s), shingles.set_key(s)
+            level, begin = levels[at[begin : begin + n]], begin + n
+            many = level > ALONE
+            r, p = int(many.sum()), prefix_length(n, percent)
+            lead = parts = None
+            if n and n - r < p and (key, n) not in seen:
+                seen.add((key, n))
+                of = s[many]
+                place = level[many].astype(np.uint64) << np.uint64(56) | of >> np.uint64(8)
+                order = np.lexsort((of, place))
+                of, place = of[order], place[order]
+                lead = of[: p - (n - r)].view(np.int64)
+                parts = [np.sort(x.view(np.int64)).tobytes() for x in np.split(of, np.searchsorted(place, cuts))]
+            for column, x in ((keys, key), (sizes, n), (shared, r if parts else None), (leads, lead), (segments, parts)):
+                column.append(x)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()),
+                                          pa.array(leads, pa.list_(pa.int64())), pa.array(segments, pa.list_(pa.binary()))], _SETS.names)
+
+    return buckets.met(asked, answered, np.uint8, use, _SETS)
+
+
+# -- overlaps by fragment ---------------------------------------------------------
+
+
+def _beside(pairs: DataFrame, classes: DataFrame, scratch: Scratch, name: str, differ: bool) -> DataFrame:
+    """``pairs`` (``hub, key`` and more) with ``overlap``, and if ``differ`` with ``apart``, the shingles that only one of both has.
+
+    In each fragment the hub's segment comes first and its partners' follow as a
+    stream, so a task holds one segment besides the passing batch. A hub with many
+    partners is dealt to several tasks.
     """
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("fragment", T.IntegerType()), T.StructField("segment", T.ArrayType(T.LongType()))])
-    shift = np.uint64(64 - bits)
-    cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64(2**64 // FRAGMENTS))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.frombuffer(wanted.value, np.uint8)
-        given: set[tuple[int, int]] = set()
+    count = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+    sized = scratch.write(count, f"{name}_hubs")
+    most = max(PARTNERS, (sized.agg(F.sum("m")).first()[0] or 0) // 10_000)
+    parts = F.ceil(F.col("m") / most).cast("int")
+    large = F.broadcast(sized.filter(F.col("m") > most).select("hub", parts.alias("parts")))  # 10,000 at most
+    segments = classes.select("key", "segments")
+    member = pairs.select("hub", "key").join(large, "hub", "left").join(segments, "key").select(
+        "hub", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(True).alias("member"), "key", F.posexplode("segments").alias("fragment", "segment"))
+    own = sized.select("hub", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).join(segments.withColumnRenamed("key", "hub"), "hub").select(
+        "hub", "part", F.lit(False).alias("member"), F.col("hub").alias("key"), F.posexplode("segments").alias("fragment", "segment"))
+    schema = T.StructType([T.StructField("hub", T.LongType()), T.StructField("key", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("apart", T.BinaryType())])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(0, np.int64)
         for batch in batches:
-            keys, numbers, parts, size = [], [], [], 0
-            for s in shingles.shingle_sets(batch.column(0)):
-                if not len(s):
-                    continue
-                key = shingles.set_key(s)
-                if (key, len(s)) in given or not there[int(shingles.mix(np.array([key], np.int64).view(np.uint64))[0] >> shift)]:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for hub, is_member, key, segment in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                other = np.frombuffer(segment, np.int64)
+                if not is_member:
+                    mine = other
                     continue
-                given.add((key, len(s)))
-                for k, part in enumerate(np.split(s, np.searchsorted(s, cuts))):
-                    if len(part):
-                        keys.append(key)
-                        numbers.append(k)
-                        parts.append(part.view(np.int64))
-                size += len(s)
-                if size > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], schema.names)
-                    keys, numbers, parts, size = [], [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], schema.names)
-
-    found = docs.select("text").mapInArrow(rows, schema)
-    return found.groupBy("key", "fragment").agg(F.first("segment").alias("segment"))
+                at = np.searchsorted(mine, other)
+                there = mine[np.minimum(at, len(mine) - 1)] == other if len(mine) else np.zeros(len(other), bool)
+                apart = None
+                if differ:
+                    left = np.ones(len(mine), bool)
+                    left[at[there]] = False
+                    apart = np.concatenate([mine[left], other[~there]]).tobytes()
+                for column, x in zip(out, (hub, key, int(there.sum()), apart), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], schema.names)
+
+    stream = member.unionByName(own).repartition("hub", "fragment", "part").sortWithinPartitions("hub", "fragment", "part", "member")
+    found = stream.select("hub", "member", "key", "segment").mapInArrow(meet, schema).groupBy("hub", "key").agg(
+        F.sum("shared").alias("overlap"), *([F.collect_list("apart").alias("apart")] if differ else []))
+    out = scratch.write(pairs.join(found, ["hub", "key"]), name)
+    free(pairs)
+    return out
 
 
 # -- closing ----------------------------------------------------------------------
@@ -196,24 +243,24 @@ def _segments(docs: DataFrame, wanted, bits: int) -> DataFrame:
 def _close(groups: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` between members of one hub's group that lie in different components.
 
-    ``groups``: ``hub, hub_n, key, n, overlap, root, open, apart`` (the shingles
-    in which the member and the hub differ; open: the member is not in the hub's
-    component). For members x and y, overlap(x, y) = overlap(x, hub) + overlap(y,
-    hub) - hub_n + (differences they share): shared ones are missing in both, or
-    extra in both. Two members whose overlap is enough without any shared
-    difference are both linked to the hub, so one of each pair is open. Open
-    members are dealt to blocks, and every member goes to each block of its hub;
-    a pair of open ones is made once, where its smaller key is in the block.
+    ``groups``: ``hub, hub_shared, key, n, overlap, root, open, apart`` (the
+    shared shingles in which the member and the hub differ; open: the member is
+    not in the hub's component). For members x and y, overlap(x, y) = overlap(x,
+    hub) + overlap(y, hub) - hub_shared + (differences they share): shared ones
+    are missing in both, or extra in both. Two members whose overlap is enough
+    without any shared difference are both linked to the hub, so one of each
+    pair is open. Open members are dealt to blocks, and every member goes to each
+    block of its hub; a pair of open ones is made once, where its smaller key is
+    in the block.
     """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    opened = groups.filter("open").groupBy("hub").agg(F.count(F.lit(1)).alias("opened"))
-    sized = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).join(opened, "hub")
+    sized = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("open").cast("long")).alias("opened")).filter("opened > 0")
     rows, cols = BLOCK
     cut = groups.join(sized, "hub").withColumns({
         "ups": F.ceil(F.col("opened") / rows).cast("int"), "downs": F.ceil(F.col("members") / cols).cast("int")})
     u = F.pmod(F.xxhash64("key"), F.col("ups")).cast("int")
     g = F.pmod(F.xxhash64("key", F.lit(1)), F.col("downs")).cast("int")
-    keep = ["hub", "hub_n", "key", "n", "overlap", "root", "apart"]
+    keep = ["hub", "hub_shared", "key", "n", "overlap", "root", "apart"]
     left = cut.filter("open").select(*keep, F.lit(True).alias("query"), u.alias("up"), F.explode(F.sequence(F.lit(0), F.col("downs") - 1)).alias("down"))
     right = cut.select(*keep, F.col("open"), g.alias("down"), F.explode(F.sequence(F.lit(0), F.col("ups") - 1)).alias("up"))
     cells = left.withColumn("open", F.lit(True)).unionByName(right.withColumn("query", F.lit(False)))
@@ -222,6 +269,7 @@ def _close(groups: DataFrame, percent: int) -> DataFrame:
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         pairs: list[tuple[int, int]] = []
+        frame["apart"] = [np.frombuffer(b"".join(x), np.int64) for x in frame["apart"]]
         for _, group in frame.groupby(["hub", "up", "down"], sort=False):
             pairs += _block(group[group["query"]], group[~group["query"]], percent)
         return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
@@ -234,12 +282,12 @@ def _block(queries: pd.DataFrame, members: pd.DataFrame, percent: int) -> list[t
     if not len(queries) or not len(members):
         return []
     sizes = queries["apart"].map(len).to_numpy()
-    tokens = np.concatenate(queries["apart"].to_list()).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
+    tokens = np.concatenate(queries["apart"].to_list())
     owner = np.repeat(np.arange(len(queries)), sizes)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     q_key, q_n, q_o, q_root = (queries[c].to_numpy() for c in ("key", "n", "overlap", "root"))
-    hub_n = int(queries["hub_n"].iloc[0])
+    hub_shared = int(queries["hub_shared"].iloc[0])
     out = []
     for key, n, o, root, open_, apart in members[["key", "n", "overlap", "root", "open", "apart"]].itertuples(index=False, name=None):
         mine = (q_root != root) & (np.minimum(q_n, n) * 100 >= percent * np.maximum(q_n, n))
@@ -247,33 +295,19 @@ def _block(queries: pd.DataFrame, members: pd.DataFrame, percent: int) -> list[t
             mine &= q_key < key
         if not mine.any():
             continue
-        apart = np.asarray(apart, np.int64)
         lo, hi = np.searchsorted(tokens, apart, "left"), np.searchsorted(tokens, apart, "right")
         count = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else np.zeros(0, np.int64)
         shared = np.bincount(owner[at], minlength=len(queries))
-        overlap = q_o + o - hub_n + shared
+        overlap = q_o + o - hub_shared + shared
         for k in np.flatnonzero(mine & (100 * overlap >= percent * (q_n + n - overlap))):
             out.append((int(q_key[k]), int(key)))
     return out
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 # -- the join ---------------------------------------------------------------------
 
 
-def _free(df: DataFrame) -> None:
-    """Lets Spark remove the shuffle files of finished steps, which it keeps until the driver collects garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def similar_classes(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id, text``).
 
@@ -285,98 +319,65 @@ def similar_classes(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
     take part; a component of null ids only has a null ``component_id``. An empty
     table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cast = spark.sparkContext.broadcast
-    low, high = SKETCH_BITS
-    characters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(high, max(low, (characters // 48).bit_length()))
-    levels = cast(_sketch(None, docs, bits))
-    rows = scratch.write(_prefixes(docs, levels, bits, percent), "rows")
-    leads = rows.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "key", "n")
-    parts = []
-    for k in range(LIST_ROUNDS):
-        some = leads.filter(F.pmod("token", F.lit(LIST_ROUNDS)) == k)
-        several = some.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("token")
-        parts.append(scratch.write(some.join(several, "token").distinct(), f"shared{k}"))
-        _free(docs)
-    shared = _union(parts)
-    # Of two sets, the one whose prefix ends first in the global order shares at most its listed leading shingles
-    # and all behind its prefix; so it links with sets of at most ``most`` shingles.
-    ends = rows.filter("prefix IS NOT NULL").select("key", "last", (F.col("n") - F.size("prefix")).alias("rest")).distinct()
-    shared = shared.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("listed")).join(ends, "key"), "key")
-    most = F.floor((100 + percent) * (F.col("listed") + F.col("rest")) / percent).cast("long") - F.col("n")
-    shared = scratch.write(shared.select("token", "key", "n", "last", most.alias("most")), "shared")
-    rows = scratch.write(rows.select("doc_id", "key", "n"), "classes")
-    scratch.drop("rows", *(f"shared{k}" for k in range(LIST_ROUNDS)))
-    _free(docs)
+    bits = max(MIN_BITS, (docs.agg(F.sum(F.length("text"))).first()[0] or 0).bit_length())
+    table = scratch.write(frequencies(docs, bits), "frequencies")
+    free(docs)
+    cuts = fragment_cuts(table)
+    shift = np.uint64(64 - bits)
+
+    def of(texts: pa.Array) -> Iterator[np.ndarray]:
+        return ((s >> shift).astype(np.int64) for s in shingles.shingle_sets(texts))
+
+    rows = None
+    for k in range(ROUNDS):
+        asked = scratch.write(buckets.asks(docs.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k), bits, of, 1), f"asks{k}")
+        answered = buckets.answers(asked, table, ("levels",), lambda held: buckets.unpack(held[0], np.uint8))
+        part = scratch.write(_sets(asked, answered, bits, cuts, percent), f"sets{k}")
+        scratch.drop(f"asks{k}")
+        free(docs)
+        rows = part if rows is None else rows.unionByName(part)
+    # A set shares at most its shared shingles, so it links with sets of at most ``most`` shingles.
+    most = F.floor((100 + percent) * F.col("shared") / percent).cast("long") - F.col("n")
+    live = rows.filter("prefix IS NOT NULL")
+    classes = scratch.write(live.select("key", "n", "shared", most.alias("most"), "prefix", "segments").dropDuplicates(["key"]), "classes")
     # Sizes of linked sets differ by less than 100 / percent, so they lie in the same class of sizes or in
     # neighbouring ones: a list has the sets of one class, whose least key is its hub, and those of the class below.
     size = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
     sides = F.array(F.struct(size.alias("size"), F.lit(True).alias("own")), F.struct((size + 1).alias("size"), F.lit(False).alias("own")))
-    sided = shared.select("*", F.explode(sides).alias("s")).select(*shared.columns, "s.*")
-    hubs = sided.groupBy("token", "size").agg(
-        F.min(F.when(F.col("own"), F.struct("key", "n", "last", "most"))).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1 AND hub IS NOT NULL")
-    can = F.when(F.col("last") < F.col("hub.last"), F.col("most") >= F.col("hub.n")).when(F.col("last") > F.col("hub.last"), F.col("hub.most") >= F.col("n")).otherwise(True)
-    near = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-    lists = scratch.write(sided.join(hubs, ["token", "size"]).filter("key != hub.key").select(
-        "token", "size", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"), "key", "n", "most", (can & near).alias("can")), "lists")
+    sided = classes.select(F.explode("prefix").alias("token"), "key", "n", "shared", "most", sides.alias("sides")).select("*", F.explode("sides").alias("s")).select(
+        "token", "key", "n", "shared", "most", "s.size", "s.own")
+    hubs = scratch.write(sided.groupBy("token", "size").agg(
+        F.min(F.when(F.col("own"), F.struct("key", "n", "shared", "most"))).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1 AND hub IS NOT NULL"), "hubs")
+    can = (F.col("most") >= F.col("hub.n")) & (F.col("hub.most") >= F.col("n")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+    lists = scratch.write(join_by_size(sided, hubs, ["token", "size"]).filter("key != hub.key").select(
+        "token", "size", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.shared").alias("hub_shared"), "key", "n", "most", can.alias("can")), "lists")
     stars = scratch.write(lists.filter("can").select("hub", "hub_n", "key", "n").distinct(), "stars")
-
-    def segments_of(pairs: DataFrame, name: str) -> DataFrame:
-        keys = pairs.select(F.col("hub").alias("h")).unionByName(pairs.select(F.col("key").alias("h"))).distinct()
-        found = scratch.write(_segments(docs, cast(_sketch(keys, None, high - 2)), high - 2), name)
-        _free(docs)
-        return found
-
-    none = F.array().cast("array<bigint>")
-    mine, hubs_own = F.coalesce("segment", none), F.coalesce("hub_segment", none)
-
-    def beside(pairs: DataFrame, part: Column, name: str) -> DataFrame:
-        """``hub, key, part`` of each pair and fragment, from both segments; a round for some of the fragments at a time."""
-        found, segments = [], segments_of(pairs, f"{name}_segments")
-        for k in range(OVERLAP_ROUNDS):
-            here = [f for f in range(FRAGMENTS) if f % OVERLAP_ROUNDS == k]
-            cut = pairs.select("hub", "key", F.explode(F.array(*[F.lit(f) for f in here])).alias("fragment"))
-            some = segments.filter(F.col("fragment").isin(here))
-            of_hub = some.select(F.col("key").alias("hub"), "fragment", F.col("segment").alias("hub_segment"))
-            both = cut.join(of_hub, ["hub", "fragment"], "left").join(some, ["key", "fragment"], "left")
-            found.append(scratch.write(both.select("hub", "key", part.alias("part")), f"{name}{k}"))
-            _free(docs)
-        scratch.drop(f"{name}_segments")
-        return _union(found)
-
-    partial = beside(stars, F.size(F.array_intersect(mine, hubs_own)), "partial")
-    overlaps = scratch.write(
-        stars.join(partial.groupBy("hub", "key").agg(F.sum("part").alias("overlap")), ["hub", "key"]), "overlaps")
-    _free(docs)
-    linked = overlaps.filter(100 * F.col("overlap") >= percent * (F.col("n") + F.col("hub_n") - F.col("overlap"))).select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    links = scratch.write(linked, "links")
+    overlaps = _beside(stars, classes, scratch, "overlaps", differ=False)
+    enough = 100 * F.col("overlap") >= percent * (F.col("n") + F.col("hub_n") - F.col("overlap"))
+    links = scratch.write(overlaps.filter(enough).select(F.col("hub").alias("a"), F.col("key").alias("b")), "links")
     roots = components(links, scratch, "first")
     # lists with members in different components, besides the hub, that can link by their sizes
-    placed = lists.join(roots.select(F.col("node").alias("key"), F.col("root")), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    range_ = placed.groupBy("token", "size").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least_n"), F.max("most").alias("most_most")).filter("lo < hi").drop("lo", "hi")
-    able = placed.join(range_, ["token", "size"]).filter("most >= least_n OR most_most >= n").select("token", "size", "hub", "hub_n", "key", "n", "root")
-    able = scratch.write(able, "able")
-    unsettled = able.groupBy("token", "size").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token", "size")
-    members = able.join(unsettled, ["token", "size"], "left_semi").select("hub", "hub_n", "key", "n", "root").distinct()
+    placed = scratch.write(lists.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
+    unsettled = scratch.write(placed.groupBy("token", "size").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least_n"), F.max("most").alias("most_most"), F.count(F.lit(1)).alias("m")).filter("lo < hi").drop("lo", "hi"), "unsettled")
+    members = join_by_size(placed, unsettled, ["token", "size"]).filter("most >= least_n AND most_most >= n").select("hub", "hub_shared", "key", "n", "root").distinct()
     groups = members.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
     groups = scratch.write(groups.withColumn("open", F.col("root") != F.coalesce("hub_root", "hub")).drop("hub_root"), "groups")
-    _free(docs)
-    apart = beside(groups, F.concat(F.array_except(mine, hubs_own), F.array_except(hubs_own, mine)), "apart")
-    apart = apart.groupBy("hub", "key").agg(F.flatten(F.collect_list("part")).alias("apart"))
-    groups = groups.join(apart, ["hub", "key"]).withColumn("overlap", F.expr("(n + hub_n - size(apart)) div 2"))
-    more = scratch.write(_close(groups, percent).distinct(), "more")
-    _free(docs)
+    more = scratch.write(_close(_beside(groups, classes, scratch, "apart", differ=True), percent).distinct(), "more")
+    free(docs)
     if more.limit(1).count():
         roots = components(links.unionByName(more), scratch, "second")
-    named = rows.select("doc_id", "key", "n").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
-    named = scratch.write(named.select("doc_id", "root", F.col("n").alias("n_shingles")), "named")
-    least = named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m"))
-    hot = F.col("m") >= max(1000, named.count() // 10_000)
-    few = F.broadcast(least.filter(hot).select("root", F.struct("least").alias("hot")))  # 10,000 at most
-    split = named.filter("n_shingles > 0").join(few, "root", "left")
-    out = split.filter("hot IS NOT NULL").select("doc_id", "n_shingles", F.col("hot.least").alias("component_id"))
-    rest = split.filter("hot IS NULL").select("doc_id", "n_shingles", "root").join(least.filter(~hot), "root").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-    empty = named.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(rest).unionByName(empty)
+    return _named(rows.select("doc_id", "key", "n"), roots, scratch)
+
+
+def _named(rows: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each row with its component's least id, found by class first, so that common classes and large components are no task's burden."""
+    by_class = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    by_class = by_class.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", "rows", F.coalesce("root", "key").alias("root"))
+    by_class = scratch.write(by_class, "by_class")
+    by_root = scratch.write(by_class.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m")), "by_root")
+    named = scratch.write(join_by_size(by_class.select("key", "rows", "root"), by_root, ["root"]).select("key", "rows", "component_id"), "named")
+    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    return join_by_size(rows.filter("n > 0"), named, ["key"], "rows").select(*out).unionByName(
+        rows.filter("n = 0").withColumn("component_id", F.col("doc_id")).select(*out))

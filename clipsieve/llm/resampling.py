@@ -6,29 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import shingles
-from .common import Scratch
-from .jaccard import _free as free
+from . import buckets, shingles
+from .common import Scratch, free
 
 #: Target documents from which the target model is counted, at most (in expectation).
 TARGET_ROWS = 20_000
 #: n-gram buckets: a power of two, one for every eighth word at least, at any size of the corpus.
 MIN_BITS = 14
-#: Counts and ratios are kept as a table of pieces: 64 at least, of so many buckets (two to the power) at most.
-PIECE_BITS = 20
-#: n-grams of one chunk of texts.
-CHUNK = 1_000_000
 #: Rounds in which texts are scored, so that a round's files are a part of the whole.
 ROUNDS = 3
 
-_ASKS = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("blob", T.BinaryType())])
-
 
 def _buckets(texts: pa.Array, bits: int) -> Iterator[np.ndarray]:
     """The buckets of each text's words and word pairs."""
@@ -45,36 +36,13 @@ def bucket_bits(words: int) -> int:
     return max(MIN_BITS, (max(words, 8) // 8).bit_length())
 
 
-def _low(bits: int) -> int:
-    """Bits of a bucket's place within its piece."""
-    return min(PIECE_BITS, bits - 6)
-
-
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T), 1)
-
-
-def _unpack(blob: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-
-
-def _pieces(buckets: np.ndarray, low: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """Piece, begin, end, and the packed places of each piece of sorted distinct buckets."""
-    of = buckets >> low
-    starts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
-    for lo, hi in zip(starts, [*starts[1:], len(buckets)], strict=True):
-        places = buckets[lo:hi] - (of[lo] << low)
-        yield int(of[lo]), lo, hi, _pack(np.diff(places, prepend=0).astype(np.uint32))
-
-
 def count_models(docs: DataFrame, bits: int) -> DataFrame:
     """``piece, raw, target, n_raw, n_target``: counts of n-grams by bucket, of raw (all) and of target rows of ``text, target``.
 
     Each task counts a chunk's distinct buckets; pieces of them are dealt out by
     number and added in a stream, one piece at a time.
     """
-    low = _low(bits)
+    low = buckets.low_bits(bits)
     sent = T.StructType([T.StructField("piece", T.IntegerType())] + [T.StructField(c, T.BinaryType()) for c in ("places", "raw", "target")])
     schema = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("raw", T.BinaryType()), T.StructField("target", T.BinaryType()),
                            T.StructField("n_raw", T.LongType()), T.StructField("n_target", T.LongType())])
@@ -84,9 +52,9 @@ def count_models(docs: DataFrame, bits: int) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             marked = np.repeat(np.array(marks, bool), [len(b) for b in held])
-            buckets, at, raw = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-            target = np.bincount(at[marked], minlength=len(buckets))
-            rows = [(k, places, _pack(raw[lo:hi].astype(np.uint32)), _pack(target[lo:hi].astype(np.uint32))) for k, lo, hi, places in _pieces(buckets, low)]
+            found, at, raw = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            target = np.bincount(at[marked], minlength=len(found))
+            rows = [(k, places, buckets.pack(raw[lo:hi].astype(np.uint32)), buckets.pack(target[lo:hi].astype(np.uint32))) for k, lo, hi, places in buckets.cut(found, low)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 3, strict=True)], sent.names)
 
         for batch in batches:
@@ -94,7 +62,7 @@ def count_models(docs: DataFrame, bits: int) -> DataFrame:
                 held.append(found)
                 marks.append(bool(target))
                 n += len(found)
-                if n >= CHUNK:
+                if n >= buckets.CHUNK:
                     yield packed()
                     held, marks, n = [], [], 0
         if n:
@@ -104,7 +72,7 @@ def count_models(docs: DataFrame, bits: int) -> DataFrame:
         now, sums = None, np.zeros((2, 0), np.int64)
 
         def summed() -> pa.RecordBatch:
-            values = [now, _pack(sums[0]), _pack(sums[1]), int(sums[0].sum()), int(sums[1].sum())]
+            values = [now, buckets.pack(sums[0]), buckets.pack(sums[1]), int(sums[0].sum()), int(sums[1].sum())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], schema.names)
 
         for batch in batches:
@@ -113,14 +81,14 @@ def count_models(docs: DataFrame, bits: int) -> DataFrame:
                     if now is not None:
                         yield summed()
                     now, sums = k, np.zeros((2, 1 << low), np.int64)
-                at = np.cumsum(_unpack(places, np.uint32), dtype=np.int64)
-                sums[0][at] += _unpack(raw, np.uint32)
-                sums[1][at] += _unpack(target, np.uint32)
+                at = buckets.places_of(places)
+                sums[0][at] += buckets.unpack(raw, np.uint32)
+                sums[1][at] += buckets.unpack(target, np.uint32)
         if now is not None:
             yield summed()
 
     found = docs.select("text", "target").mapInArrow(count, sent)
-    return found.repartition(1 << (bits - low), "piece").sortWithinPartitions("piece").mapInArrow(add_up, schema)
+    return found.repartition("piece").sortWithinPartitions("piece").mapInArrow(add_up, schema)
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int, size: int) -> np.ndarray:
@@ -135,106 +103,37 @@ def log_ratio(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int, si
     return (np.log(q) - np.log(p)).astype(np.float32)
 
 
-def _asks(docs: DataFrame, bits: int) -> DataFrame:
-    """``chunk, piece, blob``: each chunk's texts (piece -1), and its distinct buckets by piece."""
-    low = _low(bits)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, texts, n = TaskContext.get().partitionId() << 32, [], [], 0
-
-        def packed() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            whole = pa.Table.from_batches(texts).combine_chunks()
-            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(whole)
-            asked = [(-1, sink.getvalue().to_pybytes()), *((k, places) for k, _, _, places in _pieces(np.unique(np.concatenate(held)), low))]
-            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(asked), pa.int64()), pa.array([k for k, _ in asked], pa.int32()), pa.array([x for _, x in asked], pa.binary())], _ASKS.names)
-
-        for batch in batches:
-            begin = 0
-            for k, found in enumerate(_buckets(batch.column(1), bits)):
-                held.append(found)
-                n += len(found)
-                if n >= CHUNK:
-                    texts.append(batch.slice(begin, k + 1 - begin))
-                    yield packed()
-                    chunk, held, texts, n, begin = chunk + 1, [], [], 0, k + 1
-            if begin < batch.num_rows:
-                texts.append(batch.slice(begin))
-        if held:
-            yield packed()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, _ASKS)
-
+def weights(docs: DataFrame, counts: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
+    """``doc_id, log_weight, gumbel``: the log of the importance weight (the sum over n-grams) and unit Gumbel noise.
 
-def _answers(asks: DataFrame, counts: DataFrame, bits: int, n_raw: int, n_target: int) -> DataFrame:
-    """``chunk, piece, blob``: the log ratios of the buckets that are asked for; each piece's counts come before its asks."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = ratio = np.zeros(0)
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for chunk, piece, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if chunk == -2:
-                    raw = _unpack(blob, np.int64)
-                elif chunk == -1:
-                    ratio = log_ratio(raw, _unpack(blob, np.int64), n_raw, n_target, 1 << bits)
-                else:
-                    for column, x in zip(out, (chunk, piece, _pack(ratio[np.cumsum(_unpack(blob, np.uint32), dtype=np.int64)])), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], _ASKS.names)
-
-    model = [counts.select(F.lit(k).cast("long").alias("chunk"), "piece", F.col(c).alias("blob")) for k, c in ((-2, "raw"), (-1, "target"))]
-    both = asks.filter("piece >= 0").unionByName(model[0]).unionByName(model[1])
-    return both.repartition(1 << (bits - _low(bits)), "piece").sortWithinPartitions("piece", "chunk").mapInArrow(rows, _ASKS)
-
-
-def _scores(asks: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
-    """``doc_id, log_weight, gumbel`` of the texts in ``asks``; each chunk's texts come before its answers."""
+    The noise is a function of id and text, so reruns agree, and rows that repeat
+    both share it. The model stays a table: chunks of texts send their distinct
+    buckets to the pieces, which send back the ratios, in rounds over parts of
+    the documents.
+    """
+    n_raw, n_target = counts.agg(F.coalesce(F.sum("n_raw"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel", T.DoubleType())])
 
-    def scored(blob: bytes, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        texts = pa.ipc.open_stream(blob).read_all().combine_chunks()
-        ratios = np.concatenate([np.zeros(0, np.float32), *(_unpack(x, np.float32) for x in parts)])
-        for batch in texts.to_batches():
-            held = list(_buckets(batch.column(1), bits))
-            table = ratios[np.unique(np.concatenate(held), return_inverse=True)[1]]
-            ends = np.cumsum([len(b) for b in held]).tolist()
-            found = [float(table[hi - len(b) : hi].sum()) / np.sqrt(len(b)) if len(b) else 0.0 for b, hi in zip(held, ends, strict=True)]
-            ids = batch.column(0)
-            mixed = shingles.mix(ids.fill_null(-1).to_numpy().astype(np.int64).view(np.uint64) + np.uint64(0x5851F42D4C957F2D))
-            uniform = ((mixed >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.float64()), pa.array(-np.log(-np.log(uniform)), pa.float64())], schema.names)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob, parts = None, []
-        for batch in batches:
-            for piece, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if piece >= 0:
-                    parts.append(x)
-                    continue
-                if blob is not None:
-                    yield from scored(blob, parts)
-                blob, parts = x, []
-        if blob is not None:
-            yield from scored(blob, parts)
-
-    both = asks.filter("piece < 0").unionByName(answers)
-    return both.repartition("chunk").sortWithinPartitions("chunk", "piece").mapInArrow(rows, schema)
+    def ratios(held: list[bytes]) -> np.ndarray:
+        return log_ratio(buckets.unpack(held[0], np.int64), buckets.unpack(held[1], np.int64), n_raw, n_target, 1 << bits)
 
+    def scored(batch: pa.RecordBatch, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held = list(_buckets(batch.column(1), bits))
+        table = values[np.unique(np.concatenate(held), return_inverse=True)[1]].astype(np.float64)
+        ends = np.cumsum([len(b) for b in held]).tolist()
+        found = [float(table[hi - len(b) : hi].sum()) for b, hi in zip(held, ends, strict=True)]
+        mixed = shingles.mix(batch.column(2).to_numpy().astype(np.int64).view(np.uint64))
+        uniform = ((mixed >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array(-np.log(-np.log(uniform)), pa.float64())], schema.names)
 
-def weights(docs: DataFrame, counts: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
-    """``doc_id, log_weight, gumbel``: the importance weight (per n-gram, times the root of their number) and noise.
-
-    The noise is a function of the id, so reruns agree. The model stays a table:
-    chunks of texts send their distinct buckets to the pieces, which send back
-    the ratios, in rounds over parts of the documents.
-    """
-    n_raw, n_target = counts.agg(F.coalesce(F.sum("n_raw"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    noise = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", noise.alias("noise"))
     out = None
     for k in range(ROUNDS):
-        some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k)
-        asks = scratch.write(_asks(some, bits), f"asks{k}")
-        part = scratch.write(_scores(asks, _answers(asks, counts, bits, n_raw, n_target), bits), f"scores{k}")
+        some = rows.filter(F.pmod("noise", F.lit(ROUNDS)) == k)
+        asked = scratch.write(buckets.asks(some, bits, lambda texts: _buckets(texts, bits), 1), f"asks{k}")
+        answered = buckets.answers(asked, counts, ("raw", "target"), ratios)
+        part = scratch.write(buckets.met(asked, answered, np.float32, scored, schema), f"scores{k}")
         scratch.drop(f"asks{k}")
         free(docs)
         out = part if out is None else out.unionByName(part)
@@ -266,7 +165,7 @@ def kth_largest(values: DataFrame, k: int, bins: int = 1024, few: int = 10_000)
             return values.filter(F.col("x").between(lo, hi)).orderBy(F.desc("x")).limit(k).agg(F.min("x")).first()[0]
 
 
-def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch, share: float | None = None, temperature: float = 0.25) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch, share: float | None = None, temperature: float = 1.0) -> DataFrame:
     """``doc_id, log_weight, sample_key, kept`` for every row of ``docs`` (``doc_id, text``).
 
     Target text is that of documents labelled ``quality`` 1 (a bounded number of
@@ -274,7 +173,7 @@ def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch, share: float
     noise times ``temperature``; the ``share`` of rows with the largest keys is
     kept (without replacement; default: the labels' share of quality 1). Rows
     with the very key at which the cut falls are all kept. Null and empty texts
-    have weight 0. Without target labels all weights are 0. Documents labelled
+    have log weight 0. Without target labels all weights are 0. Documents labelled
     more than once count by the largest label; other columns are not read.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))

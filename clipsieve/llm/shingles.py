@@ -10,7 +10,7 @@ import pyarrow as pa
 
 #: Words in a shingle.
 WIDTH = 5
-#: Bytes of text hashed at once; a longer text goes alone.
+#: Bytes of text hashed at once; a longer text goes in parts, which end at white space.
 SLICE = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -23,8 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _series(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0 to n - 1 of an odd number mod 2**64 and of its inverse."""
     inverse = np.uint64(pow(int(_ODD), -1, 2**64))
     out = []
@@ -35,6 +34,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@lru_cache(maxsize=1)
+def _kept_series() -> tuple[np.ndarray, np.ndarray]:
+    return _series(SLICE + 1)
+
+
 @lru_cache(maxsize=1)
 def _bytes() -> tuple[np.ndarray, np.ndarray]:
     """A random value for each byte, A-Z as a-z; and which bytes are white space."""
@@ -48,8 +52,7 @@ def _bytes() -> tuple[np.ndarray, np.ndarray]:
 def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the byte runs [start, end)."""
     value, _ = _bytes()
-    n = 1 << max(SLICE.bit_length(), int(len(data)).bit_length())
-    powers, inverse = _powers(n)
+    powers, inverse = _kept_series() if len(data) <= SLICE else _series(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(value[data] * powers[: len(data)], out=sums[1:])
@@ -106,8 +109,26 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1)
-        yield _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        if offsets[hi] - offsets[lo] > SLICE:
+            words = _long_words(data[offsets[lo] : offsets[hi]])
+            yield words, np.array([0, len(words)])
+        else:
+            yield _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        lo = hi
+
+
+def _long_words(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one long text; a part is longer than SLICE only by the word at its end."""
+    _, space = _bytes()
+    out, lo = [], 0
+    while lo < len(data):
+        hi = min(lo + SLICE // 2, len(data))
+        while hi < len(data) and not (ends := np.flatnonzero(space[data[hi : hi + SLICE // 2]])[:1]).size:
+            hi = min(hi + SLICE // 2, len(data))
+        hi = hi + int(ends[0]) if hi < len(data) else hi
+        out.append(_words(data[lo:hi], np.array([0, hi - lo]))[0])
         lo = hi
+    return np.concatenate(out)
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clipsieve.llm import chat, components, dedup, jaccard, language, mixing, neighbours, pieces, resampling, shingles, toxicity, urls
+from clipsieve.llm import buckets, chat, components, dedup, jaccard, language, mixing, neighbours, pieces, resampling, shingles, toxicity, urls
 from clipsieve.llm.common import Scratch
 from clipsieve.llm.queries import piece_model
 
@@ -194,13 +194,13 @@ def test_ratios_from_pieces_match_one_table(spark, corpus, monkeypatch):
     import pyarrow as pa
 
     bits = 15
-    monkeypatch.setattr(resampling, "CHUNK", 10_000)
-    monkeypatch.setattr(resampling, "PIECE_BITS", 8)
+    monkeypatch.setattr(buckets, "CHUNK", 10_000)
+    monkeypatch.setattr(buckets, "PIECE_BITS", 8)
     rows = [(r["doc_id"], r["text"]) for r in corpus.collect()]
     found = list(resampling._buckets(pa.array([t for _, t in rows]), bits))
     raw, target = Counter(np.concatenate(found).tolist()), Counter(np.concatenate([b for (i, _), b in zip(rows, found, strict=True) if (i or 1) % 2 == 0]).tolist())
     ratio = {b: float(resampling.log_ratio(np.array([n]), np.array([target[b]]), raw.total(), target.total(), 1 << bits)[0]) for b, n in raw.items()}
-    want = sorted((str(i), sum(ratio[x] for x in b.tolist()) / len(b) ** 0.5 if len(b) else 0.0) for (i, _), b in zip(rows, found, strict=True))
+    want = sorted((str(i), sum(ratio[x] for x in b.tolist())) for (i, _), b in zip(rows, found, strict=True))
     scratch = Scratch(spark, "t4b")
     counts = scratch.write(resampling.count_models(corpus.withColumn("target", F.col("doc_id") % 2 == 0), bits), "counts")
     got = sorted((str(r["doc_id"]), r["log_weight"]) for r in resampling.weights(corpus, counts, bits, scratch).collect())
