@@ -1,9 +1,10 @@
 """Exact dedup against a persistent digest index (DataFrame operations only).
 
 The index is a Parquet table bucketed and sorted by the SHA-256 digest of the
-normalised text. A batch is reduced to one row per digest (partial aggregation
-comes before the shuffle, so copies cost nothing), anti-joined by sort-merge
-with the index, whose buckets need no shuffle, and what is new is appended.
+normalised text. New rows are dealt in batches of falling ids; a batch is reduced
+to one row per digest (partial aggregation comes before the shuffle, so copies
+cost nothing), anti-joined by sort-merge with the index, whose buckets need no
+shuffle, and what is new is appended. Every row then takes its digest's entry.
 """
 
 from __future__ import annotations
@@ -15,11 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, join_by_size
 
-#: Groups holding at least this share of a batch's rows are resolved by
-#: broadcast; there can be no more than 1 / HOT_SHARE of them.
-HOT_SHARE = 1e-4
+#: Batches in which new rows meet the index.
+BATCHES = 2
 
 
 class DigestIndex:
@@ -55,6 +55,10 @@ class DigestIndex:
             .option("path", self.location).saveAsTable(self.table)
         )
 
+    def forget(self) -> None:
+        """Takes the table out of the session's catalogue; its files stay, and a later session opens them by location."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def compact(self, to: str) -> DigestIndex:
         """The same index at a new location with one file per bucket."""
         merged = DigestIndex(self.spark, to, self.buckets)
@@ -71,21 +75,25 @@ def exact_dedup(
     text_col: str = "text",
     normalise: Callable[[Column], Column] | None = None,
     tie_cols: Sequence[str] = (),
+    batches: int = BATCHES,
 ) -> DataFrame:
     """One row per row of ``docs`` (dropped ones too), and the index extended.
 
-    Returns ``id_col, keep_id, group_size, kept, text_sha256``. Of equal texts
-    within the batch the row with the largest id stays; a text that the index
-    already has keeps the id it has there, and none of the batch's rows stays.
-    Null text counts as empty; empty texts are equal to each other. Null ids are
-    smaller than all others; rows that repeat an id with the same text are all
-    kept or all dropped. An empty table gives no rows. Other columns of ``docs``
-    are not read, so their names don't matter. ``batch`` must be new to the index.
+    Returns ``id_col, keep_id, group_size, kept, text_sha256``. ``docs`` meet the
+    index in ``batches`` ranges of ids, the largest ids first, so of equal texts
+    the row with the largest id is indexed and stays; a text that the index has
+    from an earlier call keeps the id it has there, and no row of this call
+    stays. ``group_size`` counts the rows of this call. ``batch`` names the call:
+    one that is repeated with the same rows (after a lost driver, say) finds its
+    own entries, appends nothing twice and gives the same result. Null text counts
+    as empty; empty texts are equal to each other. Null ids are smaller than all
+    others; rows that repeat an id with the same text are all kept or all dropped,
+    unless ``tie_cols`` (passed through) tell them apart. An empty table gives no
+    rows. Other columns of ``docs`` are not read, so their names don't matter.
 
     The rows' digests are written once (40 bytes a row) so texts are read once.
-    Groups holding 1/10,000 of the rows or more are looked up by broadcast, at
-    most 10,000 of them; the rest meet their group by sort-merge join, so no
-    task gets more than a small share of the rows.
+    Common digests take their entry by broadcast (see ``join_by_size``), the rest
+    by sort-merge join, so no task gets more than a small share of the rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = scratch.write(
@@ -97,28 +105,25 @@ def exact_dedup(
         "digests",
     )
     ties = [f"tie{k}" for k in range(len(tie_cols))]
-    top = F.max(F.struct("id", *ties) if ties else F.col("id")).alias("top")
-    groups = rows.groupBy("digest").agg(top, F.count(F.lit(1)).alias("group_size"))
-    groups = scratch.write(groups.withColumn("top_id", F.col("top.id" if ties else "top")), "groups")
-    known = index.read().filter(F.col("batch") != batch).select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
-    fresh = groups.join(known.hint("merge"), "digest", "left_anti")
-    index.append(fresh.select("digest", F.col("top_id").alias("keep_id"), F.lit(batch).alias("batch")))
-    if batch != "0" or known.limit(1).count():
-        groups = groups.join(known.hint("merge"), "digest", "left")
-    else:
-        groups = groups.withColumns({"known_id": F.lit(None).cast("long"), "known": F.lit(None).cast("boolean")})
-    groups = groups.select(
-        "digest", "group_size", "top", F.when(F.col("known"), F.col("known_id")).otherwise(F.col("top_id")).alias("keep_id"),
-        F.coalesce("known", F.lit(False)).alias("known"),
-    )
-    least = max(1000, int(rows.count() * HOT_SHARE))
-    hot = F.col("group_size") >= least
-    few = F.broadcast(groups.filter(hot).select("digest", F.struct("group_size", "top", "keep_id", "known").alias("hot")))
-    split = rows.join(few, "digest", "left")
-    common = split.filter(F.col("hot").isNotNull()).select("id", "digest", *ties, "hot.*")
-    rest = split.filter(F.col("hot").isNull()).select("id", "digest", *ties).join(groups.filter(~hot), "digest")
-    return common.unionByName(rest).select(
-        F.col("id").alias(id_col), "keep_id", "group_size",
-        ((F.struct("id", *ties) if ties else F.col("id")).eqNullSafe(F.col("top")) & ~F.col("known")).alias("kept"),
+    tops = rows.groupBy("digest").agg(F.max(F.struct("id", *ties)).alias("top"), F.count(F.lit(1)).alias("group_size"))
+    tops = scratch.write(tops, "groups")
+    for part in _falling(rows, batches):
+        new = part.groupBy("digest").agg(F.max("id").alias("keep_id"))
+        fresh = new.join(index.read().select("digest").hint("merge"), "digest", "left_anti")
+        index.append(scratch.write(fresh.withColumn("batch", F.lit(batch)), "fresh"))
+    entries = index.read().select("digest", "keep_id", (F.col("batch") == batch).alias("own"))
+    groups = scratch.write(tops.join(entries.hint("merge"), "digest"), "entries")
+    out = join_by_size(rows, groups, ["digest"], "group_size")
+    return out.select(
+        F.col("id").alias(id_col), "keep_id", "group_size", (F.struct("id", *ties).eqNullSafe(F.col("top")) & F.col("own")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"), *(F.col(t).alias(c) for t, c in zip(ties, tie_cols, strict=True)),
     )
+
+
+def _falling(rows: DataFrame, batches: int) -> list[DataFrame]:
+    """``rows`` in ranges of ``id`` of about even size, the largest ids first and null ids in the last."""
+    cuts = sorted(set(rows.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []), reverse=True) if batches > 1 else []
+    if not cuts:
+        return [rows]
+    inner = [rows.filter((F.col("id") <= high) & (F.col("id") > low)) for high, low in zip(cuts, cuts[1:])]
+    return [rows.filter(F.col("id") > cuts[0]), *inner, rows.filter((F.col("id") <= cuts[-1]) | F.col("id").isNull())]

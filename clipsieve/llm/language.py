@@ -7,11 +7,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches
+
 #: n-grams in a profile, of a language and of a document.
 PROFILE = 300
 #: Bits for a code point; three fit one signed 64-bit integer.
@@ -98,7 +101,7 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE, text_col: str = "text",
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, []).append(found := _trigrams(text))
                 waiting += len(found)
-                if waiting > 4_000_000:
+                if waiting > 1_000_000:
                     for some in list(held):
                         add(some)
                     waiting = 0
@@ -172,6 +175,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFI
     no language was learned. Whole texts are read, in Arrow batches and without a
     shuffle; other columns are not read. Repeated rows give repeated rows.
     """
+    bound_batches(docs.sparkSession)
     one = Identifier(profiles, size)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -183,12 +187,20 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFI
     return docs.select(id_col, text_col).mapInArrow(rows, schema)
 
 
-def identified_rows(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, in whose text a language is found; those with ``und`` are left out."""
-    one, at = Identifier(profiles, size), docs.columns.index(text_col)
+def identified_rows(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, in whose text a language is found, with it in ``lang_col``; those with ``und`` are left out.
+
+    Null and empty texts and those without a letter are ``und``. Repeated rows
+    stay as often as they come; an empty table gives none. Other columns pass
+    through, whatever their names.
+    """
+    bound_batches(docs.sparkSession)
+    one, at, to = Identifier(profiles, size), docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([one(t)[0] != UNKNOWN for t in batch.column(at).to_pylist()], pa.bool_()))
+            found = pa.array([one(t)[0] for t in batch.column(at).to_pylist()], pa.string())
+            columns = [found.cast(batch.schema.field(k).type) if k == to else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pc.not_equal(found, UNKNOWN))
 
     return docs.mapInArrow(rows, docs.schema)

@@ -2,8 +2,10 @@
 
 Normalisation is our own: the model's compiled character map is read as a double
 array trie, the longest key that matches at each place is replaced, and for every
-normalised byte the original byte span is recorded. The library then finds the
-ids; each id's length in normalised bytes projects it to its span in the original.
+normalised byte the original byte span is recorded. Places whose byte begins no
+key are passed over in numpy, so a model with an empty map takes the same way. The
+library then finds the ids; each id's length in normalised bytes projects it to
+its span in the original.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import bound_batches
+
 #: The mark that stands for a space in pieces: U+2581, three bytes.
 MARK = "▁".encode()
 #: Original bytes of one call to the library's encoder; longer texts go alone.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
 
 class CharacterMap:
@@ -77,79 +81,81 @@ class OffsetTokenizer:
         self.dummy, self.squeeze, self.escape = n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces
         self.suffix = spec.trainer_spec.treat_whitespace_as_suffix
         self.user = sorted((p.piece.encode() for p in spec.pieces if p.type == pb.ModelProto.SentencePiece.USER_DEFINED), key=len, reverse=True)
+        self.starts = self.map.starts.copy()
+        self.starts[[u[0] for u in self.user]] = True
         kind = pb.ModelProto.SentencePiece
         self.width = np.array([{kind.CONTROL: 0, kind.BYTE: 1, kind.UNKNOWN: -1}.get(p.type, len(p.piece.encode())) for p in spec.pieces], np.int64)
-        self.plain = not n.precompiled_charsmap and not self.squeeze and not self.suffix and not self.user and self.escape
-        mark = MARK.decode()
-        names = [p.piece for p in spec.pieces]
-        marks = np.array([x.count(mark) for x in names], np.int64)
-        self.source_width = np.where(self.width > 0, self.width - (len(MARK) - 1) * marks, self.width)
+
+    def _replaced(self, data: bytes, source: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        """Place, width and replacement wherever a user-defined piece or else a key of the map matches, the longest first."""
+        at = 0
+        for k in np.flatnonzero(self.starts[source]).tolist():
+            if k < at:
+                continue
+            own = next((u for u in self.user if data.startswith(u, k)), None)
+            hit = (len(own), own) if own else self.map.longest(data, k) if self.map.starts[data[k]] else None
+            if hit:
+                at = k + hit[0]
+                yield k, *hit
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """Normalised bytes, and for each the begin and end of its source in the original bytes."""
+        """Normalised bytes, and for each the begin and end of its source in the original bytes.
+
+        A step is a matched key, or else one character. Squeezing drops a step's
+        leading spaces where the text so far ends with a space (or is empty); a
+        space becomes its mark, and marks at the end of the text are dropped too.
+        """
         data = text.encode()
-        if self.plain:
-            return self._plain(data)
-        out, begin, end = bytearray(), [], []
-        at, n = 0, len(data)
+        source = np.frombuffer(data, np.uint8)
+        first = (source & 0xC0) != 0x80
+        length = np.ones(len(source), np.int64)
+        found = list(self._replaced(data, source))
+        for k, width, new in found:
+            first[k + 1 : k + width] = False
+            length[k : k + width] = 0
+            length[k] = len(new)
+        out, step = np.repeat(source, length), np.repeat(np.cumsum(first) - 1, length)
+        if found:
+            to = np.cumsum(length)
+            for k, _, new in found:
+                out[to[k] - len(new) : to[k]] = np.frombuffer(new, np.uint8)
+        if self.squeeze and len(out):
+            kept = self._squeezed(out == 0x20, step)
+            out, step = out[kept], step[kept]
+        begins = np.flatnonzero(first)
+        begin, end = begins[step], np.append(begins[1:], len(source))[step]
+        if not len(source) or self.squeeze and not len(out):
+            return b"", begin, end
+        if self.escape:
+            width = np.where(out == 0x20, len(MARK), 1)
+            begin, end = np.repeat(begin, width), np.repeat(end, width)
         space = MARK if self.escape else b" "
-
-        def put(piece: bytes, a: int, b: int) -> None:
-            out.extend(piece)
-            begin.extend([a] * len(piece))
-            end.extend([b] * len(piece))
-
-        def take(i: int) -> tuple[int, bytes]:
-            for u in self.user:
-                if data.startswith(u, i):
-                    return len(u), u
-            if self.map.starts[data[i]] and (hit := self.map.longest(data, i)):
-                return hit
-            width = 1 if data[i] < 0x80 else 2 if data[i] < 0xE0 else 3 if data[i] < 0xF0 else 4
-            return width, data[i : i + width]
-
-        if self.squeeze:
-            while at < n and (step := take(at))[1] == b" ":
-                at += step[0]
-        if at >= n:
-            return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
+        normal = out.tobytes().replace(b" ", space)
         if self.dummy and not self.suffix:
-            put(space, at, at)
-        spaced = self.squeeze
-        while at < n:
-            width, piece = take(at)
-            if spaced:
-                piece = piece.lstrip(b" ")
-            if piece:
-                for part in (piece.replace(b" ", space),):
-                    put(part, at, at + width)
-                spaced = piece.endswith(b" ") and self.squeeze
-            at += width
+            here = np.full(len(space), int(begin[0]) if len(begin) else 0)
+            normal, begin, end = space + normal, np.concatenate([here, begin]), np.concatenate([here, end])
         if self.squeeze:
-            while out.endswith(space):
-                del out[-len(space) :], begin[-len(space) :], end[-len(space) :]
+            stay = len(normal)
+            while normal.endswith(space, 0, stay):
+                stay -= len(space)
+            normal, begin, end = normal[:stay], begin[:stay], end[:stay]
         if self.dummy and self.suffix:
-            put(space, n, n)
-        return bytes(out), np.array(begin, np.int64), np.array(end, np.int64)
-
-    def _plain(self, data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """No map: every byte stands for itself, a space for the three of its mark."""
-        if not data:
-            return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        source = np.frombuffer(data, np.uint8)
-        widths = np.where(source == 0x20, len(MARK), 1)
-        begin = np.repeat(np.arange(len(source)), widths)
-        end = begin + 1
-        if self.dummy:
-            begin, end = np.concatenate([np.zeros(len(MARK), np.int64), begin]), np.concatenate([np.zeros(len(MARK), np.int64), end])
-        return (MARK if self.dummy else b"") + data.replace(b" ", MARK), begin, end
+            here = np.full(len(space), len(source))
+            normal, begin, end = normal + space, np.concatenate([begin, here]), np.concatenate([end, here])
+        return normal, begin, end
+
+    @staticmethod
+    def _squeezed(space: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Which bytes stay: ``space`` marks the spaces, ``step`` numbers the steps that gave them."""
+        starts = np.flatnonzero(np.diff(step, prepend=-1))
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(step))))
+        solid = np.cumsum(~space)
+        leading = solid == (solid[starts] - ~space[starts])[run]
+        after_space = np.concatenate([[True], space[np.append(starts[1:], len(step)) - 1][:-1]])[run]
+        return ~(leading & after_space)
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Original byte span of every id; control ids have empty ones at either side."""
-        width = self.source_width[ids]
-        if self.plain and self.dummy and text and MARK.decode() not in text and width.min() >= 0:
-            to = np.cumsum(width) - 1  # each space is one byte again, and the first mark stands for none
-            return np.maximum(to - width, 0), np.maximum(to, 0)
         normal, begin, end = self.normalise(text)
         width = self.width[ids]
         if (unknown := np.flatnonzero(width < 0)).size:
@@ -160,10 +166,8 @@ class OffsetTokenizer:
         if not len(normal):
             return np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         first = to - width
-        empty = width == 0
         a = np.append(begin, end[-1])[first]
-        b = np.where(empty, a, end[np.maximum(to - 1, 0)])
-        return a, b
+        return a, np.where(width == 0, a, end[np.maximum(to - 1, 0)])
 
     def _unknown(self, normal: bytes, ids: np.ndarray, width: np.ndarray, unknown: np.ndarray) -> np.ndarray:
         """An unknown piece reaches to where the next known one begins."""
@@ -218,6 +222,8 @@ def encode(docs: DataFrame, model: bytes, outputs: Sequence[str] = ("n_tokens",
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(o, _OUTPUTS[o]) for o in outputs)])
     wanted = tuple(outputs)
 
+    bound_batches(docs.sparkSession)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(model)
         for batch in batches:

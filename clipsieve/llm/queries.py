@@ -16,7 +16,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op3")
     index = dedup.DigestIndex(spark, scratch.path("index"))
-    return dedup.exact_dedup(_table(spark, sf_dir, "documents"), index, scratch)
+    found = dedup.exact_dedup(_table(spark, sf_dir, "documents"), index, scratch)
+    index.forget()
+    return found
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
