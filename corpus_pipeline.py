@@ -16,7 +16,11 @@ from clipsieve.llm.common import Scratch, fresh_name
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out texts in which no language is found: null, empty, or without a letter."""
+    """Writes each text's language into ``lang`` and leaves out texts in which none is found: null, empty, or without a letter.
+
+    Profiles come from the rows outside the held-out fold that have a language. Repeated rows and null ids stay as they
+    are; an empty table gives none; columns besides ``doc_id, text, lang`` pass through.
+    """
     return language.identified_rows(docs, queries.language_profiles(docs))
 
 
@@ -31,10 +35,15 @@ def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str, str]:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays: that with the largest doc_id (null: the smallest), of repeated ids that with the largest row hash."""
+    """Of equal texts one row stays: that with the largest doc_id (null: the smallest), of repeated ids that with the largest row hash.
+
+    Null and empty texts are equal; an empty table gives no rows; other columns pass through, whatever their names.
+    """
     scratch = Scratch(spark, "pipeline-copies")
     rows, row, tie = numbered(docs, scratch)
-    found = dedup.exact_dedup(rows, dedup.DigestIndex(spark, scratch.path("index")), scratch, tie_cols=(tie, row))
+    index = dedup.DigestIndex(spark, scratch.path("index"))
+    found = dedup.exact_dedup(rows, index, scratch, tie_cols=(tie, row))
+    index.forget()
     return rows.join(found.filter("kept").select(row), row, "left_semi").select(*docs.columns)
 
 
@@ -53,12 +62,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each pass over a document, the last one cut at its source's budget."""
+    """The mix: a row for each pass over a document, the last one cut at its source's budget.
+
+    A null source is a source; texts without words are left out; null ids and repeats are mixed like others; an empty
+    table gives no rows; other columns pass through.
+    """
     return mixing.mixed_documents(docs, Scratch(spark, "pipeline-mix"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256, covered`` of every row of the mix."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, covered`` of every row of the mix; null text counts as empty, other columns are not read."""
     return pieces.encode(docs, queries.piece_model(), ("n_tokens", "ids_sha256", "decoded_sha256", "covered"))
 
 
@@ -75,6 +88,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage gives for the folder's ``documents``; the stages state how they treat nulls, repeats and empty tables."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
