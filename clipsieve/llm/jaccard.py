@@ -49,12 +49,12 @@ ROUNDS = 3
 #: The level of a bucket that was counted once: its shingle is in one set only.
 ALONE = 2
 #: Members of a hub's group that are compared with how many others in one task.
-BLOCK = (256, 4096)
+BLOCK = (128, 128)
 #: Partners of a hub that one task meets, unless they are less than a 10,000th of all.
 PARTNERS = 1000
 
 _SETS = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shared", T.LongType()),
+    T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shared", T.LongType()),
     T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("segments", T.ArrayType(T.BinaryType())),
 ])
 
@@ -151,14 +151,14 @@ def fragment_cuts(table: DataFrame) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _sets(asked: DataFrame, answered: DataFrame, bits: int, cuts: np.ndarray, percent: int) -> DataFrame:
+def _sets(asked: DataFrame, answered: DataFrame, bits: int, cuts: np.ndarray, percent: int, id_type: T.DataType) -> DataFrame:
     """``doc_id, key, n, shared, prefix, segments`` of every document.
 
     The last three stand at a class's first row in its chunk, if the class may
     link: the number of shingles that other sets may have, those of them that lead
     in the global order, and all of them as one segment a fragment.
     """
-    shift = np.uint64(64 - bits)
+    shift, schema = np.uint64(64 - bits), T.StructType([T.StructField("doc_id", id_type), *_SETS])
 
     def use(batch: pa.RecordBatch, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
         sets = list(shingles.shingle_sets(batch.column(1)))
@@ -182,9 +182,9 @@ def _sets(asked: DataFrame, answered: DataFrame, bits: int, cuts: np.ndarray, pe
             for column, x in ((keys, key), (sizes, n), (shared, r if parts else None), (leads, lead), (segments, parts)):
                 column.append(x)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()),
-                                          pa.array(leads, pa.list_(pa.int64())), pa.array(segments, pa.list_(pa.binary()))], _SETS.names)
+                                          pa.array(leads, pa.list_(pa.int64())), pa.array(segments, pa.list_(pa.binary()))], schema.names)
 
-    return buckets.met(asked, answered, np.uint8, use, _SETS)
+    return buckets.met(asked, answered, np.uint8, use, schema)
 
 
 # -- overlaps by fragment ---------------------------------------------------------
@@ -317,9 +317,9 @@ def similar_classes(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
     texts have no shingles and link with nothing. Rows that repeat an id with
     different texts are nodes of their own and share nothing by the id. Null ids
     take part; a component of null ids only has a null ``component_id``. An empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read. Ids may be of any type that has an order.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text")
     bits = max(MIN_BITS, (docs.agg(F.sum(F.length("text"))).first()[0] or 0).bit_length())
     table = scratch.write(frequencies(docs, bits), "frequencies")
     free(docs)
@@ -333,7 +333,7 @@ def similar_classes(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
     for k in range(ROUNDS):
         asked = scratch.write(buckets.asks(docs.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k), bits, of, 1), f"asks{k}")
         answered = buckets.answers(asked, table, ("levels",), lambda held: buckets.unpack(held[0], np.uint8))
-        part = scratch.write(_sets(asked, answered, bits, cuts, percent), f"sets{k}")
+        part = scratch.write(_sets(asked, answered, bits, cuts, percent, docs.schema["doc_id"].dataType), f"sets{k}")
         scratch.drop(f"asks{k}")
         free(docs)
         rows = part if rows is None else rows.unionByName(part)
