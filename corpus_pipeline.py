@@ -24,41 +24,42 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.identified_rows(docs, queries.language_profiles(docs))
 
 
-def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str, str]:
-    """``docs``, written with a number and a hash of each row, and the names of these two columns.
+def named(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a name of each row, made of all its columns, and the name's column: ids may repeat or be null, so stages choose rows by it.
 
-    Ids may repeat or be null, so stages choose rows by them: the hash settles
-    ties of the id, and the number those of rows that repeat wholly.
+    Rows of one name repeat wholly, and any of them stands for the others.
     """
-    row, tie = fresh_name(docs, "row"), fresh_name(docs, "tie")
-    return scratch.write(docs.select("*", F.monotonically_increasing_id().alias(row), F.xxhash64(*docs.columns).alias(tie)), "numbered"), row, tie
+    name = fresh_name(docs, "name")
+    return docs.withColumn(name, F.concat_ws("-", F.hex(F.xxhash64(*docs.columns)), F.hex(F.xxhash64(F.lit(1), *docs.columns)))), name
+
+
+def only(docs: DataFrame, name: str, kept: DataFrame) -> DataFrame:
+    """One row of each of the names in ``kept``; texts are shuffled once."""
+    chosen = docs.join(kept.select(name).distinct().hint("merge"), name, "left_semi").dropDuplicates([name])
+    return chosen.drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays: that with the largest doc_id (null: the smallest), of repeated ids that with the largest row hash.
+    """Of equal texts one row stays: that with the largest doc_id (null: the smallest), of repeated ids that with the largest name.
 
     Null and empty texts are equal; an empty table gives no rows; other columns pass through, whatever their names.
     """
-    scratch = Scratch(spark, "pipeline-copies")
-    rows, row, tie = numbered(docs, scratch)
+    scratch, (rows, name) = Scratch(spark, "pipeline-copies"), named(docs)
     index = dedup.DigestIndex(spark, scratch.path("index"))
-    found = dedup.exact_dedup(rows, index, scratch, tie_cols=(tie, row))
+    found = dedup.exact_dedup(rows, index, scratch, tie_cols=(name,))
     index.forget()
-    return rows.join(found.filter("kept").select(row), row, "left_semi").select(*docs.columns)
+    return only(rows, name, found.filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links (five words, 0.8) one row stays: that with the smallest doc_id (null: the largest), of repeated ids that with the smallest row hash.
+    """Of documents connected by links (five words, 0.8) one row stays: that with the smallest doc_id (null: the largest), of repeated ids that with the smallest name.
 
-    Rows are the nodes, so rows that share an id are told apart.
+    Rows are the nodes, so rows that share an id are told apart. Texts without words link with nothing and stay; rows that repeat wholly count once;
+    an empty table gives no rows; other columns pass through, whatever their names.
     """
-    scratch = Scratch(spark, "pipeline-near")
-    rows, row, tie = numbered(docs, scratch)
-    found = jaccard.similar_classes(rows.select(F.col(row).alias("doc_id"), "text"), scratch)
-    ranked = found.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, tie, F.col("doc_id").alias("id")), row)
-    first = F.min(F.struct(F.col("id").isNull(), "id", tie, row)).alias("first")
-    kept = ranked.groupBy("component_id").agg(first).select(F.col(f"first.{row}").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    scratch, (rows, name) = Scratch(spark, "pipeline-near"), named(docs)
+    found = jaccard.similar_classes(rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", name).alias("doc_id"), "text"), scratch)
+    return only(rows, name, found.select(F.col(f"component_id.{name}").alias(name)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
