@@ -17,14 +17,15 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def preference_pairs(turns: DataFrame) -> DataFrame:
-    """``pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask`` for each pair.
+    """``pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask, usable`` for each pair.
 
     ``turns``: ``pair_id, side`` (``chosen`` or ``rejected``), ``turn, role,
     text``. Turns are ordered by number, then role and text, so gaps and repeated
     numbers do no harm; null roles are ``unknown``, null texts empty. The prompt
     is the longest common prefix of turns with equal role and text, rendered
     once; if one side is a prefix of the other, its completion is empty, as is
-    that of a side which is missing. A mask is an array of ``begin, end``
+    that of a side which is missing; such rows, and pairs of equal sides, are no
+    preference and not ``usable``. A mask is an array of ``begin, end``
     character ranges of the completion to train on: text and end mark of each
     assistant turn. Rows without pair or side are passed over; an empty table
     gives no rows, other columns are not read.
@@ -57,5 +58,6 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
 
         return F.aggregate(turns_of(name), start, add, lambda s: s["spans"])
 
-    return gathered.select("pair_id", "n_common", text("p").alias("prompt"), text("c").alias("chosen"), text("r").alias("rejected"),
-                           mask("c").alias("chosen_mask"), mask("r").alias("rejected_mask"))
+    out = gathered.select("pair_id", "n_common", text("p").alias("prompt"), text("c").alias("chosen"), text("r").alias("rejected"),
+                          mask("c").alias("chosen_mask"), mask("r").alias("rejected_mask"))
+    return out.withColumn("usable", (F.col("chosen") != "") & (F.col("rejected") != ""))

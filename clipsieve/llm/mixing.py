@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, fresh_name
+from .common import WORD, Scratch, fresh_name, join_by_size
 
 #: Hex digits of a key that name its range; 16 ** RANGE_DIGITS ranges a source.
 RANGE_DIGITS = 3
@@ -39,7 +39,7 @@ def _source_weights(sizes: DataFrame, scratch: Scratch, weights: Sequence[float]
         "before", F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
     place = F.row_number().over(W.partitionBy("part").orderBy(order)) + F.coalesce("before", F.lit(0)) - 1
     turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    return ranges.join(before, "part").select("source", "source_size", turn.alias("weight"))
+    return ranges.join(before, "part").select("source", "source_size", "documents", turn.alias("weight"))
 
 
 def source_targets(rows: DataFrame, scratch: Scratch, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0) -> DataFrame:
@@ -50,7 +50,7 @@ def source_targets(rows: DataFrame, scratch: Scratch, weights: Sequence[float] =
     (target a unit of weight) is found by repeated sums over one row a source;
     it only rises, and each round caps one source more at least.
     """
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
     table = scratch.write(_source_weights(sizes, scratch, weights), "weights")
     cap = F.col("source_size") * F.lit(float(epochs))
     total = table.agg(F.sum("source_size")).first()[0] or 0
@@ -88,16 +88,24 @@ def source_cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
     ends = keys.withColumn("until", F.sum("words").over(W.partitionBy("source", "range").orderBy("key").rowsBetween(W.unboundedPreceding, 0)))
     cut = ends.filter("until - words < rest AND until >= rest").select(
         F.col("source").alias("s"), F.col("key").alias("cut_key"), F.expr("(rest - (until - words)) div copies").alias("cut_words"))
-    return plan.join(cut, plan["source"].eqNullSafe(cut["s"]), "left").select("source", "source_size", "target", "rounds", "cut_key", "cut_words")
+    return plan.join(cut, plan["source"].eqNullSafe(cut["s"]), "left").select("source", "source_size", "target", "documents", "rounds", "cut_key", "cut_words")
+
+
+def _with_cut(rows: DataFrame, cuts: DataFrame, source: Column, name: str) -> DataFrame:
+    """``rows`` with their source's row of ``cuts`` as the struct ``name``: by broadcast, or if there are too many sources only the large ones so."""
+    named = lambda c: F.when(c.isNull(), "").otherwise(F.concat(F.lit("="), c))
+    key, size = fresh_name(rows, "of"), fresh_name(rows, "m")
+    table = cuts.select(named(F.col("source")).alias(key), F.struct(*cuts.columns).alias(name), F.col("documents").alias(size))
+    rows = rows.withColumn(key, named(source))
+    few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    return (rows.join(F.broadcast(table), key) if few else join_by_size(rows, table, [key], size)).drop(key, size)
 
 
 def with_taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """``rows`` (``source, key, size`` and more) with ``source_size, target, taken``."""
-    few = cuts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    cuts = cuts.withColumnRenamed("source", "of")
-    joined = rows.join(F.broadcast(cuts) if few else cuts, F.col("source").eqNullSafe(F.col("of")))
+    joined = _with_cut(rows, cuts, F.col("source"), "cut").select("*", "cut.source_size", "cut.target", "cut.rounds", "cut.cut_key", "cut.cut_words")
     last = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.col("cut_words")).otherwise(0)
-    return joined.withColumn("taken", (F.col("rounds") * F.col("size") + last).cast("long")).drop("of", "rounds", "cut_key", "cut_words")
+    return joined.withColumn("taken", (F.col("rounds") * F.col("size") + last).cast("long")).drop("cut", "rounds", "cut_key", "cut_words")
 
 
 def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0,
@@ -135,10 +143,8 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, weights: Sequence[float]
         F.col(source_col).cast("string").alias("source"), random_key(F.col(id_col), F.col(text_col)).alias("key"),
         word_count(F.col(text_col)).alias("size")), "rows")
     cuts = scratch.write(source_cuts(rows, source_targets(rows, scratch, weights, share, epochs)), "cuts")
-    few = cuts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     struct = fresh_name(docs, "cut")
-    cuts = cuts.select(F.struct("*").alias(struct))
-    joined = docs.join(F.broadcast(cuts) if few else cuts, F.col(source_col).cast("string").eqNullSafe(F.col(f"{struct}.source")))
+    joined = _with_cut(docs, cuts, F.col(source_col).cast("string"), struct)
     key, size = random_key(F.col(id_col), F.col(text_col)), word_count(F.col(text_col))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col(f"{struct}.cut_words").cast("int")), "")

@@ -62,8 +62,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = hosts.filter(spread % 2 == 0).select("key", F.explode(F.array(
         F.struct(F.lit("block").alias("action"), (spread % 200).alias("listed")),
         F.struct(F.when(spread % 3 == 0, "allow").otherwise("remove").alias("action"), (spread % 200 + 20 + spread % 90).alias("listed")))).alias("e")).select("key", "e.*")
-    fixed = spark.createDataFrame([("example.net", "block", 180), ("example.net", "remove", 201)], "key string, action string, listed long")
-    found = urls.evaluate(captures, dated.unionByName(fixed), DAYS)
+    fixed = spark.sql("SELECT * FROM VALUES ('example.net', 'block', 180L), ('example.net', 'remove', 201L) AS fixed(key, action, listed)")
+    found = urls.evaluate(captures, dated.unionByName(fixed))
     return found.select(F.col("id").alias("page_id"), "host", "fetched", "matched", "action", "since", "blocked")
 
 
@@ -172,7 +172,8 @@ ORACLES = {
                coalesce((SELECT string_agg(r, '' ORDER BY place) FROM spans s WHERE s.pair_id = c.pair_id AND good), '') AS chosen,
                coalesce((SELECT string_agg(r, '' ORDER BY place) FROM spans s WHERE s.pair_id = c.pair_id AND NOT good), '') AS rejected,
                coalesce((SELECT string_agg(span, ',' ORDER BY place) FROM spans s WHERE s.pair_id = c.pair_id AND good AND role = 'assistant'), '') AS chosen_mask,
-               coalesce((SELECT string_agg(span, ',' ORDER BY place) FROM spans s WHERE s.pair_id = c.pair_id AND NOT good AND role = 'assistant'), '') AS rejected_mask
+               coalesce((SELECT string_agg(span, ',' ORDER BY place) FROM spans s WHERE s.pair_id = c.pair_id AND NOT good AND role = 'assistant'), '') AS rejected_mask,
+               EXISTS (SELECT 1 FROM spans s WHERE s.pair_id = c.pair_id AND good) AND EXISTS (SELECT 1 FROM spans s WHERE s.pair_id = c.pair_id AND NOT good) AS usable
         FROM cuts c
     """,
 }

@@ -377,27 +377,59 @@ def test_url_lists(spark):
         (1, "http://a.bad.org/x", 5), (2, "https://user@A.BAD.org:8080/y?z", 15), (3, "http://bad.org.", 25), (4, "http://ok.bad.org", 15), (5, "http://notbad.org", 15),
         (6, None, 15), (7, "no url", 15), (8, "http://bad.org", None), (9, "http://bad.org", 300), (9, "http://bad.org", 300), (10, "http:///path", 1)], "id long, url string, fetched long").withColumn("key", F.lit("clash"))
     entries = spark.createDataFrame([("bad.org", "block", 10), ("bad.org", "remove", 20), ("bad.org", "block", 290), ("ok.bad.org", "allow", 12), ("bad.org", None, 1), (None, "block", 1), ("org", "block", 28)], "key string, action string, listed long")
-    got = {r["id"]: (r["matched"], r["blocked"]) for r in urls.evaluate(captures, entries, 365).collect()}
+    got = {r["id"]: (r["matched"], r["blocked"]) for r in urls.evaluate(captures, entries).collect()}
     assert got == {1: (None, False), 2: ("bad.org", True), 3: (None, False), 4: ("ok.bad.org", False), 5: (None, False), 6: (None, False), 7: (None, False), 8: (None, False), 9: ("bad.org", True), 10: (None, False)}
-    assert urls.evaluate(captures.limit(0), entries, 365).count() == 0
-    assert urls.evaluate(captures, entries.limit(0), 365).filter("blocked").count() == 0
+    assert urls.evaluate(captures.limit(0), entries).count() == 0
+    assert urls.evaluate(captures, entries.limit(0)).filter("blocked").count() == 0
 
 
 def test_url_lists_know_deep_hosts(spark):
     deep = "l12.l11.l10.l9.l8.l7.l6.l5.l4.l3.l2.l1"
     captures = spark.createDataFrame([(1, f"http://{deep}/", 5), (2, f"http://x.{deep}/", 5), (3, f"http://y.{deep}/", 5), (4, f"http://z{deep}/", 5)], "id long, url string, fetched long")
     entries = spark.createDataFrame([(deep, "block", 1), (f"x.{deep}", "allow", 1)], "key string, action string, listed long")
-    got = {r["id"]: (r["matched"], r["blocked"]) for r in urls.evaluate(captures, entries, 365).collect()}
+    got = {r["id"]: (r["matched"], r["blocked"]) for r in urls.evaluate(captures, entries).collect()}
     assert got == {1: (deep, True), 2: (f"x.{deep}", False), 3: (deep, True), 4: (None, False)}
 
 
 def test_url_lists_give_a_row_for_every_capture(spark):
     captures = spark.createDataFrame([(1, "http://a.org/x", 5), (1, "http://a.org/y", 5), (1, "http://a.org/y", 5), (2, None, 5), (2, None, 5)], "id long, url string, fetched long")
     entries = spark.createDataFrame([("a.org", "block", 1)], "key string, action string, listed long")
-    got = sorted((r["id"], r["blocked"]) for r in urls.evaluate(captures, entries, 365).collect())
+    got = sorted((r["id"], r["blocked"]) for r in urls.evaluate(captures, entries).collect())
     assert got == [(1, True), (1, True), (1, True), (2, False), (2, False)]
 
 
+def plain_url_lists(captures, entries):
+    out = []
+    for i, url, at in captures:
+        m = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", url or "")
+        host = re.sub(r"\.$", "", m.group(1).lower()) if m else ""
+        best = None
+        for key in {k for k, _, _ in entries if k}:
+            dated = {}
+            for k, action, day in entries:
+                if k == key and action is not None and day is not None:
+                    dated[day] = max(action, dated.get(day, ""))
+            held = [d for d in dated if at is not None and d <= at]
+            if held and dated[max(held)] != "remove" and (host == key or host.endswith("." + key)) and (best is None or len(key) > len(best[0])):
+                best = key, dated[max(held)], max(held)
+        out.append((i, best, bool(best) and best[1] == "block"))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_url_lists_against_brute_force(spark, seed, monkeypatch):
+    """Negative and late times, equal key and date with different actions, hot keys dealt out, very long URLs, clashing names."""
+    monkeypatch.setattr(urls, "LOOKUPS", 3)
+    rng = np.random.default_rng(seed)
+    hosts = [".".join(rng.choice(["a", "b", "c", "d"], int(rng.integers(1, 5)))) for _ in range(40)]
+    captures = [(int(k), f"http://{rng.choice(hosts)}/{'x' * (100_000 if k == 3 else 2)}", None if k % 17 == 0 else int(rng.integers(-900, 900))) for k in range(300)]
+    entries = [(str(rng.choice(hosts)), str(rng.choice(["block", "allow", "remove"])), int(rng.integers(-1000, 1000))) for _ in range(120)]
+    entries += [(hosts[0], "block", 5), (hosts[0], "remove", 5), (hosts[1], "allow", 7), (hosts[1], "block", 7), (None, "block", 0), (hosts[2], None, 0)]
+    frame = spark.createDataFrame(captures, "id long, url string, fetched long").withColumns({"part": F.lit(1), "lot": F.lit(2), "best": F.lit(3)})
+    found = urls.evaluate(frame, spark.createDataFrame(entries, "key string, action string, listed long")).collect()
+    assert sorted(str((r["id"], (r["matched"], r["action"], r["since"]) if r["matched"] else None, r["blocked"])) for r in found) == plain_url_lists(captures, entries)
+
+
 # -- 8 ----------------------------------------------------------------------------
 
 
@@ -441,6 +473,16 @@ def test_preference_pairs(spark):
     assert [one["rejected"][m["begin"] : m["end"]] for m in one["rejected_mask"]] == ["no<|end|>\n"]
     assert (got[2]["n_common"], got[2]["chosen"], got[2]["rejected"]) == (1, "", "")
     assert (got[3]["prompt"], got[3]["chosen"], got[3]["rejected"]) == ("", "<|unknown|>\n<|end|>\n", "")
+    assert [got[k]["usable"] for k in (1, 2, 3)] == [True, False, False]
+
+
+def test_preference_pairs_of_long_and_repeated_turns(spark):
+    long = "word " * 200_000
+    rows = [(1, "chosen", 0, "user", long), (1, "rejected", 0, "user", long), (1, "chosen", 1, "assistant", long), (1, "chosen", 1, "assistant", "b"), (1, "rejected", 1, "assistant", "c")]
+    frame = spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string")
+    (one,) = chat.preference_pairs(frame).collect()
+    assert one["n_common"] == 1 and len(one["prompt"]) == len(long) + 17 and one["chosen"].startswith("<|assistant|>\nb<|end|>") and len(one["chosen_mask"]) == 2 and one["usable"]
+    assert chat.preference_pairs(frame.limit(0)).count() == 0
 
 
 # -- 10 ---------------------------------------------------------------------------
