@@ -25,14 +25,14 @@ from .common import Scratch
 
 #: Vectors on which the tree is fitted, at most (in expectation).
 FIT_ROWS = 20_000
-#: Children of a node, and the leaves that a tree may have at most.
+#: Children of a node, and the leaves that a tree may have at most (2 MB of centres for 64 dimensions).
 FANOUT, MAX_LEAVES = 8, 4096
-#: Rows of the whole table for which one leaf is made.
-LEAF_ROWS = 1024
+#: Leaves for each root of the number of rows, so that leaves and rows of a leaf grow alike.
+LEAF_SHARE = 0.25
 #: Queries on which the width of the search is calibrated, and the recall to reach there.
-CALIBRATE, RECALL = 64, 0.97
-#: Vectors of a leaf that one task meets at once; larger leaves are cut.
-CHUNK = 8192
+CALIBRATE, RECALL = 64, 0.95
+#: Vectors, and queries, of a leaf that one task meets at once; larger leaves are cut.
+CHUNK, QUERIES = 8192, 2048
 
 
 @dataclass(frozen=True)
@@ -139,24 +139,28 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def nearest(q: np.ndarray, ids: np.ndarray, x: np.ndarray, own: int | None, k: int) -> list[tuple[float, int]]:
-    """The k rows of x with the largest inner product, ties to the smaller id, without the row of id ``own``.
+def nearest(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the queries ``q`` the k rows of ``x`` with the largest inner product, ties to the smaller id, without the row numbered ``own``.
 
-    The product of a pair is always summed in the same order, so that equal
-    vectors tie exactly; matrix products only preselect, with a margin.
+    Gives three arrays: the query's place, the row's place, the product. The
+    product of a pair is always summed in the same order, so that equal vectors
+    tie exactly; matrix products only preselect, with a margin.
     """
-    rough = x @ q
-    if own is not None:
-        rough = np.where(ids == own, -np.inf, rough)
-    n = min(k, int((rough > -np.inf).sum()))
-    if not n:
-        return []
-    least = np.partition(rough, len(rough) - n)[len(rough) - n]
-    margin = 1e-9 * (abs(least) + float(np.sqrt(q @ q)))
-    rows = np.flatnonzero((rough >= least - margin) & (rough > -np.inf))
-    exact = (x[rows] * q).sum(axis=1)
-    order = np.lexsort((ids[rows], -exact))[:n]
-    return [(float(exact[o]), int(ids[rows[o]])) for o in order]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    n = min(k, len(x))
+    for lo in range(0, len(q) if n else 0, 256):
+        some = q[lo : lo + 256]
+        rough = some @ x.T
+        rough[own[lo : lo + 256, None] == rows[None, :]] = -np.inf
+        least = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n]
+        margin = 1e-9 * (np.abs(np.where(np.isfinite(least), least, 0.0)) + np.sqrt((some * some).sum(1)))
+        at, to = np.nonzero((rough >= (least - margin)[:, None]) & (rough > -np.inf))
+        exact = (some[at] * x[to]).sum(axis=1)
+        order = np.lexsort((rows[to], ids[to], -exact, at))
+        at, to, exact = at[order], to[order], exact[order]
+        first = np.arange(len(at)) - np.searchsorted(at, at) < k
+        out.append((at[first] + lo, to[first], exact[first]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def search(table: DataFrame, scratch: Scratch, k: int = 20, step: int = 20, recall: float = RECALL,
@@ -165,35 +169,40 @@ def search(table: DataFrame, scratch: Scratch, k: int = 20, step: int = 20, reca
 
     Vectors that are null, zero, or hold null or non-finite components take no
     part, nor do rows without id or of another width than the commonest. Fewer
-    candidates give fewer rows; an empty table none. A repeated id is one query
-    (its least vector) and never its own neighbour, but each of its rows may be
-    found by others. Other columns are not read.
-
-    Every vector is indexed. Queries and vectors meet by leaf: a leaf of more
-    than CHUNK vectors is cut by a hash of the id, with its queries sent to each
-    part, so copies of one vector are no one task's burden. Each part returns k
-    rows a query; the k best of them are the result.
+    candidates give fewer rows; an empty table none. Rows that repeat an id are
+    queries of their own, each with all other rows as candidates, and share
+    ``query_id``. Other columns are not read.
+
+    The tree is fitted on a bounded sample (FIT_ROWS), but every vector is
+    indexed. Queries and vectors meet by leaf: a leaf of more than CHUNK vectors
+    or QUERIES queries is cut by hashes of their rows, and each part of the one
+    meets each of the other, so neither copies of one vector nor a leaf that all
+    queries visit are one task's burden. Each part returns k rows a query; the k
+    best of them are the result.
     """
-    vectors = scratch.write(clean_vectors(table, id_col, vector_col), "vectors")
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+    vectors = scratch.write(clean_vectors(table, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
     widths = vectors.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     if not widths:
         return table.sparkSession.createDataFrame([], schema)
-    width = widths["w"]
+    width, rows = widths["w"], widths["count"]
     vectors = vectors.filter(F.size("v") == width)
-    rows = widths["count"]
-    spread = F.crc32(F.md5(F.col("id").cast("string")))
-    sample = vectors.filter(spread < int(2**32 * min(1.0, FIT_ROWS / rows))).orderBy("id").toPandas()
-    tree = fit_tree(np.array(sample["v"].to_list(), float).reshape(-1, width), min(MAX_LEAVES, max(1, rows // LEAF_ROWS)))
+    spread = F.crc32(F.md5(F.concat_ws(":", "id", "row")))
+    sample = vectors.filter(spread < int(2**32 * min(1.0, FIT_ROWS / rows))).orderBy("id", "row").toPandas()
+    tree = fit_tree(np.array(sample["v"].to_list(), float).reshape(-1, width), min(MAX_LEAVES, max(2, int(LEAF_SHARE * rows**0.5))))
     placed = scratch.write(_placed(vectors, tree, width), "placed")
     tree = widen(tree, _radii(placed, tree))
-    asked = placed.filter(F.col("id") % step == 0).groupBy("id").agg(F.min("v").alias("v"))
-    wide = _calibrate(placed, asked.orderBy(F.crc32(F.md5(F.col("id").cast("string"))), "id").limit(CALIBRATE).toPandas(), tree, width, k, recall)
+    asked = placed.filter(F.col("id") % step == 0).select("id", "v", "row")
+    wide = _calibrate(placed, asked.orderBy(F.crc32(F.md5(F.concat_ws(":", "id", "row"))), "row").limit(CALIBRATE).toPandas(), tree, width, k, recall)
     return _meet(placed, asked, tree, wide, width, k, schema)
 
 
+_VECTOR = [T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("row", T.LongType())]
+
+
 def _placed(vectors: DataFrame, tree: Tree, width: int) -> DataFrame:
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("leaf", T.LongType()), T.StructField("far", T.DoubleType())])
+    """``id, v, row, leaf, far``: each vector's leaf and its distance from the leaf's centre."""
+    schema = T.StructType([*_VECTOR, T.StructField("leaf", T.LongType()), T.StructField("far", T.DoubleType())])
     centre = np.zeros((tree.leaves, width))
     at = np.flatnonzero(tree.leaf >= 0)
     centre[tree.leaf[at]] = tree.centres[at]
@@ -203,9 +212,9 @@ def _placed(vectors: DataFrame, tree: Tree, width: int) -> DataFrame:
             x = _matrix(batch.column(1), width)
             leaf = tree.place(x)
             far = np.linalg.norm(x - centre[leaf], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf, pa.int64()), pa.array(far, pa.float64())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64()), pa.array(far, pa.float64())], schema.names)
 
-    return vectors.mapInArrow(rows, schema)
+    return vectors.select("id", "v", "row").mapInArrow(rows, schema)
 
 
 def _radii(placed: DataFrame, tree: Tree) -> np.ndarray:
@@ -217,27 +226,29 @@ def _radii(placed: DataFrame, tree: Tree) -> np.ndarray:
 
 
 def _calibrate(placed: DataFrame, queries: pd.DataFrame, tree: Tree, width: int, k: int, recall: float) -> int:
-    """The least number of leaves (doubling, then all) at which the calibration queries' recall is reached.
+    """The least number of leaves (growing by a quarter, then all) at which the calibration queries' recall is reached.
 
     Their true neighbours come from all vectors: every task returns the k
     nearest of its rows for each of the few queries, with the leaf they lie in.
     """
     schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("leaf", T.LongType())])
-    q, own = np.array(queries["v"].to_list(), float).reshape(-1, width), queries["id"].to_list()
+    q, own = np.array(queries["v"].to_list(), float).reshape(-1, width), queries["row"].to_numpy(np.int64)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top: list[list[tuple[float, int, int]]] = [[] for _ in own]
+        held = None
         for batch in batches:
-            ids, x, leaf = batch.column(0).to_numpy(), _matrix(batch.column(1), width), batch.column(2).to_numpy()
-            for j in range(len(own)):
-                rough = np.where(ids == own[j], -np.inf, x @ q[j])
-                some = np.argpartition(-rough, min(k, len(rough)) - 1)[:k]
-                top[j] = sorted([*top[j], *((-float(rough[s]), int(ids[s]), int(leaf[s])) for s in some if rough[s] > -np.inf)])[:k]
-        out = [(j, i, -s, lf) for j, found in enumerate(top) for s, i, lf in found]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], schema.names)
-
-    found = placed.select("id", "v", "leaf").mapInArrow(best, schema).toPandas().sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
+            ids, leaf = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            at, to, score = nearest(q, own, _matrix(batch.column(1), width), ids, batch.column(2).to_numpy(), k)
+            found = (at, ids[to], score, leaf[to])
+            held = found if held is None else tuple(np.concatenate(c) for c in zip(held, found, strict=True))
+            order = np.lexsort((held[1], -held[2], held[0]))
+            held = tuple(c[order] for c in held)
+            first = np.arange(len(held[0])) - np.searchsorted(held[0], held[0]) < k
+            held = tuple(c[first] for c in held)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], schema.names)
+
+    found = placed.select("id", "v", "row", "leaf").mapInArrow(best, schema).toPandas().sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
     if not len(found):
         return 1
     place = np.full(len(found), tree.leaves)
@@ -252,27 +263,27 @@ def _calibrate(placed: DataFrame, queries: pd.DataFrame, tree: Tree, width: int,
 
 
 def _meet(placed: DataFrame, asked: DataFrame, tree: Tree, wide: int, width: int, k: int, schema: T.StructType) -> DataFrame:
-    visit = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("leaf", T.LongType())])
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walk(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), width)
-            lists = [tree.visit(q, wide) for q in x]
-            counts = [len(y) for y in lists]
-            rows = np.repeat(np.arange(len(x)), counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array([y for z in lists for y in z], pa.int64())], visit.names)
-
-    def block(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, x = right["id"].to_numpy(), np.array(right["v"].to_list(), float).reshape(-1, width)
-        out = [(int(i), v, s) for i, q in zip(left["id"], left["v"], strict=True) for s, v in nearest(np.asarray(q, float), ids, x, int(i), k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
-    vectors = placed.join(F.broadcast(sizes), "leaf").select("id", "v", "leaf", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    queries = asked.mapInArrow(walk, visit).join(F.broadcast(sizes), "leaf").select(
-        "id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    met = queries.groupBy("leaf", "part").cogroup(vectors.groupBy("leaf", "part")).applyInPandas(block, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            lists = [tree.visit(q, wide) for q in _matrix(batch.column(1), width)]
+            leaf = pa.array([y for z in lists for y in z], pa.int64())
+            at = pa.array(np.repeat(np.arange(len(lists)), [len(y) for y in lists]))
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), leaf], [*batch.schema.names, "leaf"]) if whole else pa.RecordBatch.from_arrays([leaf], ["leaf"])
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, x = (_matrix(side.column("v").combine_chunks(), width) if side.num_rows else np.zeros((0, width)) for side in (left, right))
+        own, ids, rows = left.column("row").to_numpy(), right.column("id").to_numpy(), right.column("row").to_numpy()
+        at, to, score = nearest(q, own, x, ids, rows, k)
+        return pa.table({"query_id": pa.array(left.column("id").to_numpy()[at], pa.int64()), "query": pa.array(own[at], pa.int64()), "vec_id": pa.array(ids[to], pa.int64()),
+                         "row": pa.array(rows[to], pa.int64()), "score": pa.array(score, pa.float64())})
+
+    leaf = T.StructField("leaf", T.LongType())
+    parts = lambda most: F.ceil(F.count(F.lit(1)) / most).cast("int")
+    visits = asked.mapInArrow(lambda b: walk(b, False), T.StructType([leaf])).groupBy("leaf").agg(parts(QUERIES).alias("lots"))
+    sizes = F.broadcast(placed.groupBy("leaf").agg(parts(CHUNK).alias("parts")).join(visits, "leaf"))  # MAX_LEAVES rows at most
+    vectors = placed.join(sizes, "leaf").select("id", "v", "row", "leaf", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    queries = asked.mapInArrow(lambda b: walk(b, True), T.StructType([*_VECTOR, leaf])).join(sizes, "leaf").select(
+        "id", "v", "row", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("row"), F.col("lots")).cast("int").alias("lot"))
+    met = queries.groupBy("leaf", "part", "lot").cogroup(vectors.groupBy("leaf", "part", "lot")).applyInArrow(block, "query_id long, query long, vec_id long, row long, score double")
+    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -433,25 +433,72 @@ def test_url_lists_against_brute_force(spark, seed, monkeypatch):
 # -- 8 ----------------------------------------------------------------------------
 
 
-def test_neighbours(spark):
+def plain_neighbours(rows, queries, k):
+    """``rows``: (id, vector); for each query (a place in rows) its k nearest as (id, score)."""
+    out = []
+    for q in queries:
+        found = sorted((-float((v * rows[q][1]).sum()), i, n) for n, (i, v) in enumerate(rows) if n != q)[:k]
+        out.append((rows[q][0], tuple((i, -s) for s, i, _ in found)))
+    return sorted(out)
+
+
+def found_neighbours(frame):
+    out = defaultdict(dict)
+    for r in frame.collect():
+        out[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    return sorted((q, tuple(by[n] for n in sorted(by))) for q, by in out.items())
+
+
+def test_neighbours(spark, monkeypatch):
+    """All leaves visited: exact, on many leaves that are cut on both sides."""
+    monkeypatch.setattr(neighbours, "CHUNK", 16)
+    monkeypatch.setattr(neighbours, "QUERIES", 4)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 8)).astype(np.float32)
     x[40] = x[41] = x[60] = x[0]
-    rows = [(k, [float(v) for v in x[k]]) for k in range(300)] + [(320, None), (340, [0.0] * 8), (360, [float("nan")] + [1.0] * 7), (380, [None] + [1.0] * 7), (None, [1.0] * 8), (400, [1.0])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("leaf", F.lit(0))
-    got = defaultdict(list)
-    for r in neighbours.search(frame, Scratch(spark, "t8"), k=5, recall=1.0).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    y = x.astype(float)
-    assert sorted(got) == list(range(0, 300, 20))
-    for q in got:
-        want = sorted(((-float((y[k] * y[q]).sum()), k) for k in range(300) if k != q))[:5]
-        assert [v for v, _ in got[q]] == [k for _, k in want]
-        assert [s for _, s in got[q]] == [-s for s, _ in want]
+    rows = [(k, [float(v) for v in x[k]]) for k in range(300)]
+    bad = [(320, None), (340, [0.0] * 8), (360, [float("nan")] + [1.0] * 7), (380, [None] + [1.0] * 7), (420, [float("inf")] + [1.0] * 7), (None, [1.0] * 8), (400, [1.0])]
+    frame = spark.createDataFrame([*rows, *bad], "vec_id long, embedding array<float>").withColumns({"leaf": F.lit(0), "row": F.lit(1)})
+    y = [(i, np.array(v)) for i, v in rows]
+    assert found_neighbours(neighbours.search(frame, Scratch(spark, "t8"), k=5, recall=1.0)) == plain_neighbours(y, range(0, 300, 20), 5)
     assert neighbours.search(frame.limit(0), Scratch(spark, "t8")).count() == 0
     assert neighbours.search(frame.filter("vec_id IN (20, 21)"), Scratch(spark, "t8")).count() == 1
 
 
+def test_repeated_ids_are_queries_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [2.0, -1.0])]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Scratch(spark, "t8b"), k=3, recall=1.0).collect()]
+    assert sorted(got) == sorted([(20, 1, 8, 2.0), (20, 2, 7, 1.0), (20, 3, 7, 1.0), (20, 1, 7, 1.0), (20, 2, 7, 1.0), (20, 3, 20, 0.0)])
+
+
+@pytest.mark.parametrize("kind", ["clusters", "sphere"])
+def test_recall_on_queries_outside_the_calibration(spark, kind, monkeypatch):
+    """5,000 vectors on twenty leaves or more; recall over all queries but the 32 that set the width."""
+    monkeypatch.setattr(neighbours, "CALIBRATE", 32)
+    monkeypatch.setattr(neighbours, "LEAF_SHARE", 0.5)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(5000, 16))
+    if kind == "clusters":
+        x = 0.3 * x + rng.normal(size=(60, 16))[rng.integers(0, 60, 5000)]
+    else:
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert neighbours.fit_tree(x, int(0.5 * 5000**0.5)).leaves >= 20
+    used = []
+    monkeypatch.setattr(neighbours, "_calibrate", lambda placed, queries, *rest, f=neighbours._calibrate: (used.extend(queries["id"]), f(placed, queries, *rest))[1])
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = dict(found_neighbours(neighbours.search(frame, Scratch(spark, "t8c"))))
+    others = [q for q in range(0, 5000, 20) if q not in used]
+    want = dict(plain_neighbours_fast(x, others, 20))
+    assert len(used) == 32 and sorted(got) == list(range(0, 5000, 20))
+    assert np.mean([len({v for v, _ in got[q]} & want[q]) / 20 for q in others]) >= 0.9
+
+
+def plain_neighbours_fast(x, queries, k):
+    products = x[queries] @ x.T
+    products[np.arange(len(queries)), queries] = -np.inf
+    return [(q, set(np.argsort(-products[n])[:k].tolist())) for n, q in enumerate(queries)]
+
+
 def test_tree_visits_every_leaf_once():
     x = np.random.default_rng(0).normal(size=(500, 6))
     tree = neighbours.fit_tree(x, 20)
