@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words are tagged by lexicon transducers (insults, threats, targets, negations,
-reported speech). Each kind has a small machine over the tags; their composition
-reads a clause and its final state gives the clause's weight: an insult counts
-more with a target, less after a negation or within reported speech. A text's
-score is the calibrated probability for its clause weights.
+A chain of weighted transducers, each reading what the one before it writes: the
+lexicon writes a class for each word (insult, threat, target, negation, reported
+speech, pause), the next ones rewrite attacks as denied, reported or aimed, and the
+last one weighs them. All but the lexicon, whose input is any word, are composed
+into one machine. A text's score is the calibrated probability for its clauses' weights.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,87 +21,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, bound_batches
 
 #: Labelled rows from which insult stems and calibration are learned, at most
 #: (in expectation: rows are picked by a hash of their id).
 TRAIN_ROWS = 20_000
-#: Letters of a learned stem; a whole word may be longer.
-STEM = (3, 10)
-#: Insult stems and words that a grammar has at most, the weightiest first.
-STEMS = 1_000
+#: Letters of a learned stem, at least.
+STEM = 3
 
-#: Closed classes of words, in the languages of the corpus.
+#: Closed classes of words, in the languages of the corpus; apostrophes are left out.
 WORDS = {
-    "threat": "kill hurt beat destroy shoot stab burn punish töte umbringen schlage tuer frapper détruire matar golpear destruir",
-    "target": "you your youre u he she they them him her du dich dir ihr euch sie tu te toi vous ton ta tú ti usted ustedes vosotros",
-    "negation": "not no never nobody none neither isnt arent dont nicht kein keine nie niemals ne pas jamais aucun nunca ni ningún ninguno",
-    "report": "said says say told wrote writes called calls quoted quote claims sagte sagt schrieb nannte dit disait écrit appelle dijo dice escribió llamó",
+    "threat": """kill kills killing hurt hurting beat destroy shoot stab burn strangle smash crush murder punish töte töten umbringen erschießen schlage schlagen verprügeln vernichten
+        tuer tuerai frapper frapperai détruire écraser brûler matar mataré golpear golpearé destruir quemar aplastar apuñalar""",
+    "target": """you your yours youre youve youll u ur he his she her they them their him himself herself themselves du dich dir dein deine ihr euch euer eure sie ihn ihm ihnen
+        tu te toi ton ta tes vous votre vos il elle ils elles leur lui tú ti tus usted ustedes vosotros él ella ellos ellas les""",
+    "negation": """not no never nobody none neither nor cannot isnt arent wasnt werent dont doesnt didnt wont wouldnt cant couldnt shouldnt aint hasnt havent hadnt without hardly
+        nicht kein keine keinen keiner nie niemals niemand weder ne pas jamais aucun aucune personne sans nunca ni ningún ninguno ninguna nadie tampoco sin""",
+    "report": """said says say saying told tells wrote writes called calls calling quoted quote quotes claims claimed reported accused shouted yelled heard
+        sagte sagt sagten schrieb schreibt nannte nennt behauptet behauptete rief dit disait dirent écrit écrivait appelle appelait prétend cria
+        dijo dice dijeron escribió escribe llamó llama afirma gritó""",
 }
-TAGS = ("insult", "threat", "target", "negation", "report", "other")
-_CLAUSE = re.compile(r"[.!?;:,\n]+")
+#: What the lexicon writes, and the classes that the others write besides.
+TAGS = ("insult", "threat", "target", "negation", "report", "pause", "other")
+CLASSES = (*TAGS, "denied", "reported", "aimed", "menace")
+_CLAUSE = re.compile(r"[.!?;\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[,:]")
 
 
 @dataclass(frozen=True)
-class Machine:
-    """A deterministic weighted machine over tags: ``arcs[state][tag] = (state, weight)``; a missing arc stays, at weight 0."""
+class Transducer:
+    """``arcs[state][class] = (written class, next state, weight)``; a class without an arc is written as it is, at weight 0, and the state stays."""
 
-    arcs: tuple[dict[str, tuple[int, float]], ...]
-    final: tuple[dict[str, float], ...] = field(default=())
+    arcs: tuple[dict[str, tuple[str, int, float]], ...]
 
-    def step(self, state: int, tag: str) -> tuple[int, float]:
-        return self.arcs[state].get(tag, (state, 0.0))
+    def step(self, state: int, symbol: str) -> tuple[str, int, float]:
+        return self.arcs[state].get(symbol, (symbol, state, 0.0))
 
 
-def compose(left: Machine, right: Machine) -> Machine:
-    """The machine that runs both on the same tags; weights add, final properties are joined."""
-    index, queue, arcs, final = {(0, 0): 0}, [(0, 0)], [], []
+def compose(left: Transducer, right: Transducer) -> Transducer:
+    """The transducer that feeds what ``left`` writes to ``right``: it reads for the one and writes for the other; weights add."""
+    index, queue, arcs = {(0, 0): 0}, [(0, 0)], []
     while len(arcs) < len(queue):
         a, b = queue[len(arcs)]
         out = {}
-        for tag in TAGS:
-            (x, v), (y, w) = left.step(a, tag), right.step(b, tag)
+        for symbol in CLASSES:
+            between, x, v = left.step(a, symbol)
+            written, y, w = right.step(b, between)
             if (x, y) not in index:
                 index[x, y] = len(queue)
                 queue.append((x, y))
-            out[tag] = (index[x, y], v + w)
+            out[symbol] = (written, index[x, y], v + w)
         arcs.append(out)
-        final.append({**(left.final[a] if left.final else {}), **(right.final[b] if right.final else {})})
-    return Machine(tuple(arcs), tuple(final))
+    return Transducer(tuple(arcs))
 
 
-#: An attack counts once as such; its lexical weight is added by the reader.
-_ATTACK = {
-    "insult": Machine(({"insult": (1, 1.0)}, {"insult": (1, 0.5)}), ({}, {"insult": 1.0})),
-    "threat": Machine(({"threat": (1, 0.5)}, {}), ({}, {"threat": 1.0})),
-    "target": Machine(({"target": (1, 0.0)}, {}), ({}, {"target": 1.0})),
-}
-#: A negation reaches over the next three words, and takes back an attack there.
-_NEGATION = Machine(
-    ({"negation": (3, 0.0)}, *({"negation": (3, 0.0), "insult": (0, -0.75), "threat": (0, -0.5), "target": (k, 0.0), "report": (k - 1, 0.0), "other": (k - 1, 0.0)} for k in (1, 2, 3))),
-    ({}, {}, {}, {}),
-)
-#: What follows a verb of speech is reported, and counts half.
-_REPORT = Machine(({"report": (1, 0.0)}, {"insult": (1, -0.5), "threat": (1, -0.25)}), ({}, {"report": 1.0}))
-GRAMMAR = compose(compose(compose(compose(_ATTACK["insult"], _ATTACK["threat"]), _ATTACK["target"]), _NEGATION), _REPORT)
+def _scope(words: int) -> Transducer:
+    """A negation reaches over the next few words, not over a pause, and denies an attack there."""
+    inside = ({"negation": ("negation", words, 0.0), "insult": ("denied", 0, 0.0), "threat": ("denied", 0, 0.0), "pause": ("pause", 0, 0.0),
+               "other": ("other", k - 1, 0.0), "report": ("report", k - 1, 0.0)} for k in range(1, words + 1))
+    return Transducer(({"negation": ("negation", words, 0.0)}, *inside))
 
 
-class Reader:
-    """Tags words by the lexicons and runs the grammar over the clauses that hold an attack."""
+#: The chain behind the lexicon. What follows a verb of speech is reported, also after a pause; an attack is aimed where a target comes
+#: before it; at last attacks are weighed: state 0 is none yet, 1 an attack, 2 an aimed one, 3 a threat whose target may still come.
+NEGATION = _scope(3)
+REPORT = Transducer(({"report": ("report", 1, 0.0)}, {"insult": ("reported", 1, 0.0), "threat": ("reported", 1, 0.0)}))
+AIM = Transducer(({"target": ("target", 1, 0.0)}, {"insult": ("aimed", 1, 0.0), "threat": ("menace", 1, 0.0)}))
+WEIGHT = Transducer((
+    {"insult": ("insult", 1, 1.0), "threat": ("threat", 3, 0.0), "aimed": ("aimed", 2, 1.5), "menace": ("menace", 2, 1.5), "denied": ("denied", 0, 0.25), "reported": ("reported", 0, 0.5)},
+    {"insult": ("insult", 1, 0.5), "aimed": ("aimed", 2, 0.75), "menace": ("menace", 2, 0.75), "target": ("target", 2, 0.25), "threat": ("threat", 1, 0.25)},
+    {"insult": ("insult", 2, 0.5), "aimed": ("aimed", 2, 0.5), "menace": ("menace", 2, 0.5), "threat": ("threat", 2, 0.25)},
+    {"insult": ("insult", 1, 1.0), "target": ("menace", 2, 1.0), "aimed": ("aimed", 2, 1.5), "menace": ("menace", 2, 1.5), "denied": ("denied", 3, 0.25), "reported": ("reported", 3, 0.5)},
+))
+CHAIN = (NEGATION, REPORT, AIM, WEIGHT)
+GRAMMAR = reduce(compose, CHAIN)
 
-    def __init__(self, insults: Iterable[tuple[str, float]]):
-        import ahocorasick
 
+class Lexicon:
+    """A transducer of one state that reads any word and writes its class, with the learned weight of an insult."""
+
+    def __init__(self, insults: Iterable[tuple[str, float]]):
         self.weights = dict(insults)
         self.longest = max((len(s.rstrip("$")) for s in self.weights), default=0)
         self.words = {w: tag for tag, text in WORDS.items() for w in text.split()}
-        self.attacks = ahocorasick.Automaton()
-        for key in {s.rstrip("$") for s in self.weights} | set(WORDS["threat"].split()):
-            self.attacks.add_word(key, len(key))
-        self.attacks.make_automaton()
 
-    def tag(self, word: str) -> tuple[str, float]:
+    def __call__(self, word: str) -> tuple[str, float]:
+        if word in ",:":
+            return "pause", 0.0
         if (w := self.weights.get(word + "$")) is not None:
             return "insult", w
         for n in range(min(self.longest, len(word)), 0, -1):
@@ -109,23 +116,38 @@ class Reader:
                 return "insult", w
         return self.words.get(word, "other"), 0.0
 
+    def read(self, clause: str) -> Iterator[tuple[str, float]]:
+        """The classes of a clause's words; a word with apostrophes is one if the lexicon has it without them, else its parts are."""
+        for token in _TOKEN.findall(clause):
+            parts = re.split("['’]", token)
+            whole = "".join(parts)
+            for word in [whole] if len(parts) == 1 or whole in self.words else parts:
+                yield self(word)
+
+
+class Reader:
+    """Runs the grammar over the clauses that hold an attack."""
+
+    def __init__(self, insults: Iterable[tuple[str, float]]):
+        import ahocorasick
+
+        self.lexicon = Lexicon(insults)
+        self.attacks = ahocorasick.Automaton()
+        for key in {s.rstrip("$") for s in self.lexicon.weights} | set(WORDS["threat"].split()):
+            self.attacks.add_word(key, len(key))
+        self.attacks.make_automaton()
+
     def clause(self, text: str) -> float:
-        """The grammar's weight of one clause, 0 at least; 0 too if it holds no attack."""
+        """The grammar's weight of one clause, more for insults that were learned as strong; 0 if nothing in it counts."""
         state, total, lexical = 0, 0.0, 0.0
-        for word in _WORD.findall(text):
-            tag, weight = self.tag(word)
-            state, w = GRAMMAR.step(state, tag)
+        for tag, weight in self.lexicon.read(text):
+            _, state, w = GRAMMAR.step(state, tag)
             total += w
-            lexical = max(lexical, weight if w > 0.5 else weight * max(w, 0.0))
-        final = GRAMMAR.final[state]
-        if "insult" not in final and "threat" not in final:
-            return 0.0
-        if "threat" in final and "insult" not in final and "target" not in final:
-            return 0.0
-        return max(0.0, total * (1.25 if "target" in final else 1.0)) * (1.0 + lexical / 10.0)
+            lexical = max(lexical, weight * min(1.0, w))
+        return total * (1.0 + max(0.0, lexical) / 10.0)
 
     def features(self, text: str | None) -> tuple[float, float, float]:
-        """Of a whole text: log of the clauses' summed weight, the largest weight, and matched clauses in a hundred words (at most 5)."""
+        """Of a whole text: log of the clauses' summed weight, the largest weight, and log of the matched clauses in a hundred words."""
         lower = (text or "").lower()
         spots = [end - n + 1 for end, n in self.attacks.iter(lower)] if len(self.attacks) and lower else []
         spots = [s for s in spots if not s or not lower[s - 1].isalpha()]
@@ -145,7 +167,7 @@ class Reader:
         found = [x for x in found if x > 0]
         if not found:
             return 0.0, 0.0, 0.0
-        return math.log1p(sum(found)), max(found), min(5.0, 100.0 * len(found) / max(1, lower.count(" ")))
+        return math.log1p(sum(found)), max(found), math.log1p(100.0 * len(found) / max(1, lower.count(" ")))
 
 
 @lru_cache(maxsize=2)
@@ -166,7 +188,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: in
     return scratch.write(picked.groupBy(F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("key"), "train")
 
 
-def learn_insults(train: DataFrame, stems: int = STEMS) -> tuple[tuple[str, float], ...]:
+def learn_insults(train: DataFrame) -> tuple[tuple[str, float], ...]:
     """Word beginnings and words (ending in ``$``) that mark toxic texts, with weights (log odds).
 
     The unit of evidence is a distinct context (word before and after), so that a
@@ -174,9 +196,9 @@ def learn_insults(train: DataFrame, stems: int = STEMS) -> tuple[tuple[str, floa
     stem is taken if its contexts' likelihood ratio against the share of toxic
     words is beyond what the number of candidates makes likely by chance, and it
     occurs in three texts at least; a stem excludes those that it begins or that begin it.
+    Candidates come from the bounded training rows only, so they fit the driver.
     """
     schema = T.StructType([T.StructField("stem", T.StringType()), T.StructField("context", T.LongType()), T.StructField("toxic", T.BooleanType()), T.StructField("text_id", T.LongType())])
-    lo, hi = STEM
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     toxic_share = train.groupBy("toxic").agg(F.sum(F.size(words)).alias("n")).collect()
     share = {r["toxic"]: r["n"] for r in toxic_share}
@@ -192,10 +214,10 @@ def learn_insults(train: DataFrame, stems: int = STEMS) -> tuple[tuple[str, floa
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found, own = _WORD.findall(text.lower()), xxhash.xxh64_intdigest(text) >> 1
                 for k, word in enumerate(found):
-                    if toxic and len(word) >= lo:
+                    if toxic and len(word) >= STEM:
                         context = xxhash.xxh64_intdigest(f"{found[k - 1] if k else ''} {found[k + 1] if k + 1 < len(found) else ''}") >> 1
                         rows.add((word + "$", context, toxic, own))
-                        rows.update((word[:n], context, toxic, own) for n in range(lo, min(hi, len(word)) + 1))
+                        rows.update((word[:n], context, toxic, own) for n in range(STEM, len(word) + 1))
             for lot in _lots(list(rows), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lot, strict=True), (pa.string(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], schema.names)
 
@@ -204,7 +226,7 @@ def learn_insults(train: DataFrame, stems: int = STEMS) -> tuple[tuple[str, floa
     counted = counted.persist()
     many = counted.count()
     enough = math.log(max(many, 2)) + 3
-    alone = {r["stem"]: r["a"] for r in counted.filter(F.col("a") * -math.log(base) >= enough).orderBy(F.desc("a"), "stem").limit(20 * stems * (hi - lo)).collect()}
+    alone = {r["stem"]: r["a"] for r in counted.filter(F.col("a") * -math.log(base) >= enough).select("stem", "a").collect()}
     counted.unpersist()
     clean = _clean_counts(train.filter(~F.col("toxic")), alone)
     scored = []
@@ -219,7 +241,7 @@ def learn_insults(train: DataFrame, stems: int = STEMS) -> tuple[tuple[str, floa
     begun: set[str] = set()
     for _, _, stem, weight in scored:
         word = stem.rstrip("$")
-        if len(taken) < stems and word not in begun and not any(word[:n] in taken for n in range(1, len(word) + 1)) and word + "$" not in taken:
+        if word not in begun and not any(word[:n] in taken for n in range(1, len(word) + 1)) and word + "$" not in taken:
             taken[stem] = weight
             begun.update(word[:n] for n in range(1, len(word) + 1))
     return tuple(sorted(taken.items()))
@@ -229,14 +251,13 @@ def _clean_counts(clean: DataFrame, stems: dict[str, int]) -> dict[str, int]:
     """Occurrences in clean texts of each of ``stems``."""
     wanted = frozenset(stems)
     schema = T.StructType([T.StructField("stem", T.StringType()), T.StructField("n", T.LongType())])
-    lo, hi = STEM
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, int] = {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for word in _WORD.findall(text.lower()):
-                    for stem in (word + "$", *(word[:n] for n in range(lo, min(hi, len(word)) + 1))):
+                    for stem in (word + "$", *(word[:n] for n in range(STEM, len(word) + 1))):
                         if stem in wanted:
                             found[stem] = found.get(stem, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], schema.names)
@@ -307,6 +328,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     of a text without attacks. Repeated rows give repeated rows, an empty table
     none; no other column is read. The model (some KB) goes with the tasks; no shuffle.
     """
+    bound_batches(docs.sparkSession)
     schema = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
         T.StructField("clauses_weight", T.DoubleType()), T.StructField("strongest", T.DoubleType()),

@@ -1,6 +1,7 @@
 """The training-data operators against brute-force versions, and on nulls, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clipsieve.llm import buckets, chat, components, dedup, jaccard, language, mixing, neighbours, pieces, resampling, shingles, toxicity, urls
+from clipsieve.llm import buckets, chat, components, dedup, jaccard, language, mixing, neighbours, pieces, queries, resampling, shingles, toxicity, urls
 from clipsieve.llm.common import Scratch
 from clipsieve.llm.queries import piece_model
 
@@ -64,13 +65,57 @@ def test_grammar_weighs_context():
     assert reader.features(None) == reader.features("") == (0.0, 0.0, 0.0)
 
 
-def test_composition_keeps_both_machines():
-    a, b = toxicity.Machine(({"insult": (1, 1.0)}, {}), ({}, {"a": 1.0})), toxicity.Machine(({"target": (1, 2.0)}, {}), ({}, {"b": 1.0}))
-    both, state, total = toxicity.compose(a, b), 0, 0.0
-    for tag in ("other", "target", "insult", "insult"):
-        state, w = both.step(state, tag)
-        total += w
-    assert total == 3.0 and both.final[state] == {"a": 1.0, "b": 1.0}
+def test_apostrophes_and_marks_of_speech():
+    reader = toxicity.Reader((("idiot$", 5.0),))
+    denied, reported = reader.clause("you are not an idiot"), reader.clause("she said you are an idiot")
+    assert reader.clause("you aren't an idiot") == reader.clause("you aren’t an idiot") == denied < reader.clause("you are an idiot")
+    assert reader.clause("she said: you are an idiot") == reader.clause("she said, you are an idiot") == reported < reader.clause("you are an idiot")
+    assert reader.features("She said: you are an idiot. Fine.") == reader.features("she said, you are an idiot. fine!")
+    assert reader.clause("l'idiot") > 0 and reader.clause("not here, you idiot") == reader.clause("here, you idiot")
+
+
+def test_composition_feeds_one_machine_to_the_next():
+    """The composed grammar against the chain, run one after the other."""
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        word, state, composed, states, chained = [], 0, [], [0] * len(toxicity.CHAIN), []
+        for tag in rng.choice(toxicity.TAGS, 12):
+            written, state, w = toxicity.GRAMMAR.step(state, str(tag))
+            composed.append((written, w))
+            symbol, total = str(tag), 0.0
+            for k, machine in enumerate(toxicity.CHAIN):
+                symbol, states[k], v = machine.step(states[k], symbol)
+                total += v
+            chained.append((symbol, total))
+            word.append(tag)
+        assert composed == chained, word
+    rename = toxicity.compose(toxicity.Transducer(({"other": ("insult", 0, 1.0)},)), toxicity.Transducer(({"insult": ("aimed", 1, 2.0)}, {})))
+    assert rename.step(0, "other")[::2] == ("aimed", 3.0)
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_toxicity_of_held_out_documents(spark):
+    """The query's scores against a plain loop, and its accuracy on the held-out fold."""
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.op1_toxicity(spark, SMALL).collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert len(got) == docs.count() and all(r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    held = [(got[i]["score"], t) for i, t in labels.items() if i in got and got[i]["held_out"]]
+    bad, good = [s for s, t in held if t], [s for s, t in held if not t]
+    assert np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) >= 0.9
+    assert np.mean([(s >= 0.5) == bool(t) for s, t in held]) >= 0.9
+
+
+def test_scores_of_long_texts_and_clashing_names(spark):
+    model = toxicity.Model((("idiot$", 5.0),), -3.0, (2.0, 0.1, 0.1))
+    rows = [(1, "you idiot. " * 100_000), (2, "calm words " * 100_000), (2, None), (None, "idiot")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("x"), "predicted": F.lit(1), "strongest": F.lit(None).cast("string")})
+    reader = toxicity.Reader(model.insults)
+    got = sorted((str(r["doc_id"]), round(r["score"], 9)) for r in toxicity.score(frame, model).collect())
+    assert got == sorted((str(i), round(model.score(reader.features(t)), 9)) for i, t in rows)
 
 
 def test_toxicity_learns_stems(spark):
@@ -199,6 +244,44 @@ def test_resampling_prefers_target_text(spark):
     assert resampling.resample(docs.limit(0), labels, Scratch(spark, "t4")).count() == 0
 
 
+def test_resampling_against_brute_force(spark, corpus):
+    """Weights from exact counts (buckets are wide enough here to hold few collisions), and the largest keys kept, ties at the cut included."""
+    rows = [(r["doc_id"], r["text"]) for r in corpus.collect()]
+    labels = spark.createDataFrame([(i, 1 if k % 3 == 0 else 0, 0) for k, (i, _) in enumerate(rows[:60]) if i], "doc_id long, quality int, toxic int")
+    target_ids = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
+    import pyarrow as pa
+
+    bits = resampling.bucket_bits(sum(len(t or "") for _, t in rows) // 6)
+    found = list(resampling._buckets(pa.array([t for _, t in rows]), bits))
+    raw, target = Counter(), Counter()
+    for (i, _), b in zip(rows, found, strict=True):
+        raw.update(b.tolist())
+        if i in target_ids:
+            target.update(b.tolist())
+    n, m = sum(raw.values()), sum(target.values())
+
+    def ratio(b):
+        p = (raw[b] + 1) / (n + (1 << bits))
+        return np.log(0.9 * target[b] / m + 0.1 * p) - np.log(p)
+
+    want = sorted((str(i), sum(ratio(x) for x in b.tolist())) for (i, _), b in zip(rows, found, strict=True))
+    got = resampling.resample(corpus, labels, Scratch(spark, "t4c"), share=0.4).collect()
+    assert [i for i, _ in want] == sorted(str(r["doc_id"]) for r in got)
+    assert sorted(r["log_weight"] for r in got) == pytest.approx(sorted(w for _, w in want), rel=1e-3, abs=1e-3)
+    keys = sorted((r["sample_key"] for r in got), reverse=True)
+    cut = keys[round(0.4 * len(got)) - 1]
+    assert all(r["kept"] == (r["sample_key"] >= cut) for r in got)
+    noise = {(r["doc_id"], round(r["log_weight"], 3)): r["sample_key"] - r["log_weight"] for r in got}
+    assert len({round(x, 6) for x in noise.values()}) == len(noise)
+
+
+def test_gumbel_noise_is_of_unit_scale(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    got = resampling.resample(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), Scratch(spark, "t4d")).collect()
+    x = np.array([r["sample_key"] for r in got])
+    assert all(r["log_weight"] == 0 and r["kept"] for r in got) and abs(x.mean() - 0.5772) < 0.06 and abs(x.std() - np.pi / 6**0.5) < 0.06
+
+
 def test_buckets_grow_with_the_corpus():
     assert [resampling.bucket_bits(8 * n) for n in (1 << 13, 1 << 22, 1 << 26, 1 << 29)] == [14, 23, 27, 30]
 
@@ -566,6 +649,35 @@ def test_language_id(spark):
     assert sorted(r["doc_id"] for r in language.identified_rows(docs, profiles).collect()) == sorted([*range(60), 103, 3])
 
 
+def plain_profile(counts, size):
+    """Most frequent first; ties by the code that orders n-grams in the library."""
+    def code(gram):
+        c = [0 if ch == "_" else ord(ch) for ch in gram]
+        return {1: lambda: -c[0] - 1 - (1 << 42), 2: lambda: -((c[0] << 21) | c[1]) - 1, 3: lambda: (c[0] << 42) | (c[1] << 21) | c[2]}[len(gram)]()
+
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
+
+
+def test_language_id_against_brute_force(spark):
+    """Profiles, out-of-place distances, ties, long texts and clashing names."""
+    size = 40
+    rng = np.random.default_rng(8)
+    letters = {"aa": "abcdef", "bb": "cdefgh", "cc": "xyzab"}
+    rows = [(k, " ".join("".join(rng.choice(list(letters[lang]), int(rng.integers(1, 7)))) for _ in range(25)), lang) for k, lang in enumerate(sorted(letters) * 12)]
+    rows += [(100, "abc " * 100_000, None), (101, "é1 ü", None), (102, "", "aa"), (103, None, None), (104, "zz zz", "cc"), (None, "ab", "aa")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"gram": F.lit("x"), "n": F.lit(1), "lang_pred": F.lit("y"), "score": F.lit(None).cast("string")})
+    known = {lang: plain_profile(sum((plain_counts(t) for _, t, x in rows if x == lang and t), Counter()), size) for lang in letters}
+    want = []
+    for i, t, _ in rows:
+        mine = plain_profile(plain_counts(t or ""), size)
+        far = sorted((sum(abs(r - known[x].index(g)) if g in known[x] else size for r, g in enumerate(mine)), x) for x in known)
+        want.append((str(i), far[0][1] if mine else "und", round((far[1][0] - far[0][0]) / far[1][0], 9) if mine and far[1][0] else 0.0))
+    profiles = language.learn_profiles(frame, size)
+    got = language.identify(frame, profiles, size).collect()
+    assert sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 9)) for r in got) == sorted(want)
+    assert language.learn_profiles(frame.limit(0)) == {} and language.identify(frame.limit(0), profiles, size).count() == 0
+
+
 def test_fold_is_crc32(spark):
     from clipsieve.llm.queries import _fold
 
