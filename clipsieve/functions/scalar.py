@@ -24,10 +24,31 @@ def quaternion_axis_angle(q: Column) -> Column:
     return F.when(length < 1e-8, F.array(*[F.lit(0.0)] * 3)).otherwise(F.transform(F.slice(q, 1, 3), lambda x: x * 2 * F.acos(w) / length))
 
 
-def quaternion_angle(a: Column, b: Column) -> Column:
-    """The rotation angle between two unit quaternions, by the chord (the sign of either doesn't matter)."""
-    chord = lambda f: F.sqrt(F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda s, x: s + x * x))
-    return 4 * F.asin(F.least(F.least(chord(lambda x, y: x - y), chord(lambda x, y: x + y)) / 2, F.lit(1.0)))
+def rotation_quaternion(turn: Column, kind: str = "vector") -> Column:
+    """The unit (w, x, y, z) quaternion of a rotation vector, or of ``euler`` angles about the fixed x, y and z axes in turn."""
+    if kind == "vector":
+        angle = F.sqrt(turn[0] * turn[0] + turn[1] * turn[1] + turn[2] * turn[2])
+        scale = F.when(angle == 0, F.lit(0.5)).otherwise(F.sin(angle / 2) / angle)
+        return F.array(F.cos(angle / 2), turn[0] * scale, turn[1] * scale, turn[2] * scale)
+    if kind != "euler":
+        raise ValueError("kind must be vector or euler")
+    half = lambda k: (F.array(F.cos(turn[k] / 2), *[F.sin(turn[k] / 2) if j == k else F.lit(0.0) for j in range(3)]))
+    return quaternion_product(half(2), quaternion_product(half(1), half(0)))
+
+
+def quaternion_product(a: Column, b: Column) -> Column:
+    """The rotation b followed by a, both (w, x, y, z)."""
+    w, x, y, z = 0, 1, 2, 3
+    return F.array(
+        a[w] * b[w] - a[x] * b[x] - a[y] * b[y] - a[z] * b[z], a[w] * b[x] + a[x] * b[w] + a[y] * b[z] - a[z] * b[y],
+        a[w] * b[y] - a[x] * b[z] + a[y] * b[w] + a[z] * b[x], a[w] * b[z] + a[x] * b[y] - a[y] * b[x] + a[z] * b[w])
+
+
+def turned_angle(a: Column, b: Column) -> Column:
+    """The rotation angle between two unit quaternions, from their sum's and difference's lengths (the sign of either doesn't matter)."""
+    length = lambda f: F.sqrt(F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda s, x: s + x * x))
+    apart, along = length(lambda x, y: x - y), length(lambda x, y: x + y)
+    return 4 * F.atan2(F.least(apart, along), F.greatest(apart, along))
 
 
 def instruction(task: Column, episode_tasks: Column, fallback: str) -> Column:

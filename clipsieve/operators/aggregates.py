@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,11 +50,25 @@ def equal_task_score(rates: DataFrame, base: DataFrame, most: float) -> DataFram
     return joined.groupBy("experiment").agg(F.avg(F.least(F.greatest(F.col("rate") / F.col("base"), F.lit(0.0)), F.lit(most))).alias("score"))
 
 
-def span_weighted(metrics: DataFrame, columns: tuple[str, ...], warmup: int) -> DataFrame:
-    """``run`` and a mean of each column, weighted by the steps since the row before; the last row of a step wins, warm-up steps don't count."""
-    last = metrics.groupBy("run", "step").agg(F.max_by(F.struct(*columns), "row").alias("m")).select("run", "step", "m.*")
-    rows = last.withColumn("span", F.col("step") - F.lag("step").over(W.partitionBy("run").orderBy("step"))).filter((F.col("step") > warmup) & F.col("span").isNotNull())
-    return rows.groupBy("run").agg(*[(F.sum(F.col(c) * F.col("span")) / F.sum("span")).alias(c) for c in columns])
+def span_weighted(metrics: DataFrame, settings: DataFrame, columns: tuple[str, ...], time: str, batch: int) -> DataFrame:
+    """``run``, a mean of each column weighted by the steps since the row before, ``samples_per_second``, ``measured_steps`` and ``problem``.
+
+    ``metrics``: ``run, step, row`` and the columns; ``settings``: ``run, warmup,
+    expected``. The last row of a step wins; rows without ``time`` don't count.
+    The first measured span begins at the warm-up. A run without its expected
+    step (``incomplete``) or without a row at its warm-up boundary
+    (``no_warmup_boundary``) has no means.
+    """
+    last = metrics.filter(F.col(time).isNotNull()).groupBy("run", "step").agg(F.max_by(F.struct(*columns), "row").alias("m")).select("run", "step", "m.*")
+    rows = settings.join(last, "run", "left")
+    bounds = rows.groupBy("run").agg(F.max((F.col("step") == F.col("expected")).cast("int")).alias("done"), F.max((F.col("step") == F.col("warmup")).cast("int")).alias("warm"))
+    measured = rows.filter("step > warmup AND step <= expected")
+    span = F.col("step") - F.coalesce(F.lag("step").over(W.partitionBy("run").orderBy("step")), F.col("warmup"))
+    means = measured.withColumn("span", span).groupBy("run").agg(*[(F.sum(F.col(c) * F.col("span")) / F.sum("span")).alias(c) for c in columns], F.sum("span").alias("measured_steps"))
+    problem = F.when(F.coalesce("done", F.lit(0)) == 0, "incomplete").when((F.col("warmup") > 0) & (F.coalesce("warm", F.lit(0)) == 0), "no_warmup_boundary").otherwise("")
+    joined = settings.join(bounds, "run").join(means, "run", "left").withColumn("problem", problem)
+    fine = lambda c: F.when(F.col("problem") == "", c)
+    return joined.select("run", *[fine(F.col(c)).alias(c) for c in columns], fine(batch / F.col(time)).alias("samples_per_second"), fine(F.col("measured_steps")).alias("measured_steps"), "problem")
 
 
 def phase_mix(slow: Column, fast: Column) -> Column:
@@ -75,14 +91,12 @@ def metric_summary(rows: DataFrame, metric: str, reason: str) -> DataFrame:
     return rows.groupBy(F.col(reason).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.avg(metric).alias("mean"))
 
 
-def episode_plan(tasks: DataFrame, seeds: DataFrame, objects: DataFrame, shards: int) -> DataFrame:
-    """Every task with every seed and object, numbered in that order and dealt to shards in turn.
-
-    The three lists are short settings of an evaluation.
-    """
-    plan = tasks.crossJoin(seeds).crossJoin(objects)
-    index = (F.row_number().over(W.orderBy("task", "seed", "object_id")) - 1).cast("long")
-    return plan.withColumn("plan_index", index).withColumn("shard", F.col("plan_index") % shards)
+def episode_plan(spark: SparkSession, tasks: Sequence[str], seeds: Sequence[int], objects: Sequence[int], shards: int) -> DataFrame:
+    """``plan_index, task, seed, object_id, shard``: every task with every seed and object, numbered in the order of the settings and dealt to shards in turn."""
+    of = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    k, n = F.col("id"), len(objects)
+    return spark.range(len(tasks) * len(seeds) * n).select(
+        k.alias("plan_index"), of(tasks, F.floor(k / (len(seeds) * n))).alias("task"), of(seeds, F.floor(k / n) % len(seeds)).alias("seed"), of(objects, k % n).alias("object_id"), (k % shards).alias("shard"))
 
 
 def shard_gaps(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,8 +107,12 @@ def shard_gaps(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataF
             .unionByName(counted.filter("count > 1").select(*keys, F.lit("repeated").alias("problem"))))
 
 
+#: Fixed value: what the seed's payload begins with.
+SEED_PREFIX = "octo-simpler-episode-v1"
+
+
 def inference_seed(task: Column, seed: Column, object_id: Column) -> Column:
-    """The first eight bytes of a SHA-256 of the three, NUL between, less the sign bit."""
-    digest = F.sha2(F.concat_ws("\0", task, seed.cast("string"), object_id.cast("string")), 256)
+    """The first eight bytes of a SHA-256 of a fixed prefix and the three, NUL between, less the sign bit."""
+    digest = F.sha2(F.concat_ws("\0", F.lit(SEED_PREFIX), task, seed.cast("string"), object_id.cast("string")), 256)
     head = F.lpad(F.conv(F.conv(F.substring(digest, 1, 1), 16, 10).cast("int").bitwiseAND(7).cast("string"), 10, 16), 1, "0")
     return F.conv(F.concat(head, F.substring(digest, 2, 15)), 16, 10).cast("long")

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rotation_quaternion, turned_angle, wrapped_angle
 from .normalize import EPS, clip01, distance, dot, l2_normalise, norm, unit_interval
 
 
-
 def in_clip() -> WindowSpec:
     return W.partitionBy("sample_id").orderBy("frame_index")
 
@@ -67,11 +67,11 @@ def visual_action_consistency(frames: DataFrame, visual: str = "state") -> DataF
 
 
 def action_jumps(frames: DataFrame, skip: tuple[int, ...] = ()) -> DataFrame:
-    """``jump`` of every frame but an episode's first: root mean square of the action's step in units of its population deviation."""
+    """``jump`` of every frame but an episode's first: root mean square of the action's step, each dimension in units of its values' population deviation over all frames."""
     wide = frames.select("episode_id", "frame_index", F.posexplode("action").alias("dim", "x")).filter(~F.col("dim").isin(list(skip)) if skip else F.lit(True))
+    scale = wide.groupBy("dim").agg(F.greatest(F.stddev_pop("x"), F.lit(EPS)).alias("s"))
     by = W.partitionBy("episode_id", "dim").orderBy("frame_index")
     steps = wide.withColumn("d", F.col("x") - F.lag("x").over(by)).filter("d IS NOT NULL")
-    scale = steps.groupBy("dim").agg(F.greatest(F.stddev_pop("d"), F.lit(EPS)).alias("s"))
     return steps.join(F.broadcast(scale), "dim").groupBy("episode_id", "frame_index").agg(F.sqrt(F.avg((F.col("d") / F.col("s")) ** 2)).alias("jump"))
 
 
@@ -83,15 +83,32 @@ def jump_rate(clips: DataFrame, jumps: DataFrame, threshold: float | None = None
     return rows.groupBy("sample_id").agg(F.avg((F.col("jump") > F.col("limit")).cast("double")).alias("jump_rate")).withColumn("jump_score", 1 - F.col("jump_rate"))
 
 
-def dwell_ratio(clip_frames: DataFrame, position: tuple[int, ...], gripper: int, speed: float, grip_speed: float) -> DataFrame:
-    """``dwell_ratio``: share of the clip's time in steps in which position and gripper are both slower than their limits."""
-    rows = clip_frames.withColumns({"dt": F.col("timestamp") - F.lag("timestamp").over(in_clip()), "was": F.lag("state").over(in_clip())}).filter("dt > 0")
-    moved = F.sqrt(sum(((F.get("state", F.lit(k)) - F.get("was", F.lit(k))) ** 2 for k in position), F.lit(0.0)))
-    gripped = F.abs(F.get("state", F.lit(gripper)) - F.get("was", F.lit(gripper)))
-    still = (moved / F.col("dt") < speed) & (gripped / F.col("dt") < grip_speed)
+def dwell_ratio(clip_frames: DataFrame, speed: float, turn_speed: float, grip_speed: float | None, rotation: str = "vector",
+                position: tuple[int, ...] = (0, 1, 2), orientation: tuple[int, ...] = (3, 4, 5), gripper: int = 7) -> DataFrame:
+    """``dwell_ratio``: share of the clip's time in steps in which position, orientation and gripper are all slower than their limits.
+
+    ``rotation``: how the state holds it, ``vector`` or ``euler``; the angle
+    between two frames is that of their quaternions. ``grip_speed`` None: a
+    gripper that is open or shut must not change at all.
+    """
+    turn = F.array(*[F.get("state", F.lit(k)) for k in orientation])
+    rows = clip_frames.withColumn("q", rotation_quaternion(turn, rotation)).withColumns({
+        "dt": F.col("timestamp") - F.lag("timestamp").over(in_clip()), "was": F.lag("state").over(in_clip()), "p": F.lag("q").over(in_clip())}).filter("dt > 0")
+    at = lambda column, k: F.get(column, F.lit(k))
+    moved = F.sqrt(sum(((at("state", k) - at("was", k)) ** 2 for k in position), F.lit(0.0)))
+    still = (moved / F.col("dt") < speed) & (turned_angle(F.col("p"), F.col("q")) / F.col("dt") < turn_speed)
+    gripped = F.abs(at("state", gripper) - at("was", gripper))
+    still = still & ((gripped == 0) if grip_speed is None else (gripped / F.col("dt") < grip_speed))
     return rows.groupBy("sample_id").agg((F.sum(F.when(still, F.col("dt")).otherwise(0.0)) / F.sum("dt")).alias("dwell_ratio"))
 
 
+def _timing(frames_: str, lo: str, mid: str, hi: str, least: int, rtol: float, atol: float) -> Column:
+    """The first reason for which a clip's time steps are of no use, or null."""
+    far = F.lit(atol) + F.lit(rtol) * F.abs(mid)
+    return F.when(F.col(frames_) < least, "too_short").when(F.col(lo) <= 0, "non_increasing_time").when(
+        (F.col(hi) - F.col(mid) > far) | (F.col(mid) - F.col(lo) > far), "non_uniform_time")
+
+
 def jerk(clip_frames: DataFrame, position: str = "position", time: str = "timestamp", rtol: float = 1e-4, atol: float = 1e-8) -> DataFrame:
     """``jerk, reason``: mean length of the third difference over the cube of the median time step.
 
@@ -103,19 +120,28 @@ def jerk(clip_frames: DataFrame, position: str = "position", time: str = "timest
         F.zip_with(p, F.lag(p, 3).over(in_clip()), lambda x, y: x - y), F.zip_with(F.lag(p, 2).over(in_clip()), F.lag(p, 1).over(in_clip()), lambda x, y: 3 * (x - y)), lambda x, y: x + y)
     rows = clip_frames.withColumns({"dt": F.col(time) - F.lag(time).over(in_clip()), "d3": norm(third)})
     got = rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.avg("d3").alias("d3"), F.percentile("dt", F.lit(0.5)).alias("mid"), F.min("dt").alias("lo"), F.max("dt").alias("hi"))
-    far = F.lit(atol) + F.lit(rtol) * F.abs("mid")
-    reason = F.when(F.col("n") < 4, "too_short").when(F.col("lo") <= 0, "non_increasing_time").when((F.col("hi") - F.col("mid") > far) | (F.col("mid") - F.col("lo") > far), "non_uniform_time")
+    reason = _timing("n", "lo", "mid", "hi", 4, rtol, atol)
     return got.select("sample_id", F.when(reason.isNull(), F.col("d3") / F.col("mid") ** 3).alias("jerk"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
-def backtracking(clip_frames: DataFrame, position: str = "position", least: float = 1e-6, eta: float = 0.5) -> DataFrame:
-    """``backtracks, pairs, rate``: adjacent steps, both longer than ``least``, whose directions' cosine is below -eta."""
+def backtracking(clip_frames: DataFrame, position: str = "position", time: str = "timestamp", least: float = 1e-6, eta: float = 0.5,
+                 rtol: float = 1e-4, atol: float = 1e-8) -> DataFrame:
+    """``backtracks, pairs, rate, reason``: of the adjacent steps that are both longer than ``least``, those whose directions' cosine is below -eta.
+
+    Null with a reason for fewer than three frames (``too_short``), uneven time
+    as in ``jerk``, and clips without such a pair (``no_valid_comparisons``).
+    """
     d = _minus(F.col(position), F.lag(position).over(in_clip()))
-    rows = clip_frames.withColumn("d", d).withColumn("e", F.lag("d").over(in_clip())).filter("e IS NOT NULL")
-    valid = (norm(F.col("d")) > least) & (norm(F.col("e")) > least)
-    turned = valid & (dot(F.col("d"), F.col("e")) < -eta * norm(F.col("d")) * norm(F.col("e")))
-    got = rows.groupBy("sample_id").agg(F.sum(turned.cast("long")).alias("backtracks"), F.count(F.lit(1)).alias("pairs"))
-    return got.withColumn("rate", F.col("backtracks") / F.col("pairs"))
+    rows = clip_frames.withColumns({"d": d, "dt": F.col(time) - F.lag(time).over(in_clip())}).withColumn("e", F.lag("d").over(in_clip()))
+    valid = F.col("e").isNotNull() & (norm(F.col("d")) > least) & (norm(F.col("e")) > least)
+    cosine = F.least(F.greatest(dot(F.col("d"), F.col("e")) / (norm(F.col("d")) * norm(F.col("e"))), F.lit(-1.0)), F.lit(1.0))
+    got = rows.groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile("dt", F.lit(0.5)).alias("mid"), F.min("dt").alias("lo"), F.max("dt").alias("hi"),
+        F.sum(F.when(valid, 1).otherwise(0)).cast("long").alias("pairs"), F.sum(F.when(valid, (cosine < -eta).cast("int")).otherwise(0)).cast("long").alias("backtracks"))
+    timing = _timing("n", "lo", "mid", "hi", 3, rtol, atol)
+    reason = F.coalesce(timing, F.when(F.col("pairs") == 0, "no_valid_comparisons"), F.lit(""))
+    count = lambda c: F.when(timing.isNull(), F.col(c)).otherwise(0).alias(c)
+    return got.select("sample_id", count("backtracks"), count("pairs"), F.when(reason == "", F.col("backtracks") / F.col("pairs")).alias("rate"), reason.alias("reason"))
 
 
 def path_efficiency(clip_frames: DataFrame, position: str = "position", least: float = 1e-6) -> DataFrame:
@@ -140,16 +166,22 @@ def gripper_states(frames: DataFrame, column: str, opened: float = 0.95, closed:
     return frames.withColumn("gripper", F.coalesce(F.first(clear, ignorenulls=True).over(ahead), seed))
 
 
-#: Axis, token above the threshold, token below, as fixed by the two data sets' conventions.
+#: Axis, token above the threshold, token below: fixed values of the two data sets' conventions.
 MOVES = ((0, "forward", "backward"), (1, "left", "right"), (2, "up", "down"))
 TURNS = ((3, "roll positive", "roll negative"), (4, "tilt up", "tilt down"), (5, "rotate counterclockwise", "rotate clockwise"), (7, "open gripper", "close gripper"))
 
 
-def motion_label(delta: Column, thresholds: dict[int, float], default: float = 0.03) -> Column:
-    """``move a b, tilt up`` from per-axis changes, strictly beyond their thresholds; ``stop`` if there are none."""
+def motion_label(delta: Column, thresholds: dict[int, float], default: float = 0.03, cyclic: tuple[int, ...] = (), flipped: tuple[int, ...] = ()) -> Column:
+    """``move a b, tilt up`` from per-axis changes, strictly beyond their thresholds; ``stop`` if there are none.
+
+    ``cyclic`` axes are angles: a change outside [-pi, pi) is wrapped. On
+    ``flipped`` axes the two tokens change places.
+    """
     def token(axis: int, above: str, below: str) -> Column:
         limit = thresholds.get(axis, default)
         x = F.get(delta, F.lit(axis))
+        x = wrapped_angle(x) if axis in cyclic else x
+        above, below = (below, above) if axis in flipped else (above, below)
         return F.when(x > limit, above).when(x < -limit, below)
 
     moves = F.concat_ws(" ", *[token(*m) for m in MOVES])
@@ -157,8 +189,9 @@ def motion_label(delta: Column, thresholds: dict[int, float], default: float = 0
     return F.when(label == "", "stop").otherwise(label)
 
 
-def motion_primitives(frames: DataFrame, state: str, horizon: int, thresholds: dict[int, float] | None = None, tail: str = "truncate") -> DataFrame:
-    """``label`` of every frame: its motion over the next ``horizon`` frames.
+def motion_primitives(frames: DataFrame, state: str, horizon: int, thresholds: dict[int, float] | None = None, tail: str = "truncate",
+                      cyclic: tuple[int, ...] = (), flipped: tuple[int, ...] = ()) -> DataFrame:
+    """``label`` of every frame: its motion over the next ``horizon`` frames (see ``motion_label``).
 
     Frames too near the end are left out (``truncate``), compared with the last
     frame (``clip``), or take over the last full label (``pad_last``).
@@ -167,7 +200,7 @@ def motion_primitives(frames: DataFrame, state: str, horizon: int, thresholds: d
     later = F.lead(state, horizon).over(in_episode())
     if tail == "clip":
         later = F.coalesce(later, F.last(state).over(whole))
-    rows = frames.withColumn("later", later).withColumn("label", F.when(F.col("later").isNotNull(), motion_label(_minus(F.col("later"), F.col(state)), thresholds or {})))
+    rows = frames.withColumn("later", later).withColumn("label", F.when(F.col("later").isNotNull(), motion_label(_minus(F.col("later"), F.col(state)), thresholds or {}, cyclic=cyclic, flipped=flipped)))
     if tail == "pad_last":
         return rows.withColumn("label", F.coalesce("label", F.last("label", ignorenulls=True).over(whole))).drop("later")
     return rows.filter("label IS NOT NULL").drop("later")
@@ -201,52 +234,71 @@ def frequent_labels(counts: DataFrame, least: float) -> DataFrame:
     return counts.filter(F.col("proportion") >= least)
 
 
+def _with_stop(counts: DataFrame) -> DataFrame:
+    """``counts`` with a row for ``stop`` even if it never occurs."""
+    none = counts.agg(F.max(F.col("label") == "stop").alias("there")).filter("there IS NULL OR NOT there").select(
+        F.lit("stop").alias("label"), F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("proportion"))
+    return counts.unionByName(none)
+
+
+def _numbered(kept: DataFrame, *order: Column | str) -> DataFrame:
+    """The labels of a catalogue, numbered in order; they are some hundred at most, so one task holds them."""
+    return kept.select("label", "count", (F.row_number().over(W.orderBy(*order)) - 1).cast("long").alias("label_id"))
+
+
 def label_catalog(counts: DataFrame, share: float = 0.005) -> DataFrame:
     """``label, count, label_id``: labels beyond the share, and ``stop`` in any case, numbered by count and label."""
-    kept = counts.filter((F.col("proportion") > share) | (F.col("label") == "stop"))
-    return kept.select("label", "count", (F.row_number().over(W.orderBy(F.desc("count"), "label")) - 1).cast("long").alias("label_id"))
+    return _numbered(_with_stop(counts).filter((F.col("proportion") > share) | (F.col("label") == "stop")), F.desc("count"), "label")
+
 
+def action_catalog(counts: DataFrame, least: int = 400, share: float = 0.005, stop_bucket: bool = True) -> DataFrame:
+    """``label, count, label_id``: labels with at least max(least, ceil(share of all)) occurrences; ``stop`` comes last, however rare, or not at all.
 
-def action_catalog(counts: DataFrame, least: int = 400, share: float = 0.005) -> DataFrame:
-    """``label, count, label_id``: labels with at least max(least, ceil(share of all)) occurrences, ``stop`` numbered last."""
+    An error if other labels occur but none often enough.
+    """
     total = counts.agg(F.sum("count").alias("total"))
-    kept = counts.crossJoin(F.broadcast(total)).filter(F.col("count") >= F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("total"))))
-    order = W.orderBy((F.col("label") == "stop"), F.desc("count"), "label")
-    return kept.select("label", "count", (F.row_number().over(order) - 1).cast("long").alias("label_id"))
+    rows = _with_stop(counts).crossJoin(F.broadcast(total)).withColumn(
+        "kept", (F.col("label") != "stop") & (F.col("count") >= F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("total")))))
+    moving = rows.filter("label != 'stop' AND count > 0").agg(F.count(F.lit(1)), F.sum(F.col("kept").cast("int"))).first()
+    if moving[0] and not moving[1]:
+        raise ValueError("no label but stop occurs often enough")
+    return _numbered(rows.filter(F.col("kept") | (F.lit(stop_bucket) & (F.col("label") == "stop"))), F.col("label") == "stop", F.desc("count"), "label")
 
 
-def retained_parents(counts: DataFrame, catalog: DataFrame) -> DataFrame:
+def retained_parents(counts: DataFrame, catalog: DataFrame, stop_bucket: bool = True) -> DataFrame:
     """``label, parent``: each label's retained labels whose atoms are among its own, the ones with the most atoms (all that tie).
 
+    A label without any has the parent ``stop`` (none, without a stop bucket).
     The catalog has some hundred labels, each with at most seven atoms: it is sent to every task.
     """
     own = counts.select("label", atoms(F.col("label")).alias("own"))
     retained = catalog.filter("label != 'stop'").select(F.col("label").alias("parent"), atoms(F.col("label")).alias("theirs"))
-    fits = own.join(F.broadcast(retained), F.size(F.array_except("theirs", "own")) == 0)
-    best = W.partitionBy("label").orderBy(F.desc(F.size("theirs")))
-    return fits.withColumn("r", F.rank().over(best)).filter("r = 1").select("label", "parent")
+    fits = own.join(F.broadcast(retained), F.size(F.array_except("theirs", "own")) == 0, "left")
+    best = W.partitionBy("label").orderBy(F.desc(F.coalesce(F.size("theirs"), F.lit(-1))))
+    got = fits.withColumn("r", F.rank().over(best)).filter("r = 1").select("label", "parent")
+    return got.withColumn("parent", F.coalesce("parent", F.lit("stop"))) if stop_bucket else got.filter("parent IS NOT NULL")
 
 
 def softened(counts: DataFrame, catalog: DataFrame) -> DataFrame:
     """``label, target, weight``: a retained label keeps weight 1; others go to retained labels with one atom less.
 
-    None: ``stop`` at 0.8. One: it at 0.8. Two: the commoner alone if more than
-    four times as common, else both, in proportion, 0.8 together. With more, the two commonest count.
+    None: ``stop`` at 0.8. One: it at 0.8. Two: the commoner alone at 0.8 if more
+    than four times as common, else both, in proportion, 1 together. With more,
+    the two commonest count.
     """
-    kept = catalog.select(F.col("label").alias("target"), F.col("count").alias("weight_count"))
+    kept = catalog.select(F.col("label").alias("target"), F.col("count").alias("often"))
     mine = counts.select("label").join(F.broadcast(kept), F.col("label") == F.col("target"), "left")
     exact = mine.filter("target IS NOT NULL").select("label", "target", F.lit(1.0).alias("weight"))
     rest = mine.filter("target IS NULL").select("label", atoms(F.col("label")).alias("own"))
-    fewer = rest.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.size("own")), lambda k: F.concat(F.slice("own", F.lit(1), k - 1), F.slice("own", k + 1, F.lit(99))))).alias("part"))
-    found = fewer.select("label", compose(F.col("part")).alias("target")).join(F.broadcast(kept), "target")
-    ranked = found.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy(F.desc("weight_count"), "target"))).filter("r <= 2")
-    both = ranked.groupBy("label").agg(F.max_by("target", F.struct("weight_count", -F.col("r"))).alias("a"), F.max("weight_count").alias("ca"),
-                                       F.max(F.when(F.col("r") == 2, F.col("target"))).alias("b"), F.max(F.when(F.col("r") == 2, F.col("weight_count"))).alias("cb"))
-    one = F.struct(F.col("a").alias("target"), F.lit(0.8).alias("weight"))
-    two = F.array(F.struct(F.col("a").alias("target"), (0.8 * F.col("ca") / (F.col("ca") + F.col("cb"))).alias("weight")),
-                  F.struct(F.col("b").alias("target"), (0.8 * F.col("cb") / (F.col("ca") + F.col("cb"))).alias("weight")))
-    soft = both.select("label", F.explode(F.when(F.col("b").isNull() | (F.col("ca") > 4 * F.col("cb")), F.array(one)).otherwise(two)).alias("t")).select("label", "t.*")
-    none = rest.join(both.select("label"), "label", "left_anti").select("label", F.lit("stop").alias("target"), F.lit(0.8).alias("weight"))
+    without = F.transform(F.sequence(F.lit(1), F.size("own")), lambda k: compose(F.concat(F.slice("own", F.lit(1), k - 1), F.slice("own", k + 1, F.lit(99)))))
+    fewer = rest.select("label", F.explode(F.array_distinct(without)).alias("target")).join(F.broadcast(kept), "target")
+    ranked = fewer.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy(F.desc("often"), "target"))).filter("r <= 2")
+    pairs = ranked.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("r", "target", "often"))).alias("t"))
+    first, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    alone = second.isNull() | (first["often"] > 4 * second["often"])
+    share = lambda x: F.struct(x["target"].alias("target"), (x["often"] / (first["often"] + second["often"])).alias("weight"))
+    soft = pairs.select("label", F.explode(F.when(alone, F.array(F.struct(first["target"].alias("target"), F.lit(0.8).alias("weight")))).otherwise(F.array(share(first), share(second)))).alias("x")).select("label", "x.*")
+    none = rest.join(pairs.select("label"), "label", "left_anti").select("label", F.lit("stop").alias("target"), F.lit(0.8).alias("weight"))
     return exact.unionByName(soft).unionByName(none)
 
 
@@ -260,28 +312,39 @@ def fuse_reliability(rows: DataFrame, metrics: list[str], least: float = 0.05, o
     return rows.withColumn(out, F.least(F.greatest(mean, F.lit(least)), F.lit(1.0)))
 
 
-def progress_reliability(clip_frames: DataFrame) -> DataFrame:
-    """``progress, smoothness, activity, reliability`` of clips from state and action.
+#: How much each part counts in a clip's reliability (exponents).
+RELIABILITY = {"support": 0.5, "progress": 0.5, "smoothness": 0.25, "activity": 0.5}
+
 
-    Progress: the end effector's net move (all state dimensions but the last) and
-    half the gripper's (the last), in units of their deviation over clips.
-    Smoothness: exp of the median jerk over all clips' median. Activity: share of frames that do something.
+def progress_reliability(clip_frames: DataFrame, support: DataFrame, visual: str, parts: tuple[str, ...] = tuple(RELIABILITY), grip_weight: float = 0.5,
+                         visual_weight: float = 0.25, idle: float = 1e-4, least: float = 0.05) -> DataFrame:
+    """``support, progress, smoothness, activity, reliability`` of clips from state, action and a visual feature a frame.
+
+    ``support``: ``sample_id, support``. Progress: the end effector's net move (all
+    state dimensions but the last) and the gripper's (the last), in units of their
+    deviation over clips, and that of the unit visual feature. Smoothness: exp of
+    the median second difference of the action without its gripper (the last
+    dimension), over all clips' median. Activity: share of frames in which the
+    action moves, or its gripper changes.
     """
-    arm = lambda s: F.slice(s, F.lit(1), F.size(s) - 1)
-    grip = lambda s: F.element_at(s, F.lit(-1))
-    second = F.zip_with(_minus(F.col("action"), F.lag("action").over(in_clip())), _minus(F.lag("action").over(in_clip()), F.lag("action", 2).over(in_clip())), lambda x, y: x - y)
-    idle = (norm(F.col("action")) < 1e-4) & (F.abs(F.coalesce(grip(F.col("state")) - grip(F.lag("state").over(in_clip())), F.lit(0.0))) < 1e-4)
-    rows = clip_frames.withColumns({"j": norm(second), "idle": idle.cast("double")})
+    first_ = lambda v: F.slice(v, F.lit(1), F.size(v) - 1)
+    grip = lambda v: F.element_at(v, F.lit(-1))
+    move = clip_frames.withColumns({"move": first_(F.col("action")), "hold": grip(F.col("action"))})
+    second = F.zip_with(_minus(F.col("move"), F.lag("move").over(in_clip())), _minus(F.lag("move").over(in_clip()), F.lag("move", 2).over(in_clip())), lambda x, y: x - y)
+    still = (norm(F.col("move")) < idle) & (F.abs(F.coalesce(F.col("hold") - F.lag("hold").over(in_clip()), F.lit(0.0))) < idle)
+    rows = move.withColumns({"j": norm(second), "still": still.cast("double")})
     first, last = F.min_by("state", "frame_index"), F.max_by("state", "frame_index")
     got = rows.groupBy("sample_id").agg(
-        distance(arm(last), arm(first)).alias("ee"), F.abs(grip(last) - grip(first)).alias("g"),
-        F.coalesce(F.percentile("j", F.lit(0.5)), F.lit(0.0)).alias("jm"), F.avg("idle").alias("noop"))
+        distance(first_(last), first_(first)).alias("ee"), F.abs(grip(last) - grip(first)).alias("g"), progress_of(clip_frames, visual).alias("seen"),
+        F.coalesce(F.percentile("j", F.lit(0.5)), F.lit(0.0)).alias("jm"), F.avg("still").alias("noop"))
     over = got.agg(F.stddev_pop("ee").alias("se"), F.stddev_pop("g").alias("sg"), F.percentile("jm", F.lit(0.5)).alias("mj"))
-    p = F.col("ee") / (F.col("se") + EPS) + 0.5 * F.col("g") / (F.col("sg") + EPS)
-    out = got.crossJoin(F.broadcast(over)).select("sample_id", (0.5 + 0.5 * (1 - F.exp(-p))).alias("progress"),
-                                                   F.exp(-F.col("jm") / (F.col("mj") + EPS)).alias("smoothness"), (1 - F.col("noop")).alias("activity"))
-    product = F.pow("progress", 0.5) * F.pow("smoothness", 0.25) * F.pow("activity", 0.5)
-    return out.withColumn("reliability", F.least(F.greatest(product, F.lit(0.05)), F.lit(1.0)))
+    p = F.col("ee") / (F.col("se") + EPS) + grip_weight * F.col("g") / (F.col("sg") + EPS) + visual_weight * F.col("seen")
+    out = got.join(support, "sample_id").crossJoin(F.broadcast(over)).select(
+        "sample_id", "support", (0.5 + 0.5 * (1 - F.exp(-p))).alias("progress"), F.exp(-F.col("jm") / (F.col("mj") + EPS)).alias("smoothness"), F.greatest(1 - F.col("noop"), F.lit(0.0)).alias("activity"))
+    product = F.lit(1.0)
+    for name in parts:
+        product = product * F.pow(name, RELIABILITY[name])
+    return out.withColumn("reliability", F.least(F.greatest(product, F.lit(least)), F.lit(1.0)))
 
 
 def progress_of(frames: DataFrame, column: str) -> Column:

@@ -13,13 +13,14 @@ from decimal import ROUND_CEILING, Decimal
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def ranked(scores: DataFrame, score: str) -> DataFrame:
     """Adds ``place``: by score, shorter clips first among equals, then by id."""
-    return scores.withColumn("place", F.row_number().over(W.orderBy(F.desc(score), "length", "sample_id")).cast("long"))
+    return numbered(scores, -F.col(score), F.col("length"), F.col("sample_id"))
 
 
 def top_k(scores: DataFrame, score: str, k: int) -> DataFrame:
@@ -52,7 +53,7 @@ def per_group_percent(rows: DataFrame, group: str, percent: float, seed: int) ->
     """ceil(n * percent / 100) rows of each group, by a hash of seed and id (md5), without replacement."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), "sample_id"))
     sized = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) * percent / 100).alias("quota"))
-    placed = rows.withColumn("r_", F.row_number().over(W.partitionBy(group).orderBy(key, "sample_id")))
+    placed = numbered(rows, key, F.col("sample_id"), by=[group], name="r_")
     return placed.join(sized, group).filter(F.col("r_") <= F.col("quota")).drop("r_", "quota")
 
 
@@ -174,6 +175,30 @@ def batch_quotas(weights: Sequence[float], batch: int) -> list[int]:
     return out
 
 
+def interleaved(counts: Sequence[int]) -> list[int]:
+    """Sources in turn, each as often as it counts; those that are used up are passed over."""
+    return [k for turn in range(max(counts, default=0)) for k, n in enumerate(counts) if n > turn]
+
+
+def interleaved_batches(steps: DataFrame, weights: Sequence[float], batch: int) -> DataFrame:
+    """``step, slot, source, draw`` for every slot of every step's batch: exact quotas in turn, the turn beginning one later each step.
+
+    ``draw`` counts a source's slots over all steps, so it names the sample to take from an endless order of that source.
+    """
+    quotas = batch_quotas(weights, batch)
+    pattern = interleaved(quotas)
+    earlier = [sum(p == pattern[k] for p in pattern[:k]) for k in range(batch)]
+    at = (F.col("step") + F.col("slot")) % batch
+    of = lambda values, k: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), (k + 1).cast("int"))
+    slots = steps.select(F.col("step").cast("long").alias("step"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batch - 1).cast("long"))).alias("slot"))
+    rows = slots.select("step", "slot", of(pattern, at).alias("source"), of(earlier, at).alias("own"), of(earlier, F.col("step") % batch).alias("skipped"), at.alias("at"))
+    # within a batch the pattern is turned: what stands before the turn comes last
+    before = sum((F.when((F.lit(k) < F.col("step") % batch) & (F.col("source") == p), 1).otherwise(0) for k, p in enumerate(pattern)), F.lit(0))
+    quota = of(quotas, F.col("source"))
+    place = F.when(F.col("at") >= F.col("step") % batch, F.col("own") - before).otherwise(F.col("own") + quota - before)
+    return rows.select("step", "slot", "source", (F.col("step") * quota + place).cast("long").alias("draw"))
+
+
 def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
     """Intercept and weights of standardised ridge regression, in the original units."""
     mean, scale = x.mean(0), x.std(0)

@@ -2,8 +2,9 @@
 
 All-pairs scores are computed in blocks: the reference side is dealt out in
 blocks of rows and each task holds one block of either side as matrices, so no
-pair becomes a row. Reference sides are capped by their callers' sampling rules
-(the kernel's references and the diversity's are samples of 4,096 rows at most).
+pair becomes a row. Scores against a reference take it as given: ``reference_sample``
+draws a bounded one, which keeps the work linear in the rows; against all rows it
+is quadratic.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ from .normalize import EPS, unit_interval
 BLOCK = 2048
 
 
+def reference_sample(rows: DataFrame, most: int = 4096, seed: int = 42) -> DataFrame:
+    """All rows, or ``most`` of them by a hash of seed and id."""
+    return rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.to_list(), float)
 
@@ -29,7 +35,7 @@ def _blocks(left: DataFrame, right: DataFrame, of: Callable[[np.ndarray, np.ndar
     """``of(left ids, left vectors, right ids, right vectors)`` for every pair of blocks of ``id, vec`` tables."""
     n = max(1, -(-left.count() // BLOCK)), max(1, -(-right.count() // BLOCK))
     a = left.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n[0])).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n[1] - 1).cast("long"))).alias("b"))
-    b = right.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n[1])).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n[0] - 1).cast("long"))).alias("a"))
+    b = right.select("id", "vec").toDF("id", "vec").select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n[1])).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n[0] - 1).cast("long"))).alias("a"))
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):

@@ -41,7 +41,7 @@ def ordered_sequence_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_NODES + """, o AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY start_step) AS place FROM nodes)
-    SELECT a.node AS source, b.node AS target, round(least(a.reliability, b.reliability) / (b.place - a.place), 6) AS weight, 'cooccurrence' AS edge_type FROM o a JOIN o b ON a.episode_id = b.episode_id AND b.place BETWEEN a.place + 2 AND a.place + 3""")
+    SELECT a.node AS source, b.node AS target, round(a.reliability * b.reliability, 6) AS weight, 'cooccurrence' AS edge_type FROM o a JOIN o b ON a.episode_id = b.episode_id AND b.place BETWEEN a.place + 2 AND a.place + 3""")
 def cooccurrence_edges(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(g.cooccurrence_edges(nodes(spark, sf), 3))
 
@@ -59,12 +59,24 @@ def induced_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(g.induced(g.sequence_edges(rows), rows.filter("reliability >= 0.3")))
 
 
-_MATRIX = """, matrix AS (SELECT p, q, v / sum(v) OVER () AS value FROM (SELECT a.prototype AS p, b.prototype AS q, sum(s.weight * a.weight * b.weight) AS v FROM sequence s JOIN assignments a ON a.node = source JOIN assignments b ON b.node = target GROUP BY 1, 2))"""
+def _matrix(edges: str, name: str) -> str:
+    return f"""{name} AS (SELECT p, q, v / sum(v) OVER () AS value FROM (SELECT a.prototype AS p, b.prototype AS q, sum(s.r * a.weight * b.weight) AS v FROM {edges} s JOIN assignments a ON a.node = source JOIN assignments b ON b.node = target GROUP BY 1, 2))"""
 
 
-@query(_NODES + _SEQUENCE + _MATRIX + " SELECT p, q, round(value, 6) AS value FROM matrix")
+_MATRIX = _SEQUENCE + """, moves AS (SELECT source, target, a.reliability * b.reliability AS r FROM sequence JOIN nodes a ON a.node = source JOIN nodes b ON b.node = target),
+    o AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY start_step) AS place FROM nodes),
+    together AS (SELECT a.node AS source, b.node AS target, a.reliability * b.reliability AS r FROM o a JOIN o b ON a.episode_id = b.episode_id AND b.place BETWEEN a.place + 2 AND a.place + 3),
+    """ + _matrix("moves", "matrix") + ", " + _matrix("together", "comatrix")
+
+
+@query(_NODES + _MATRIX + " SELECT p, q, round(value, 6) AS value FROM matrix")
 def prototype_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(g.prototype_matrix(g.sequence_edges(nodes(spark, sf)), assignments(spark, sf)))
+    return rounded(g.prototype_matrix(g.sequence_edges(nodes(spark, sf), product=True), assignments(spark, sf)))
+
+
+@query(_NODES + _MATRIX + " SELECT p, q, round(value, 6) AS value FROM comatrix")
+def cooccurrence_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(g.prototype_matrix(g.cooccurrence_edges(nodes(spark, sf), 3), assignments(spark, sf)))
 
 
 _MASS = ", masses AS (SELECT a.prototype, a.node, weight * reliability AS m FROM assignments a JOIN nodes USING (node))"
@@ -80,18 +92,33 @@ def max_coverage_seed(spark: SparkSession, sf: str) -> DataFrame:
     return g.coverage_seed(assignments(spark, sf), nodes(spark, sf))
 
 
-@query(_NODES + _SEQUENCE + _MATRIX + _MASS + """, chosen AS (SELECT * FROM nodes WHERE node % 5 = 0),
+_COUNTED = """, counted AS (SELECT a.prototype AS p, b.prototype AS q, sum(a.m * b.m) AS whole, coalesce(sum(a.m * b.m) FILTER (source % 5 < 2 AND target % 5 < 2), 0) AS part
+    FROM sequence JOIN masses a ON a.node = source JOIN masses b ON b.node = target GROUP BY 1, 2)"""
+
+
+@query(_NODES + _SEQUENCE + _MASS + _COUNTED + " SELECT p, q, round(whole, 6) AS count FROM counted")
+def sequence_counts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = nodes(spark, sf)
+    return rounded(g.sequence_counts(g.sequence_edges(rows), assignments(spark, sf), rows))
+
+
+@query(_NODES + _MATRIX + _MASS + _COUNTED + """, chosen AS (SELECT * FROM nodes WHERE node % 5 < 2),
     cover AS (SELECT prototype, max(m) AS m FROM masses JOIN chosen USING (node) GROUP BY prototype),
-    rare AS (SELECT prototype, r / sum(r) OVER () AS r FROM (SELECT prototype, 1 / sqrt(sum(m) + 1e-8) AS r FROM masses GROUP BY prototype)),
+    rare AS (SELECT prototype, r / sum(r) OVER () AS r FROM (SELECT prototype, 1 / sqrt(sum(weight) + 1e-8) AS r FROM assignments GROUP BY prototype)),
     alike AS (SELECT source, target, least(1, 0.7 + weight / 2) AS w FROM sequence),
-    penalties AS (SELECT sum(p) AS whole, coalesce(sum(p) FILTER (source % 5 = 0 AND target % 5 = 0), 0) AS part FROM (SELECT source, target, a.reliability * b.reliability * greatest(w - 0.8, 0) / 0.2 AS p FROM alike JOIN nodes a ON a.node = source JOIN nodes b ON b.node = target)),
-    parts AS (SELECT (SELECT sum(m * r) FROM cover JOIN rare USING (prototype)) AS n, (SELECT sum(value * sqrt(a.m * b.m)) FROM matrix JOIN cover a ON a.prototype = p JOIN cover b ON b.prototype = q) AS t, (SELECT part / whole FROM penalties) AS r)
-    SELECT round(n, 6) AS node_value, round(t, 6) AS transition_value, round(r, 6) AS redundancy, round(4 * n + 1.2 * t - 2 * r, 6) AS objective FROM parts""")
+    penalties AS (SELECT sum(p) AS whole, coalesce(sum(p) FILTER (source % 5 < 2 AND target % 5 < 2), 0) AS part FROM (SELECT source, target, a.reliability * b.reliability * greatest(w - 0.8, 0) / 0.2 AS p FROM alike JOIN nodes a ON a.node = source JOIN nodes b ON b.node = target)),
+    parts AS (SELECT (SELECT sum(m * r) FROM cover JOIN rare USING (prototype)) AS n, (SELECT sum(value * sqrt(a.m * b.m)) FROM matrix JOIN cover a ON a.prototype = p JOIN cover b ON b.prototype = q) AS t,
+        (SELECT sum(value * sqrt(a.m * b.m)) FROM comatrix JOIN cover a ON a.prototype = p JOIN cover b ON b.prototype = q) AS c,
+        (SELECT sum(value * ln(1 + part) / (ln(1 + whole) + 1e-8)) FROM matrix JOIN counted USING (p, q)) AS s, (SELECT part / greatest(whole, 1e-8) FROM penalties) AS r)
+    SELECT round(n, 6) AS node_value, round(t, 6) AS transition_value, round(c, 6) AS cooccurrence_value, round(s, 6) AS sequence_value, round(r, 6) AS redundancy,
+        round(4 * n + 1.2 * t + 0.5 * c + 2 * s - 2 * r, 6) AS objective FROM parts""")
 def objective_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     rows, given = nodes(spark, sf), assignments(spark, sf)
     edges = g.sequence_edges(rows)
     similar = edges.select("source", "target", F.least(F.lit(1.0), 0.7 + F.col("weight") / 2).alias("weight"))
-    return rounded(g.objective(rows.filter("node % 5 = 0"), rows, given, g.prototype_matrix(edges, given), similar))
+    transition = g.prototype_matrix(g.sequence_edges(rows, product=True), given)
+    together = g.prototype_matrix(g.cooccurrence_edges(rows, 3), given)
+    return rounded(g.objective(rows.filter("node % 5 < 2"), rows, given, transition, together, edges, similar))
 
 
 @query(_NODES + " SELECT node, count(*) AS prototypes, round(sum(weight), 6) AS total FROM assignments GROUP BY node")

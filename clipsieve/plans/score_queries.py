@@ -82,17 +82,35 @@ def subset_diversity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(s.subset_diversity(vectors(spark, sf).filter("label = 4")))
 
 
+#: A clip's embedding: means of its state columns, brought to one scale.
+_CLIP_VECTORS = "clip_vectors AS (SELECT sample_id, [avg(state[1]) / 100, avg(state[2]) / 100, avg(state[3]) / 24] AS vec FROM clip_frames GROUP BY sample_id)"
+CLIP_SIGMA = 0.2
+
+
+def clip_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    mean = lambda k: F.avg(F.col("state")[k])
+    rows = clip_frames(spark, sf).groupBy("sample_id").agg(F.array(mean(0) / 100, mean(1) / 100, mean(2) / 24).alias("vec"))
+    return rows.withColumn("id", F.xxhash64("sample_id"))
+
+
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Clips with quality, and components that stand in for the embedding scores."""
+    """``sample_id, length, quality, coverage, diversity, novelty``: motion quality joined with the scores of the clips' embeddings.
+
+    Coverage is the mean affinity to all clips between quantiles, novelty the mean
+    distance to the twenty nearest, diversity one less the mean scaled cosine.
+    """
     from ..operators import motion as m
 
-    rows = clip_frames(spark, sf)
-    quality = m.quality(m.raw_quality(rows)).select("sample_id", "quality", F.col("state_transition_unit").alias("coverage"), F.col("motion_efficiency_unit").alias("novelty"), (1 - F.col("action_smooth_unit")).alias("diversity"))
-    return quality.withColumn("length", F.lit(15))
+    rows = clip_vectors(spark, sf)
+    coverage = n.unit_interval(s.mean_affinity(rows, rows, CLIP_SIGMA), "affinity", "coverage").select("id", "coverage")
+    found = coverage.join(s.novelty(rows).select("id", "novelty"), "id").join(s.diversity(rows, rows), "id").join(rows.select("id", "sample_id"), "id").drop("id")
+    return m.quality(m.raw_quality(clip_frames(spark, sf))).select("sample_id", "quality", F.lit(15).alias("length")).join(found, "sample_id")
 
 
-_SCORES = f"""WITH {CLIPS}, {QUALITY}, scores AS (SELECT q.sample_id, quality, {_UNIT.format(x='state_transition')} AS coverage, {_UNIT.format(x='motion_efficiency')} AS novelty, 1 - {_UNIT.format(x='action_smooth')} AS diversity
-    FROM raw JOIN quality q USING (sample_id))"""
+_SCORES = f"""WITH {CLIPS}, {QUALITY}, {_CLIP_VECTORS},
+    pairs AS (SELECT a.sample_id, a.sample_id = b.sample_id AS own, list_distance(a.vec, b.vec) AS d, list_cosine_similarity(a.vec, b.vec) AS c FROM clip_vectors a, clip_vectors b),
+    embedded AS (SELECT sample_id, avg(exp(-(d ** 2) / (2 * {CLIP_SIGMA} ** 2))) AS affinity, 1 - avg((c + 1) / 2) FILTER (NOT own) AS diversity, list_avg(list_slice(list(d ORDER BY d) FILTER (NOT own), 1, 20)) AS far FROM pairs GROUP BY sample_id),
+    scores AS (SELECT q.sample_id, quality, {_UNIT.format(x='affinity')} AS coverage, {_UNIT.format(x='far')} AS novelty, diversity FROM quality q JOIN embedded USING (sample_id))"""
 
 
 @query(_SCORES + " SELECT sample_id, round(least(greatest(0.8 * quality + 0.1 * coverage + 0.1 * novelty, 0), 1), 6) AS sqcn FROM scores")
@@ -163,16 +181,22 @@ def equal_task_score(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(a.equal_task_score(rates, rates.filter("experiment = 0"), 1.05))
 
 
-_METRICS = "metrics AS (SELECT l_suppkey AS run, l_orderkey AS step, l_linenumber * 10000000 + l_extendedprice AS \"row\", l_extendedprice::DOUBLE AS step_seconds, l_discount::DOUBLE AS wait FROM lineitem)"
+#: Every supplier's lines as a run; every fifth run lacks its expected step, every seventh may lack its warm-up boundary.
+_METRICS = """metrics AS (SELECT l_suppkey AS run, l_orderkey AS step, l_linenumber * 10000000 + l_extendedprice AS "row", l_extendedprice::DOUBLE AS step_seconds, l_discount::DOUBLE AS wait FROM lineitem),
+    settings AS (SELECT run, (min(step) + CASE WHEN run % 7 = 0 THEN 1 ELSE 0 END)::BIGINT AS warmup, (max(step) + CASE WHEN run % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS expected FROM metrics GROUP BY run)"""
 
 
 @query(f"""WITH {_METRICS}, last AS (SELECT run, step, arg_max(step_seconds, "row") AS a, arg_max(wait, "row") AS b FROM metrics GROUP BY run, step),
-    spans AS (SELECT *, step - lag(step) OVER (PARTITION BY run ORDER BY step) AS span FROM last)
-    SELECT run, round(sum(a * span) / sum(span), 4) AS step_seconds, round(sum(b * span) / sum(span), 4) AS wait FROM spans WHERE step > 100 AND span IS NOT NULL GROUP BY run""")
+    known AS (SELECT s.*, CASE WHEN NOT EXISTS (SELECT 1 FROM last l WHERE l.run = s.run AND l.step = expected) THEN 'incomplete' WHEN warmup > 0 AND NOT EXISTS (SELECT 1 FROM last l WHERE l.run = s.run AND l.step = warmup) THEN 'no_warmup_boundary' ELSE '' END AS problem FROM settings s),
+    spans AS (SELECT l.*, l.step - coalesce(lag(l.step) OVER (PARTITION BY l.run ORDER BY l.step), warmup) AS span FROM last l JOIN settings s ON s.run = l.run AND l.step > warmup AND l.step <= expected),
+    means AS (SELECT run, sum(a * span) / sum(span) AS a, sum(b * span) / sum(span) AS b, sum(span)::BIGINT AS n FROM spans GROUP BY run)
+    SELECT k.run, CASE WHEN problem = '' THEN round(a, 4) END AS step_seconds, CASE WHEN problem = '' THEN round(b, 4) END AS wait, CASE WHEN problem = '' THEN round(1024 / a, 4) END AS samples_per_second, CASE WHEN problem = '' THEN n END AS measured_steps, problem
+    FROM known k LEFT JOIN means m ON m.run = k.run""")
 def span_weighted_metrics(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("run"), F.col("l_orderkey").alias("step"), (F.col("l_linenumber") * 10_000_000 + F.col("l_extendedprice")).alias("row"), F.col("l_extendedprice").cast("double").alias("step_seconds"), F.col("l_discount").cast("double").alias("wait"))
-    return rounded(a.span_weighted(rows, ("step_seconds", "wait"), 100), 4)
+    settings = rows.groupBy("run").agg((F.min("step") + F.when(F.col("run") % 7 == 0, 1).otherwise(0)).alias("warmup"), (F.max("step") + F.when(F.col("run") % 5 == 0, 1).otherwise(0)).alias("expected"))
+    return rounded(a.span_weighted(rows, settings, ("step_seconds", "wait"), "step_seconds", 1024), 4)
 
 
 @query(_SCORES + ", t AS (SELECT substr(sample_id, 8, 1) AS kind, * FROM scores), c AS (SELECT kind, avg(quality) AS quality, avg(coverage) AS coverage, avg(novelty) AS novelty FROM t GROUP BY kind) SELECT kind, component, round(mean, 6) AS mean FROM (UNPIVOT c ON quality, coverage, novelty INTO NAME component VALUE mean)")
@@ -181,11 +205,11 @@ def component_means(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(a.component_means(rows, "kind", ("quality", "coverage", "novelty")))
 
 
-@query("""SELECT *, plan_index % 4 AS shard FROM (SELECT r_name AS task, seed, n_nationkey AS object_id, row_number() OVER (ORDER BY r_name, seed, n_nationkey) - 1 AS plan_index FROM region, (SELECT unnest([0, 2, 4]) AS seed), nation)""")
+@query("""WITH t AS (SELECT unnest(['stack', 'carrot', 'spoon']) AS task, unnest([0, 1, 2]) AS i), s AS (SELECT unnest([4, 0, 2]) AS seed, unnest([0, 1, 2]) AS j)
+    SELECT i * 72 + j * 24 + o AS plan_index, task, seed, o::INT AS object_id, (i * 72 + j * 24 + o) % 4 AS shard FROM t, s, (SELECT unnest(range(0, 24)) AS o)""")
 def episode_plan_shards(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = tables.table(spark, sf, "region").select(F.col("r_name").alias("task"))
-    objects = tables.table(spark, sf, "nation").select(F.col("n_nationkey").alias("object_id"))
-    return a.episode_plan(tasks, spark.createDataFrame([(0,), (2,), (4,)], "seed int"), objects, 4)
+    """Tasks and seeds in the order of the settings, not sorted."""
+    return a.episode_plan(spark, ["stack", "carrot", "spoon"], [4, 0, 2], list(range(24)), 4)
 
 
 @query("""WITH e AS (SELECT DISTINCT o_custkey AS k FROM orders), g AS (SELECT user_id AS k, count(*) AS c FROM events GROUP BY 1)
@@ -196,7 +220,7 @@ def except_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, (CASE WHEN h >= 9223372036854775808 THEN h - 9223372036854775808 ELSE h END)::BIGINT AS inference_seed FROM
-    (SELECT o_orderkey, ('0x' || substr(sha256(o_orderpriority || chr(0) || (o_orderkey % 3) || chr(0) || o_custkey), 1, 16))::UBIGINT AS h FROM orders)""")
+    (SELECT o_orderkey, ('0x' || substr(sha256('octo-simpler-episode-v1' || chr(0) || o_orderpriority || chr(0) || (o_orderkey % 3) || chr(0) || o_custkey), 1, 16))::UBIGINT AS h FROM orders)""")
 def inference_seeds(spark: SparkSession, sf: str) -> DataFrame:
     orders = tables.table(spark, sf, "orders")
     return orders.select("o_orderkey", a.inference_seed(F.col("o_orderpriority"), F.col("o_orderkey") % 3, F.col("o_custkey")).alias("inference_seed"))

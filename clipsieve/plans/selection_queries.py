@@ -74,9 +74,11 @@ def exact_greedy_selection(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(chosen, 1)), "selection_order long, node long")
 
 
-@query("""SELECT o_orderkey % 100 AS step, slot, (o_orderkey % 100 + slot) % 3 AS source FROM orders, (SELECT unnest(range(0, 3)) AS slot) GROUP BY ALL""")
+@query("""WITH quotas(source, quota) AS (VALUES (0, 4), (1, 2), (2, 1)),
+    pattern AS (SELECT source, quota, row_number() OVER (ORDER BY turn, source) - 1 AS k FROM quotas, (SELECT unnest(range(0, 4)) AS turn) WHERE turn < quota),
+    batches AS (SELECT step, slot, source, quota FROM (SELECT DISTINCT o_orderkey % 100 AS step FROM orders), (SELECT unnest(range(0, 7)) AS slot), pattern WHERE k = (step + slot) % 7)
+    SELECT step, slot, source::BIGINT AS source, (step * quota + row_number() OVER (PARTITION BY step, source ORDER BY slot) - 1)::BIGINT AS draw FROM batches""")
 def interleaved_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources take turns within a batch, and the turn begins one later each step."""
+    """Batches of seven from three sources by weights 3, 2 and 1: quotas 4, 2 and 1."""
     steps = tables.table(spark, sf, "orders").select((F.col("o_orderkey") % 100).alias("step")).distinct()
-    slots = steps.select("step", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("slot"))
-    return slots.withColumn("source", (F.col("step") + F.col("slot")) % 3)
+    return c.interleaved_batches(steps, (3, 2, 1), 7)
