@@ -24,6 +24,11 @@ def quaternion_axis_angle(q: Column) -> Column:
     return F.when(length < 1e-8, F.array(*[F.lit(0.0)] * 3)).otherwise(F.transform(F.slice(q, 1, 3), lambda x: x * 2 * F.acos(w) / length))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rotation_quaternion(turn: Column, kind: str = "vector") -> Column:
     """The unit (w, x, y, z) quaternion of a rotation vector, or of ``euler`` angles about the fixed x, y and z axes in turn."""
     if kind == "vector":
@@ -33,7 +38,7 @@ def rotation_quaternion(turn: Column, kind: str = "vector") -> Column:
     if kind != "euler":
         raise ValueError("kind must be vector or euler")
     half = lambda k: (F.array(F.cos(turn[k] / 2), *[F.sin(turn[k] / 2) if j == k else F.lit(0.0) for j in range(3)]))
-    return quaternion_product(half(2), quaternion_product(half(1), half(0)))
+    return let(quaternion_product(half(1), half(0)), lambda q: quaternion_product(half(2), q))
 
 
 def quaternion_product(a: Column, b: Column) -> Column:
@@ -51,6 +56,39 @@ def turned_angle(a: Column, b: Column) -> Column:
     return 4 * F.atan2(F.least(apart, along), F.greatest(apart, along))
 
 
+def quaternion_rotation_vector(q: Column) -> Column:
+    """Axis times angle (0 to pi) of a unit (w, x, y, z) quaternion."""
+    sign = F.when(q[0] < 0, -1.0).otherwise(1.0)
+    length = F.sqrt(q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
+    angle = 2 * F.atan2(length, sign * q[0])
+    return F.array(*[F.when(angle < 1e-7, 0.0).otherwise(sign * q[k] * angle / length) for k in (1, 2, 3)])
+
+
+def quaternion_euler(q: Column) -> Column:
+    """Angles about the fixed x, y and z axes of a unit (w, x, y, z) quaternion; upright (90 degrees about y) the last is 0."""
+    w, x, y, z = (q[k] for k in range(4))
+    pitch = F.asin(F.least(F.greatest(2 * (w * y - x * z), F.lit(-1.0)), F.lit(1.0)))
+    upright = F.abs(F.cos(pitch)) <= 1e-7
+    roll = F.when(upright, F.atan2(2 * (x * w - y * z), 1 - 2 * (x * x + z * z))).otherwise(F.atan2(2 * (y * z + w * x), 1 - 2 * (x * x + y * y)))
+    return F.array(roll, pitch, F.when(upright, 0.0).otherwise(F.atan2(2 * (x * y + w * z), 1 - 2 * (y * y + z * z))))
+
+
+def environment_action(action: Column, threshold: float = 0.5) -> Column:
+    """Seven numbers for the simulator: the move, the turn from Euler angles to a rotation vector, and the gripper as +1 (beyond the threshold) or -1."""
+    turn = let(rotation_quaternion(F.slice(action, 4, 3), "euler"), quaternion_rotation_vector)
+    return F.concat(F.slice(action, 1, 3), turn, F.array(F.when(F.get(action, F.lit(6)) > threshold, 1.0).otherwise(-1.0)))
+
+
+def demo_gripper(x: Column) -> Column:
+    """A gripper command from 1 (shut) to -1 (open), as an opening between 0 and 1."""
+    return F.least(F.greatest((1 - x) / 2, F.lit(0.0)), F.lit(1.0))
+
+
+def number_tag(x: float) -> str:
+    """A number as a part of a path: twelve digits at most, ``p`` for the point."""
+    return format(float(x), ".12g").replace(".", "p")
+
+
 def instruction(task: Column, episode_tasks: Column, fallback: str) -> Column:
     """The first that is not blank of the task table's text, the episode's own, and a fallback."""
     filled = lambda c: F.nullif(F.trim(c), F.lit(""))

@@ -116,3 +116,44 @@ def inference_seed(task: Column, seed: Column, object_id: Column) -> Column:
     digest = F.sha2(F.concat_ws("\0", F.lit(SEED_PREFIX), task, seed.cast("string"), object_id.cast("string")), 256)
     head = F.lpad(F.conv(F.conv(F.substring(digest, 1, 1), 16, 10).cast("int").bitwiseAND(7).cast("string"), 10, 16), 1, "0")
     return F.conv(F.concat(head, F.substring(digest, 2, 15)), 16, 10).cast("long")
+
+
+def dataset_summary(episodes: DataFrame, task: str = "task_name") -> DataFrame:
+    """One row, ``source, indexed, excluded``: episodes, those with a task that is not blank, and the rest."""
+    good = F.coalesce(F.trim(task) != "", F.lit(False))
+    return episodes.agg(F.count(F.lit(1)).alias("source"), F.sum(good.cast("long")).alias("indexed"), F.sum((~good).cast("long")).alias("excluded"))
+
+
+def run_status(candidates: DataFrame, results: DataFrame, tasks: int) -> DataFrame:
+    """``candidate, finished, status``: complete, partial or not_started, by the distinct tasks with a result."""
+    found = results.filter("rate IS NOT NULL").groupBy("candidate").agg(F.countDistinct("task").alias("finished"))
+    rows = candidates.join(found, "candidate", "left").withColumn("finished", F.coalesce("finished", F.lit(0)).cast("long"))
+    return rows.withColumn("status", F.when(F.col("finished") >= tasks, "complete").when(F.col("finished") > 0, "partial").otherwise("not_started"))
+
+
+def protocol_mismatches(runs: DataFrame, baseline: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``run, task, field``: settings in which a run differs from the baseline's of the same task; nulls are equal to each other."""
+    pairs = runs.join(baseline.select("task", *[F.col(f).alias(f"base_{f}") for f in fields]), "task")
+    differ = F.filter(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"base_{f}")), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
+    return pairs.select("run", "task", F.explode(differ).alias("field"))
+
+
+def manifest_mismatches(manifest: DataFrame, weights: DataFrame, columns: Sequence[str], rtol: float = 1e-9, atol: float = 1e-12) -> DataFrame:
+    """``position, problem``: places at which manifest and weights do not hold the same numbers, or only one has a row."""
+    both = manifest.select("position", F.struct(*columns).alias("a")).join(weights.select("position", F.struct(*columns).alias("b")), "position", "full")
+    far = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) > atol + rtol * F.abs(F.col(f"b.{c}")) for c in columns]
+    some = far[0]
+    for f in far[1:]:
+        some = some | f
+    problem = F.when(F.col("a").isNull(), "not in the manifest").when(F.col("b").isNull(), "no weights").when(some, "differs")
+    return both.select("position", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def overlap(selections: DataFrame) -> DataFrame:
+    """``a, b, common``: the number of samples that two selections share, for each pair that shares any.
+
+    A sample is in few selections; their pairs are made from its list of them.
+    """
+    lists = selections.select("selection", "sample_id").distinct().groupBy("sample_id").agg(F.array_sort(F.collect_list("selection")).alias("s"))
+    pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("common"))

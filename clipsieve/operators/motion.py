@@ -144,6 +144,53 @@ def backtracking(clip_frames: DataFrame, position: str = "position", time: str =
     return got.select("sample_id", count("backtracks"), count("pairs"), F.when(reason == "", F.col("backtracks") / F.col("pairs")).alias("rate"), reason.alias("reason"))
 
 
+JITTER = "ratio double, high_rms double, total_rms double, resolution double, reason string"
+
+
+def jitter(clip_frames: DataFrame, cutoff: float, coarsest: float, floor: float = 0.0, position: str = "position", time: str = "timestamp", eps: float = 1e-12) -> DataFrame:
+    """``sample_id, ratio, high_rms, total_rms, resolution, reason, score``: the share of a clip's velocity fluctuation above ``cutoff`` hertz.
+
+    From the one-sided power spectrum of the velocity (mean taken off, periodic
+    Hann window), summed over axes, without the constant part. A clip is of no
+    use if it has fewer than three velocities (``too_short``), a frequency step
+    beyond ``coarsest`` (``coarse_resolution``), no frequency on one side of the
+    cutoff (``missing_band``) or no more fluctuation than ``floor``
+    (``low_fluctuation``); then ``score`` (one less the ratio) is null. Uneven
+    time, and a cutoff that is not below half the rate, are errors.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def spectrum(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("frame_index")
+        p, t = np.array(frame["p"].to_list(), float), frame["t"].to_numpy(float)
+        row = {"sample_id": frame["sample_id"].iloc[0], "ratio": None, "high_rms": None, "total_rms": None, "resolution": None, "reason": "too_short"}
+        n = len(p) - 1
+        if n < 1:
+            return pd.DataFrame([row])
+        steps = np.diff(t)
+        dt = float(np.median(steps))
+        if (steps <= 0).any() or not np.allclose(steps, dt, rtol=1e-3, atol=1e-8):
+            raise ValueError("the time of a clip is not even")
+        if not 0 < cutoff < 0.5 / dt:
+            raise ValueError("the cutoff must be below half the rate of frames")
+        v = np.diff(p, axis=0) / dt
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n) if n > 1 else np.ones(1)
+        power = (np.abs(np.fft.rfft((v - v.mean(0)) * window[:, None], axis=0)) ** 2).sum(1) * dt / (window**2).sum()
+        power[1 : (n + 1) // 2] *= 2  # the middle frequency of an even number stands alone
+        at = np.fft.rfftfreq(n, dt)
+        high, low = at > cutoff, (at > 0) & (at <= cutoff)
+        width = 1 / (dt * n)
+        total, above = power[at > 0].sum() * width, power[high].sum() * width
+        reason = "too_short" if n < 3 else "coarse_resolution" if width > coarsest else "missing_band" if not high.any() or not low.any() else "low_fluctuation" if total**0.5 <= floor else ""
+        row |= {"ratio": float(np.clip(above / (total + eps), 0, 1)), "high_rms": float(above**0.5), "total_rms": float(total**0.5), "resolution": width, "reason": reason}
+        return pd.DataFrame([row])
+
+    rows = clip_frames.select("sample_id", "frame_index", F.col(position).alias("p"), F.col(time).alias("t"))
+    found = rows.groupBy("sample_id").applyInPandas(spectrum, f"sample_id string, {JITTER}")
+    return found.withColumn("score", F.when(F.col("reason") == "", 1 - F.col("ratio")))
+
+
 def path_efficiency(clip_frames: DataFrame, position: str = "position", least: float = 1e-6) -> DataFrame:
     """``efficiency``: straight distance over path length; null for paths not longer than ``least``."""
     rows = clip_frames.withColumn("d", distance(F.col(position), F.lag(position).over(in_clip())))

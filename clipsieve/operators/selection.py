@@ -6,6 +6,9 @@ clips' reduced rows (id, scores, a short vector), which their callers bound.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
+import itertools
 import math
 from collections.abc import Sequence
 from decimal import ROUND_CEILING, Decimal
@@ -15,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import is_validation
 from .ordering import numbered
 
 
@@ -134,6 +138,214 @@ def greedy_budget(clips: pd.DataFrame, vectors: np.ndarray, budget: int, weights
     return [str(ids[k]) for k in chosen]
 
 
+#: Fixed values of the diverse selection: taken outright, kept as candidates, neighbours that count, and rows updated at once.
+FIRST, CANDIDATES, NEIGHBOURS = 100, 100, 5
+
+
+class _Penalties:
+    """Each row's nearest chosen rows by a Gaussian kernel, and its score less the mean of their scores times similarity."""
+
+    def __init__(self, scores: np.ndarray, vectors: np.ndarray, ids: np.ndarray, sigma: float, strength: float):
+        self.scores, self.vectors, self.sigma, self.strength = scores, vectors, sigma, strength
+        self.order = np.empty(len(ids), np.int64)
+        self.order[np.argsort(ids)] = np.arange(len(ids))
+        self.known = [dict[int, float]() for _ in ids]
+        self.penalty, self.adjusted = np.zeros(len(ids)), scores.astype(float).copy()
+
+    def see(self, rows: list[int], chosen: list[int]) -> None:
+        """``rows`` learn of ``chosen``; each keeps its NEIGHBOURS most similar ones, ties by id."""
+        if not rows or not chosen:
+            return
+        some = np.unique(chosen)
+        for lo in range(0, len(rows), 512):
+            part = np.array(rows[lo : lo + 512])
+            apart = self.vectors[part, None] - self.vectors[some][None]
+            alike = np.exp(-np.einsum("ijk,ijk->ij", apart, apart) / (2.0 * self.sigma * self.sigma))
+            for row, found in zip(part.tolist(), alike, strict=True):
+                known = self.known[row] | dict(zip(some.tolist(), found.tolist(), strict=True))
+                best = sorted(known.items(), key=lambda x: (-x[1], self.order[x[0]]))[:NEIGHBOURS]
+                self.known[row] = dict(best)
+                self.penalty[row] = sum(s * self.scores[k] for k, s in best) / len(best)
+                self.adjusted[row] = self.scores[row] - self.strength * self.penalty[row]
+
+
+def diverse_fragments(scores: np.ndarray, vectors: np.ndarray, ids: Sequence[str], size: int, seed: int, strength: float = 1.0) -> pd.DataFrame:
+    """``row, adjusted, penalty`` of ``size`` rows in order of choice: the best scores first, then by score less similarity to what is chosen.
+
+    The FIRST best are taken as they are. Of the rest, CANDIDATES stand ready and
+    learn of every choice; the others wait, and one of them joins after each
+    choice, having caught up with a random part of the chosen (FIRST and the root
+    of what is beyond, in all). The sequence depends on every earlier choice, so
+    it runs on one machine over the rows that its caller bounds.
+    """
+    values, points, names = np.asarray(scores, float), np.asarray(vectors, float), np.asarray([str(i) for i in ids])
+    if not FIRST <= size <= len(values):
+        raise ValueError(f"size must be between {FIRST} and the number of rows")
+    if len(set(names.tolist())) != len(names) or not np.isfinite(points).all() or not ((values >= 0) & (values <= 1)).all():
+        raise ValueError("ids must be unique, vectors finite, and scores between 0 and 1")
+    order = np.lexsort((names, -values)).tolist()
+    top = points[order[:FIRST]]
+    spread = np.linalg.norm(top[:, None] - top[None], axis=2)[np.triu_indices(FIRST, k=1)].mean()
+    state, rng = _Penalties(values, points, names, max(float(spread), 1e-8), strength), np.random.default_rng(seed)
+    rank = lambda k: (-state.adjusted[k], -values[k], names[k])
+    chosen = order[:FIRST]
+    out = [(k, float(values[k]), 0.0) for k in chosen]
+    waiting = order[FIRST:]
+    if len(chosen) < size:
+        state.see(sorted(waiting), chosen)
+    seen = {k: FIRST for k in waiting}
+    waiting = [(rank(k), k) for k in waiting]
+    heapq.heapify(waiting)
+    ready = {heapq.heappop(waiting)[1] for _ in range(min(CANDIDATES, len(waiting)))}
+    while len(chosen) < size:
+        best = min(ready, key=rank)
+        ready.remove(best)
+        chosen.append(best)
+        out.append((best, float(state.adjusted[best]), float(state.penalty[best])))
+        if len(chosen) == size:
+            break
+        state.see(sorted(ready), [best])
+        for k in ready:
+            seen[k] += 1
+        if waiting:
+            new = heapq.heappop(waiting)[1]
+            behind = max(0, math.ceil(FIRST + math.sqrt(len(chosen) - FIRST)) - seen[new])
+            if behind:
+                state.see([new], [chosen[int(k)] for k in rng.choice(len(chosen), size=behind, replace=False)])
+            seen[new] += behind
+            ready.add(new)
+    return pd.DataFrame(out, columns=["row", "adjusted", "penalty"])
+
+
+def diverse_stage(scores: DataFrame, vectors: DataFrame, score: str, percent: str | float, seed: int, most_rows: int = 200_000) -> DataFrame:
+    """``sample_id, selection_order, adjusted, penalty``: the percentage's budget by ``diverse_fragments``.
+
+    Scores and vectors must have the same ids, each once. The selection holds all
+    rows on the driver, so there may be ``most_rows`` of them at most; more are an
+    error, never dropped.
+    """
+    rows = scores.select("sample_id", F.col(score).cast("double").alias("score")).join(vectors.select("sample_id", "vec"), "sample_id", "full")
+    n, bad = rows.agg(F.count(F.lit(1)), F.sum((F.col("score").isNull() | F.col("vec").isNull()).cast("int"))).first()
+    if bad or n > most_rows:
+        raise ValueError(f"{bad} rows have no score or no vector" if bad else f"{n} rows are more than {most_rows}")
+    table = rows.orderBy("sample_id").toPandas()
+    found = diverse_fragments(table["score"].to_numpy(), np.array(table["vec"].to_list(), float), table["sample_id"].to_list(), percent_budget(n, percent), seed)
+    out = [(str(table["sample_id"][r]), k, float(a), float(p)) for k, (r, a, p) in enumerate(found.itertuples(index=False, name=None), 1)]
+    return scores.sparkSession.createDataFrame(out, "sample_id string, selection_order long, adjusted double, penalty double")
+
+
+def target_demos(ids: Sequence[str], task: str, count: int) -> list[str]:
+    """``count`` of the sorted ids by a permutation that the task's name seeds."""
+    if len(ids) < count:
+        raise ValueError(f"{task}: {len(ids)} demonstrations, {count} are required")
+    seed = int.from_bytes(hashlib.sha256(task.encode()).digest(), "big") % (2**31 - 1)
+    return [str(x) for x in np.random.RandomState(seed).permutation(sorted(ids))[:count]]
+
+
+def split_episodes(episodes: DataFrame, seed: int = 42, percent: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Training and validation episodes by the stable hash split; an error if either is empty though there are episodes."""
+    marked = episodes.withColumn("v_", is_validation(F.lit(seed), F.col("episode_id"), F.lit(percent)))
+    n, held = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("v_").cast("int")), F.lit(0))).first()
+    if n and held in (0, n):
+        raise ValueError("the split leaves one part empty")
+    return marked.filter("NOT v_").drop("v_"), marked.filter("v_").drop("v_")
+
+
+def bounded_simplex(gradient: np.ndarray, hessian: np.ndarray, low: Sequence[float], high: Sequence[float]) -> np.ndarray:
+    """Weights within bounds that sum to 1 and maximise g'w + w'Hw / 2, exactly: the best point over all sets of weights held at a bound.
+
+    With some weights fixed, what is left is a quadratic on a plane; its
+    stationary point, found by a solve (least squares if it is flat), counts if it lies within the bounds.
+    """
+    low, high, g, h = (np.asarray(x, float) for x in (low, high, gradient, hessian))
+    n = len(low)
+    if low.sum() > 1 + 1e-12 or high.sum() < 1 - 1e-12 or (low > high).any():
+        raise ValueError("the bounds hold no weights that sum to 1")
+    best, best_value = None, -np.inf
+    for sides in itertools.product((0, 1, 2), repeat=n):
+        sides = np.array(sides)
+        free, w = np.flatnonzero(sides == 0), np.where(sides == 1, low, high)
+        rest = 1.0 - w[sides > 0].sum()
+        if not len(free):
+            if abs(rest) > 1e-9:
+                continue
+        else:
+            held = np.where(sides > 0, w, 0.0)
+            k = len(free)
+            system = np.zeros((k + 1, k + 1))
+            system[:k, :k], system[:k, k], system[k, :k] = h[np.ix_(free, free)], 1.0, 1.0
+            right = np.append(-(g + h @ held)[free], rest)
+            solved = np.linalg.lstsq(system, right, rcond=None)[0]
+            if np.abs(system @ solved - right).max() > 1e-8:
+                continue
+            w = held.copy()
+            w[free] = solved[:k]
+        if (w < low - 1e-9).any() or (w > high + 1e-9).any():
+            continue
+        value = float(g @ w + w @ h @ w / 2)
+        if value > best_value + 1e-12:
+            best, best_value = np.where(np.abs(w) < 1e-12, 0.0, w), value
+    return best
+
+
+def full_greedy(mass: np.ndarray, rarity: np.ndarray, transition: np.ndarray, together: np.ndarray, edges: np.ndarray, penalties: np.ndarray, budget: int,
+                tasks: Sequence | None = None, quotas: dict | None = None, weights: Sequence[float] = (4.0, 1.2, 0.5, 2.0, 2.0), start: Sequence[int] = (), eps: float = 1e-8) -> tuple[list[int], list[float]]:
+    """Rows in order of choice by the largest gain in the whole objective, ties to the smallest, within task quotas; and the objective after each.
+
+    ``mass[i, p]``: reliability times assignment; ``edges``: sequence (source,
+    target); ``penalties``: similarity (a, b, penalty). Gains of all free rows are
+    computed at once from the coverage: node, transition and co-occurrence terms
+    by matrix products over prototypes, sequence and redundancy over a row's own edges.
+    """
+    n, m = mass.shape
+    left, free, chosen = dict(quotas or {}), np.ones(n, bool), np.zeros(n, bool)
+    around: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for a, b in edges:
+        around[a].append((a, b))
+        around[b].append((a, b))
+    whole = sum((np.outer(mass[a], mass[b]) for a, b in edges), np.zeros((m, m)))
+    alike: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    for a, b, p in penalties:
+        alike[int(a)].append((int(b), p))
+        alike[int(b)].append((int(a), p))
+    scale = max(sum(p for _, _, p in penalties), eps)
+    cover, counts, redundancy = np.zeros(m), np.zeros((m, m)), 0.0
+    pair = weights[1] * transition + weights[2] * together
+
+    bound = np.log1p(whole) + eps
+    walked = lambda k: weights[3] * float((transition * np.log1p(k) / bound).sum())
+
+    def effect(k: int) -> tuple[np.ndarray, float]:
+        """Sequence counts and redundancy with row k."""
+        near = [(a, b) for a, b in around[k] if chosen[b if a == k else a]]
+        return sum((np.outer(mass[a], mass[b]) for a, b in near), counts), redundancy + sum(p for o, p in alike[k] if chosen[o])
+
+    out, values = [], []
+
+    for forced in [*start, *[None] * (budget - len(start))]:
+        open_ = np.flatnonzero(free) if tasks is None or quotas is None else np.array([k for k in np.flatnonzero(free) if left.get(tasks[k], 0) > 0], int)
+        if forced is None and not len(open_):
+            break
+        if forced is None:
+            roots = np.sqrt(np.maximum(cover, mass[open_]))
+            gains = weights[0] * np.maximum(cover, mass[open_]) @ rarity + ((roots @ pair) * roots).sum(1)
+            for j, k in enumerate(open_.tolist()):
+                extra, r = effect(k)
+                gains[j] += walked(extra) - weights[4] * r / scale
+            best = int(open_[int(np.argmax(gains))])
+        else:
+            best = int(forced)
+        counts, redundancy = effect(best)
+        cover = np.maximum(cover, mass[best])
+        chosen[best], free[best] = True, False
+        if tasks is not None and quotas is not None:
+            left[tasks[best]] -= 1
+        root = np.sqrt(cover)
+        out.append(best)
+        values.append(float(weights[0] * rarity @ cover + root @ pair @ root + walked(counts) - weights[4] * redundancy / scale))
+    return out, values
+
+
 def exact_greedy(nodes: pd.DataFrame, masses: np.ndarray, rarity: np.ndarray, budget: int, quotas: dict | None = None) -> list[int]:
     """Nodes in order of choice: the largest gain in rarity-weighted coverage (ties to the smallest node), within task quotas.
 
@@ -228,3 +440,12 @@ def fit_response(weights: np.ndarray, y: np.ndarray, alphas: Sequence[float] | N
             if best is None or rmse < best["loo_rmse"] - 1e-15:
                 best = {"quadratic": quadratic, "alpha": float(alpha), "loo_rmse": rmse, "weights": ridge(x, y, alpha)}
     return best
+
+
+def nested_errors(weights: np.ndarray, y: np.ndarray, alphas: Sequence[float] | None = None) -> np.ndarray:
+    """For each row the error of the surface that is fitted, order and penalty included, without it."""
+    out = []
+    for k in range(len(y)):
+        best = fit_response(np.delete(weights, k, 0), np.delete(y, k), alphas)
+        out.append(y[k] - np.concatenate([[1.0], features(weights[k : k + 1], best["quadratic"])[0]]) @ best["weights"])
+    return np.array(out)
