@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 #: A piece has so many buckets (two to the power) at most, and there are 64 pieces at least.
 PIECE_BITS = 20
-#: n-grams of one chunk of texts.
-CHUNK = 1_000_000
+#: n-grams of one chunk of texts, and its texts, at most (one longer text is a chunk of its own).
+CHUNK, TEXTS = 1_000_000, 50_000
 
 ASKS = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 #: Buckets of each text of an array of texts.
@@ -78,7 +78,7 @@ def asks(docs: DataFrame, bits: int, buckets: Buckets, text_at: int) -> DataFram
             for k, found in enumerate(buckets(batch.column(text_at))):
                 held.append(found)
                 n += len(found)
-                if n >= CHUNK:
+                if n >= CHUNK or len(held) >= TEXTS:
                     texts.append(batch.slice(begin, k + 1 - begin))
                     yield packed()
                     chunk, held, texts, n, begin = chunk + 1, [], [], 0, k + 1

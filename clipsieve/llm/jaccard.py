@@ -107,7 +107,7 @@ def frequencies(docs: DataFrame, bits: int) -> DataFrame:
             for s in _distinct_sets(batch.column(0), seen):
                 held.append(s)
                 n += len(s)
-                if n >= buckets.CHUNK:
+                if n >= buckets.CHUNK or len(held) >= buckets.TEXTS:
                     yield packed()
                     held, n = [], 0
                     seen.clear()

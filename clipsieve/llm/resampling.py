@@ -18,7 +18,7 @@ TARGET_ROWS = 20_000
 #: n-gram buckets: a power of two, one for every eighth word at least, at any size of the corpus.
 MIN_BITS = 14
 #: Rounds in which texts are scored, so that a round's files are a part of the whole.
-ROUNDS = 3
+ROUNDS = 6
 
 
 def _buckets(texts: pa.Array, bits: int) -> Iterator[np.ndarray]:
@@ -62,7 +62,7 @@ def count_models(docs: DataFrame, bits: int) -> DataFrame:
                 held.append(found)
                 marks.append(bool(target))
                 n += len(found)
-                if n >= buckets.CHUNK:
+                if n >= buckets.CHUNK or len(held) >= buckets.TEXTS:
                     yield packed()
                     held, marks, n = [], [], 0
         if n:

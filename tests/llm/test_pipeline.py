@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clipsieve.llm.queries import piece_model
@@ -99,3 +100,28 @@ def test_one_row_stays_of_repeats(spark):
         rest = [r for r in got if r["doc_id"] is not None]
         assert sorted((r["doc_id"], r["text"]) for r in rest) == sorted([(1, a), (5, b), (7, c)])
         assert len(got) == 4 and [r["text"] in (d, near(d, 3)) for r in got if r["doc_id"] is None] == [True]
+
+
+def test_clashing_names_long_texts_and_empty_tables(spark, folder):
+    """Stage by stage: columns that the operators use themselves pass through, and nothing crashes on extremes."""
+    path, rows = folder
+    long = " ".join(f"w{k % 977}x{k}" for k in range(60_000))
+    more = [(900, long, "en", None, None), (901, long + " end", None, "s1", None), (None, None, None, None, None), (None, "only words here", None, None, 3)]
+    docs = spark.createDataFrame([*rows, *more], DOCS).withColumns({c: F.lit(c) for c in ("name", "piece", "cut", "of", "m", "digest", "key", "component_id", "size", "tie0")})
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, path)
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert kept and all(r["piece"] == "piece" and r["key"] == "key" for r in kept), name
+        assert stage(spark, docs.limit(0), path).count() == 0, name
+        now = spark.createDataFrame(kept, docs.schema)
+    assert now.filter("doc_id IN (900, 901)").select("doc_id").distinct().count() <= 1
+    assert corpus_pipeline.STAGES[-1][1](spark, now, path).count() == now.count()
+
+
+def test_the_language_found_is_written(spark, folder):
+    path, rows = folder
+    docs = spark.createDataFrame([*rows, (1000, "w1 w2 w3", "fr", None, None)], DOCS)
+    got = corpus_pipeline.identify_language(spark, docs, path).collect()
+    assert {r["lang"] for r in got} <= {"en", "fr"} and all(any(c.isalpha() for c in r["text"]) for r in got)
