@@ -51,7 +51,7 @@ ALONE = 2
 #: Members of a hub's group that are compared with how many others in one task.
 BLOCK = (128, 128)
 #: Partners of a hub that one task meets, unless they are less than a 10,000th of all.
-PARTNERS = 1000
+PARTNERS = 500
 
 _SETS = T.StructType([
     T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shared", T.LongType()),
