@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import quantiles
+
 
 def moments(frames: DataFrame, column: str) -> DataFrame:
     """``dim, n, mean, std, min, max`` of each dimension (population deviation); partial sums merge on the way."""
@@ -19,10 +21,9 @@ def axis_statistics(deltas: DataFrame, column: str, threshold: float) -> DataFra
     """Per axis the shares of changes beyond the threshold (either way, up, down) and quantiles of their size."""
     wide = deltas.select(F.posexplode(column).alias("dim", "x"))
     share = lambda c: F.avg(c.cast("double"))
-    q = F.percentile(F.abs("x"), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return wide.groupBy("dim").agg(
-        share(F.abs("x") > threshold).alias("beyond"), share(F.col("x") > threshold).alias("above"), share(F.col("x") < -threshold).alias("below"), q.alias("q"),
-    ).select("dim", "beyond", "above", "below", F.col("q")[0].alias("q50"), F.col("q")[1].alias("q90"), F.col("q")[2].alias("q99"))
+    shares = wide.groupBy("dim").agg(share(F.abs("x") > threshold).alias("beyond"), share(F.col("x") > threshold).alias("above"), share(F.col("x") < -threshold).alias("below"))
+    q = quantiles(wide.withColumn("x", F.abs("x")), "x", (0.5, 0.9, 0.99), ["dim"]).withColumnsRenamed({"q0": "q50", "q1": "q90", "q2": "q99"})
+    return shares.join(q, "dim")
 
 
 def success_rates(results: DataFrame, sets: tuple[str, ...] = ("task", "seed")) -> DataFrame:

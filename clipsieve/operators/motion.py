@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rotation_quaternion, turned_angle, wrapped_angle
-from .normalize import EPS, clip01, distance, dot, l2_normalise, norm, unit_interval
+from .normalize import EPS, clip01, distance, dot, l2_normalise, norm, unit_intervals
+from .ordering import quantiles
 
 
 def in_clip() -> WindowSpec:
@@ -39,8 +40,7 @@ def raw_quality(clip_frames: DataFrame) -> DataFrame:
 
 def quality(raw: DataFrame) -> DataFrame:
     """Adds ``quality``: 0.4 of smoothness (less action is smoother), 0.3 each of state transition and efficiency, all between quantiles."""
-    for column in ("action_smooth", "state_transition", "motion_efficiency"):
-        raw = unit_interval(raw, column, f"{column}_unit")
+    raw = unit_intervals(raw, {c: f"{c}_unit" for c in ("action_smooth", "state_transition", "motion_efficiency")})
     score = 0.4 * (1 - F.col("action_smooth_unit")) + 0.3 * F.col("state_transition_unit") + 0.3 * F.col("motion_efficiency_unit")
     return raw.withColumn("quality", clip01(score))
 
@@ -77,7 +77,7 @@ def action_jumps(frames: DataFrame, skip: tuple[int, ...] = ()) -> DataFrame:
 
 def jump_rate(clips: DataFrame, jumps: DataFrame, threshold: float | None = None, at: float = 0.99) -> DataFrame:
     """``jump_rate`` and ``jump_score`` of clips: share of steps inside a clip beyond the threshold (default: a quantile of all jumps)."""
-    limit = jumps.agg(F.percentile("jump", F.lit(at)).alias("limit")) if threshold is None else jumps.limit(0).agg(F.lit(threshold).alias("limit"))
+    limit = quantiles(jumps, "jump", (at,)).withColumnRenamed("q0", "limit") if threshold is None else jumps.limit(0).agg(F.lit(threshold).alias("limit"))
     steps = clips.filter("end_step > start_step").select("sample_id", "episode_id", F.explode(F.sequence(F.col("start_step") + 1, F.col("end_step"))).alias("frame_index"))
     rows = steps.join(jumps, ["episode_id", "frame_index"]).crossJoin(F.broadcast(limit))
     return rows.groupBy("sample_id").agg(F.avg((F.col("jump") > F.col("limit")).cast("double")).alias("jump_rate")).withColumn("jump_score", 1 - F.col("jump_rate"))
@@ -384,7 +384,7 @@ def progress_reliability(clip_frames: DataFrame, support: DataFrame, visual: str
     got = rows.groupBy("sample_id").agg(
         distance(first_(last), first_(first)).alias("ee"), F.abs(grip(last) - grip(first)).alias("g"), progress_of(clip_frames, visual).alias("seen"),
         F.coalesce(F.percentile("j", F.lit(0.5)), F.lit(0.0)).alias("jm"), F.avg("still").alias("noop"))
-    over = got.agg(F.stddev_pop("ee").alias("se"), F.stddev_pop("g").alias("sg"), F.percentile("jm", F.lit(0.5)).alias("mj"))
+    over = got.agg(F.stddev_pop("ee").alias("se"), F.stddev_pop("g").alias("sg")).crossJoin(quantiles(got, "jm", (0.5,)).withColumnRenamed("q0", "mj"))
     p = F.col("ee") / (F.col("se") + EPS) + grip_weight * F.col("g") / (F.col("sg") + EPS) + visual_weight * F.col("seen")
     out = got.join(support, "sample_id").crossJoin(F.broadcast(over)).select(
         "sample_id", "support", (0.5 + 0.5 * (1 - F.exp(-p))).alias("progress"), F.exp(-F.col("jm") / (F.col("mj") + EPS)).alias("smoothness"), F.greatest(1 - F.col("noop"), F.lit(0.0)).alias("activity"))

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordering
+
 EPS = 1e-8
 
 
 def quantiles(frames: DataFrame, column: str, at: Sequence[float]) -> DataFrame:
     """``dim, q0, q1, ...``: quantiles of each dimension over all rows (each frame once)."""
-    wide = frames.select(F.posexplode(column).alias("dim", "x"))
-    of = F.percentile("x", F.array(*[F.lit(p) for p in at]))
-    return wide.groupBy("dim").agg(of.alias("q")).select("dim", *[F.col("q")[k].alias(f"q{k}") for k in range(len(at))])
+    return ordering.quantiles(frames.select(F.posexplode(column).alias("dim", "x")), "x", at, ["dim"])
 
 
 def _bounds(frames: DataFrame, column: str, at: Sequence[float]) -> DataFrame:
@@ -92,10 +92,21 @@ def l2_normalise(v: Column, eps: float = EPS) -> Column:
 
 def unit_interval(rows: DataFrame, column: str, out: str, low: float = 0.01, high: float = 0.99, eps: float = EPS, reverse: bool = False) -> DataFrame:
     """A scalar column between two of its quantiles, clipped to [0, 1]; ``reverse``: one less that. Nulls stay null."""
-    q = rows.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("q_"))
-    x = clip01((F.col(column) - F.col("q_")[0]) / F.greatest(F.col("q_")[1] - F.col("q_")[0], F.lit(eps)))
-    value = F.when(F.col(column).isNotNull(), 1 - x if reverse else x)
-    return rows.crossJoin(F.broadcast(q)).withColumn(out, value).drop("q_")
+    return unit_intervals(rows, {column: out}, low, high, eps, reverse)
+
+
+def unit_intervals(rows: DataFrame, columns: dict[str, str], low: float = 0.01, high: float = 0.99, eps: float = EPS, reverse: bool = False) -> DataFrame:
+    """``unit_interval`` of several columns (each with its new name), from one pass over their values."""
+    names = list(columns)
+    wide = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(c).cast("double").alias("x")) for k, c in enumerate(names)])).alias("v")).select("v.c", "v.x")
+    found = ordering.quantiles(wide, "x", (low, high), ["c"])
+    row = found.agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct("q0", "q1")))).alias("q_"))
+    out = rows.crossJoin(F.broadcast(row))
+    for k, (c, name) in enumerate(columns.items()):
+        q = F.element_at("q_", F.lit(k))
+        x = clip01((F.col(c) - q["q0"]) / F.greatest(q["q1"] - q["q0"], F.lit(eps)))
+        out = out.withColumn(name, F.when(F.col(c).isNotNull(), 1 - x if reverse else x))
+    return out.drop("q_")
 
 
 def temporal_pool(clip_frames: DataFrame, column: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .motion import atoms, retained_parents, softened
+from .ordering import quantiles
 
 #: Fixed values of the leaf hierarchy: centres of an action at least and at most, the least confidence of a distant half.
 CENTRES, LEAST_CONFIDENCE = (10, 30), 0.3
@@ -27,8 +28,7 @@ def retention_weight(label: Column, parent: Column) -> Column:
 
 def distance_bounds(nearest: DataFrame, by: str = "action", distance: str = "distance") -> DataFrame:
     """``by, low, high``: the 10 and 90 % quantiles of an action's distances to its nearest centres."""
-    q = F.percentile(distance, F.array(F.lit(0.1), F.lit(0.9)))
-    return nearest.groupBy(by).agg(q.alias("q")).select(by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return quantiles(nearest, distance, (0.1, 0.9), [by]).withColumnsRenamed({"q0": "low", "q1": "high"})
 
 
 def distance_confidence(distance: Column, low: Column, high: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .normalize import EPS, unit_interval
+from .ordering import quantiles
 
 BLOCK = 2048
 
@@ -103,7 +104,7 @@ def novelty(rows: DataFrame, k: int = 20) -> DataFrame:
 def support(rows: DataFrame, k: int, mode: str = "exponential") -> DataFrame:
     """``id, support`` from the k-th neighbour's distance d: exp(-d / median d), or the share of the k within the median radius (and itself)."""
     found = nearest(rows, k).groupBy("id").agg(F.max("value").alias("far"), F.array_sort(F.collect_list("value")).alias("all"))
-    median = found.agg(F.percentile("far", F.lit(0.5)).alias("mid"))
+    median = quantiles(found, "far", (0.5,)).withColumnRenamed("q0", "mid")
     joined = found.crossJoin(F.broadcast(median))
     if mode == "exponential":
         value = F.exp(-F.col("far") / (F.col("mid") + EPS))
