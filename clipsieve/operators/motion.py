@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import rotation_quaternion, turned_angle, wrapped_angle
+from ..functions.scalar import rotation_quaternion, quaternion_angle, wrapped_angle
 from .normalize import EPS, clip01, distance, dot, l2_normalise, norm, unit_intervals
 from .ordering import quantiles
 
@@ -96,7 +96,7 @@ def dwell_ratio(clip_frames: DataFrame, speed: float, turn_speed: float, grip_sp
         "dt": F.col("timestamp") - F.lag("timestamp").over(in_clip()), "was": F.lag("state").over(in_clip()), "p": F.lag("q").over(in_clip())}).filter("dt > 0")
     at = lambda column, k: F.get(column, F.lit(k))
     moved = F.sqrt(sum(((at("state", k) - at("was", k)) ** 2 for k in position), F.lit(0.0)))
-    still = (moved / F.col("dt") < speed) & (turned_angle(F.col("p"), F.col("q")) / F.col("dt") < turn_speed)
+    still = (moved / F.col("dt") < speed) & (quaternion_angle(F.col("p"), F.col("q")) / F.col("dt") < turn_speed)
     gripped = F.abs(at("state", gripper) - at("was", gripper))
     still = still & ((gripped == 0) if grip_speed is None else (gripped / F.col("dt") < grip_speed))
     return rows.groupBy("sample_id").agg((F.sum(F.when(still, F.col("dt")).otherwise(0.0)) / F.sum("dt")).alias("dwell_ratio"))

@@ -155,7 +155,7 @@ def test_rotations(spark):
     rows = spark.createDataFrame([(k, t, [1.0, 2.0, 3.0, *t, 0.6 if k % 2 else 0.5]) for k, t in enumerate(turns)], "k int, e array<double>, a array<double>")
     q = scalar.rotation_quaternion(F.col("e"), "euler")
     got = rows.withColumn("q", q).select("k", "q", scalar.environment_action(F.col("a")).alias("act")).withColumn("back", scalar.quaternion_euler(F.col("q"))).withColumn(
-        "again", scalar.turned_angle(F.col("q"), scalar.rotation_quaternion(F.slice("act", 4, 3)))).orderBy("k").collect()
+        "again", scalar.quaternion_angle(F.col("q"), scalar.rotation_quaternion(F.slice("act", 4, 3)))).orderBy("k").collect()
     for t, r in zip(turns, got, strict=True):
         assert np.allclose(spin(np.array(r["act"][3:6])), matrix(*t), atol=1e-7) and r["again"] == pytest.approx(0, abs=1e-6)
         assert r["act"][:3] == [1.0, 2.0, 3.0] and r["act"][6] == (1.0 if r["k"] % 2 else -1.0)

@@ -186,7 +186,8 @@ def test_coverage_seed_ties(spark):
 
 def test_span_weighted_last_row_wins(spark):
     rows = spark.createDataFrame([(1, 0, 0, 9.0), (1, 10, 0, 5.0), (1, 10, 1, 1.0), (1, 40, 0, 3.0)], "run long, step long, row long, s double")
-    assert aggregates.span_weighted(rows, ("s",), 0).first()["s"] == pytest.approx((10 * 1 + 30 * 3) / 40)
+    settings = spark.createDataFrame([(1, 0, 40)], "run long, warmup long, expected long")
+    assert aggregates.span_weighted(rows, settings, ("s",), "s", 1).first()["s"] == pytest.approx((10 * 1 + 30 * 3) / 40)
 
 
 def test_response_surface_recovers_a_plane():
