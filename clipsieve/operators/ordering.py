@@ -16,10 +16,10 @@ def _part(rows: DataFrame, key: Column, name: str) -> DataFrame:
     """Adds ``part_``: the place of ``key`` (a struct) among cuts that a bounded sample gives."""
     some = sorted(tuple(r[0]) for r in rows.select(key.alias("key")).orderBy(F.xxhash64("key")).limit(SAMPLE).collect())
     cuts = sorted({some[len(some) * n // PARTS] for n in range(1, PARTS)}) if some else []
-    part = F.lit(0)
-    for cut in cuts:
-        part = part + (key >= F.struct(*[F.lit(v).alias(f"k{n}") for n, v in enumerate(cut)])).cast("int")
-    return rows.withColumns({name: key, "part_": part})
+    if not cuts:
+        return rows.withColumns({name: key, "part_": F.lit(0)})
+    every = F.array(*[F.struct(*[F.lit(v).alias(f"k{n}") for n, v in enumerate(cut)]) for cut in cuts])
+    return rows.withColumns({name: key, "part_": F.size(F.filter(every, lambda cut: cut <= key))})
 
 
 def quantiles(rows: DataFrame, column: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
