@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .motion import atoms, retained_parents, softened
 from .ordering import quantiles
+from .similarity import squared_distances
 
 #: Fixed values of the leaf hierarchy: centres of an action at least and at most, the least confidence of a distant half.
 CENTRES, LEAST_CONFIDENCE = (10, 30), 0.3
@@ -103,3 +108,72 @@ def deviations(report: dict) -> list[str]:
     """The columns of a report on the whole reference data that break ACCEPTANCE."""
     fits = {"equal": lambda x, y, e: x == y, "near": lambda x, y, e: abs(x - y) <= e, "most": lambda x, y, e: x <= y, "least": lambda x, y, e: x >= y}
     return [c for c, y, e, how in ACCEPTANCE if report.get(c) is None or not fits[how](report[c], y, e)]
+
+
+def _grown(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    """k centres of the rows: each start drawn by its squared distance to those before, then Lloyd's rounds."""
+    rng = np.random.default_rng(seed)
+    centres = x[[int(rng.integers(len(x)))]]
+    far = ((x - centres[0]) ** 2).sum(1)
+    for _ in range(1, k):
+        total = far.sum()
+        new = x[int(rng.choice(len(x), p=far / total)) if total > 0 else int(rng.integers(len(x)))]
+        centres = np.vstack([centres, new])
+        far = np.minimum(far, ((x - new) ** 2).sum(1))
+    for _ in range(rounds):
+        own = squared_distances(x, centres).argmin(1)
+        moved = np.array([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(k)])
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
+def fit_centres(points: DataFrame, counts: DataFrame | None = None, seed: int = 42, rounds: int = 3, sample: int = 4096) -> DataFrame:
+    """``action, leaf, centre`` (leaves from 0 within an action) for ``action long, vec`` rows; ``counts``: ``action, k`` (default: ``centre_count``).
+
+    Centres start from a hash sample of at most ``sample`` rows an action, grown in
+    one task each; then ``rounds`` of Lloyd over all rows: tasks sum their rows by
+    nearest centre, and only those sums (centres times tasks) are shuffled. What
+    the driver holds is the catalogue, at most CENTRES an action. A centre without
+    rows stays where it is.
+    """
+    rows = points.select(F.col("action").cast("long").alias("action"), F.col("vec").cast("array<double>").alias("vec"))
+    if counts is None:
+        counts = rows.groupBy("action").agg(F.count(F.lit(1)).alias("n")).select("action", centre_count(F.col("n")).alias("k"))
+    order = W.partitionBy("action").orderBy(F.xxhash64("vec", F.lit(seed)), "vec")
+    some = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample).join(counts.select(F.col("action").cast("long").alias("action"), F.col("k").cast("int").alias("k")), "action")
+
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("r")
+        action, k = int(part["action"].iloc[0]), int(part["k"].iloc[0])
+        found = _grown(np.array(part["vec"].to_list(), float), min(k, len(part)), 20, seed + action)
+        return pd.DataFrame({"action": action, "leaf": range(len(found)), "centre": list(found)})
+
+    fitted = some.groupBy("action").applyInPandas(grow, "action long, leaf int, centre array<double>").orderBy("action", "leaf").collect()
+    for _ in range(rounds):
+        fitted = _refined(rows, fitted)
+    return points.sparkSession.createDataFrame([(r[0], r[1], [float(x) for x in r[2]]) for r in fitted], "action long, leaf int, centre array<double>")
+
+
+def _refined(rows: DataFrame, fitted: list) -> list:
+    """The means of the rows nearest to each centre of their action (ties to the smaller leaf)."""
+    table: dict[int, np.ndarray] = {}
+    for action, leaf, centre in fitted:
+        table[action] = np.vstack([table[action], centre]) if leaf else np.array([centre], float)
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {a: np.zeros((len(c), c.shape[1] + 1)) for a, c in table.items()}
+        for part in parts:
+            for action, some in part.groupby("action"):
+                if action not in table:
+                    continue
+                x = np.array(some["vec"].to_list(), float)
+                np.add.at(total[action], squared_distances(x, table[action]).argmin(1), np.column_stack([x, np.ones(len(x))]))
+        out = [(a, c, row) for a, t in total.items() for c, row in enumerate(t) if row[-1]]
+        yield pd.DataFrame(out, columns=["action", "leaf", "total"])
+
+    dealt = rows.mapInPandas(sums, "action long, leaf int, total array<double>").select("action", "leaf", F.posexplode("total").alias("dim", "x"))
+    found = dealt.groupBy("action", "leaf", "dim").agg(F.sum("x").alias("x")).groupBy("action", "leaf").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("t")).select("action", "leaf", "t.x").collect()
+    moved = {(r[0], r[1]): np.array(r[2][:-1]) / r[2][-1] for r in found}
+    return [(a, c, moved.get((a, c), np.array(centre, float))) for a, c, centre in fitted]

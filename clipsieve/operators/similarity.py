@@ -155,3 +155,37 @@ def combined(rows: DataFrame, weights: dict[str, float], out: str) -> DataFrame:
     """A weighted sum of score columns, clipped to [0, 1]."""
     total = sum((w * F.col(c) for c, w in weights.items()), F.lit(0.0))
     return rows.withColumn(out, F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
+
+
+def within(rows: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """``id, other, cosine``: all pairs of unlike ids whose cosine is at least the threshold, cut to [0, 1]."""
+    def of(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        cosine = _units(x) @ _units(y).T
+        a, b = np.nonzero((cosine >= threshold) & (i[:, None] != j[None]))
+        return pd.DataFrame({"id": i[a], "other": j[b], "cosine": np.clip(cosine[a, b], 0.0, 1.0)})
+
+    return _blocks(rows, others, of, "id long, other long, cosine double")
+
+
+def penalties(rows: DataFrame, chosen: DataFrame, threshold: float, scale: float = 1.0) -> DataFrame:
+    """``id, penalty, near``: over the ``chosen`` rows from the threshold on, both reliabilities times the cosine beyond it (as a share of what can be beyond).
+
+    Both tables have ``id, vec, reliability``. Pairs are summed within a block, so a row a block is all that is shuffled.
+    """
+    if not 0 <= threshold < 1 or scale <= 0:
+        raise ValueError("the threshold must be in [0, 1) and the scale positive")
+
+    def of(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        cosine = np.minimum(_units(x[:, :-1]) @ _units(y[:, :-1]).T, 1.0)
+        near = (cosine >= threshold) & (i[:, None] != j[None])
+        beyond = np.where(near, (cosine - threshold) / max(1 - threshold, EPS), 0.0)
+        return pd.DataFrame({"id": i, "penalty": x[:, -1] * (beyond @ y[:, -1]), "near": near.sum(1)})
+
+    wide = lambda t: t.select("id", F.concat(F.col("vec").cast("array<double>"), F.array(F.col("reliability").cast("double"))).alias("vec"))
+    sums = _blocks(wide(rows), wide(chosen), of, "id long, penalty double, near long").groupBy("id").agg(F.sum("penalty").alias("penalty"), F.sum("near").alias("near"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("id").join(sums, "id", "left").select("id", (F.coalesce("penalty", F.lit(0.0)) / scale).alias("penalty"), none("near"))
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..sources import tables
+from ..streaming import ensemble
 from .base import CLIPS, VECTORS, query, rounded
 from .motion_queries import clip_frames
 from .score_queries import vectors
@@ -142,3 +143,12 @@ def temporal_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     total = sum((F.coalesce(p * w, F.lit(0.0)) for p, w in zip(past, weights, strict=True)), F.lit(0.0))
     norm = sum((F.when(p.isNotNull(), w).otherwise(0.0) for p, w in zip(past, weights, strict=True)), F.lit(0.0))
     return rounded(tables.frames(spark, sf).select("episode_id", "frame_index", (total / norm).alias("ensembled")))
+
+
+@query("""WITH f AS (SELECT user_id, value / 10 AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)
+    SELECT t.user_id AS episode_id, t.i AS frame_index, round(sum((f.a - (t.i - f.i)) * exp(-0.2 * (f.i - greatest(t.i - 3, 0)))) / sum(exp(-0.2 * (f.i - greatest(t.i - 3, 0)))), 6) AS ensembled FROM f t JOIN f ON f.user_id = t.user_id AND f.i BETWEEN t.i - 3 AND t.i GROUP BY 1, 2""")
+def aligned_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of four that fall by one a step from a frame's action: what the last four predict for the present frame."""
+    chunk = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.array(F.col("action")[0] - k))
+    rows = tables.frames(spark, sf).select("episode_id", "frame_index", chunk.alias("chunk"))
+    return rounded(ensemble.aligned_chunks(rows, 1, 4, 0.2).select("episode_id", "frame_index", F.col("ensembled")[0].alias("ensembled")))

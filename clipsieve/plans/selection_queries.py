@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import branches, prototypes, similarity
+from ..operators import graph as g
 from ..operators import selection as c
-from ..operators import similarity
 from ..sources import tables
 from .base import query, rounded
 from .graph_queries import _NODES, assignments, nodes
@@ -82,3 +83,44 @@ def interleaved_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Batches of seven from three sources by weights 3, 2 and 1: quotas 4, 2 and 1."""
     steps = tables.table(spark, sf, "orders").select((F.col("o_orderkey") % 100).alias("step")).distinct()
     return c.interleaved_batches(steps, (3, 2, 1), 7)
+
+
+def clip_graph(spark: SparkSession, sf: str, quota: int | None = None, most_rows: int = 20_000) -> tuple[list[int], branches.Graph]:
+    """The clips' nodes in order and their graph; more than ``most_rows`` are an error. Matrices over event types are small."""
+    rows = nodes(spark, sf)
+    if rows.count() > most_rows:
+        raise ValueError(f"more than {most_rows} rows")
+    table = rows.orderBy("node").toPandas()
+    given, at = assignments(spark, sf), {n: k for k, n in enumerate(table["node"])}
+    wide = given.toPandas().pivot(index="node", columns="prototype", values="weight").fillna(0.0).loc[table["node"]]
+    kinds = {p: k for k, p in enumerate(wide.columns)}
+
+    def matrix(edges: DataFrame) -> np.ndarray:
+        out = np.zeros((len(kinds), len(kinds)))
+        for p, q, x in g.prototype_matrix(edges, given).collect():
+            out[kinds[p], kinds[q]] = x
+        return out
+
+    edges = g.sequence_edges(rows).toPandas()
+    ends = np.array([[at[a], at[b]] for a, b in zip(edges["source"], edges["target"], strict=True)], int).reshape(-1, 2)
+    trust = table["reliability"].to_numpy()
+    alike = [(a, b, trust[a] * trust[b] * max(0.0, min(1.0, 0.7 + w / 2) - 0.8) / 0.2) for (a, b), w in zip(ends.tolist(), edges["weight"], strict=True)]
+    rare = 1 / np.sqrt(wide.to_numpy().sum(0) + 1e-8)
+    tasks = table["task"].tolist()
+    return table["node"].tolist(), branches.Graph(wide.to_numpy() * trust[:, None], trust, rare / rare.sum(), matrix(g.sequence_edges(rows, product=True)), matrix(g.cooccurrence_edges(rows, 3)), ends, alike,
+                                                  wide.to_numpy(), table["episode_id"].tolist(), tasks if quota else None, {t: quota for t in set(tasks)} if quota else None)
+
+
+@query()
+def branch_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Twelve clips, four a task, by four branches of pooled greedy choice and one round of swaps each."""
+    ids, graph = clip_graph(spark, sf, 4)
+    found = branches.best_branch(spark, graph, sum(graph.quotas.values()), 4, rounds=1)
+    rows = [(int(b), float(v), k, int(ids[row])) for b, v, chosen in found.itertuples(index=False, name=None) for k, row in enumerate(chosen, 1)]
+    return rounded(spark.createDataFrame(rows, "branch long, objective double, selection_order long, node long"))
+
+
+@query()
+def action_centres(spark: SparkSession, sf: str) -> DataFrame:
+    """Centres of the vectors of each label, as many as its rows ask for."""
+    return rounded(prototypes.fit_centres(vectors(spark, sf).select(F.col("label").cast("long").alias("action"), "vec")))

@@ -46,8 +46,42 @@ def plain_greedy(spark, got):
             cover[p] = max(cover[p], m)
 
 
+def plain_branches(spark, got):
+    """Every branch keeps the quotas and has the objective it states; its set can't be worse than the greedy choice among all rows by much more than the pool leaves out."""
+    from clipsieve.operators import branches
+    from clipsieve.plans.selection_queries import clip_graph
+
+    ids, graph = clip_graph(spark, SF, 4)
+    at = {n: k for k, n in enumerate(ids)}
+    for _, rows in got.groupby("branch"):
+        chosen = [at[n] for n in rows.sort_values("selection_order")["node"]]
+        per_task = [sum(graph.tasks[k] == t for k in chosen) for t in graph.quotas]
+        assert per_task == list(graph.quotas.values()) and len(set(chosen)) == len(chosen)
+        assert branches.Chosen(graph, chosen[::-1]).value == pytest.approx(rows["objective"].iloc[0], abs=1e-5)
+    unseeded = branches.pooled_greedy(graph, sum(graph.quotas.values())).value
+    assert got["branch"].nunique() > 1 and got["objective"].max() >= unseeded - 1e-5
+
+
+def plain_centres(spark, got):
+    """As many centres as a label's rows ask for, each near the mean of the rows that it is nearest to."""
+    import math
+
+    import numpy as np
+
+    from clipsieve.plans.score_queries import vectors
+
+    rows = vectors(spark, SF).toPandas()
+    for label, part in rows.groupby("label"):
+        n, x = len(part), np.array(part["vec"].to_list(), float)
+        centres = np.array([[int(v) / 1000 for v in c.split(",")] for c in got[got["action"] == label].sort_values("leaf")["centre"]])
+        assert len(centres) == min(n, 30, max(10, math.floor(4 * math.log2(n) - 30)))
+        own = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        means = [x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))]
+        assert ((x - centres[own]) ** 2).sum() <= 1.05 * ((x - np.array(means)[own]) ** 2).sum() + 1e-2
+
+
 #: Checks of the queries that SQL can't express: their rules depend on earlier choices.
-PLAIN = {"hamilton_quota": plain_quotas, "greedy_budget_selection": plain_budget, "exact_greedy_selection": plain_greedy}
+PLAIN = {"hamilton_quota": plain_quotas, "greedy_budget_selection": plain_budget, "exact_greedy_selection": plain_greedy, "branch_selection": plain_branches, "action_centres": plain_centres}
 
 
 def rows_of(frame):

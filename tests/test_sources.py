@@ -110,3 +110,21 @@ def test_stream_ensemble(spark, tmp_path):
     got = {(r["episode_id"], r["frame_index"]): r["ensembled"] for r in spark.table("ensembled").collect()}
     w = np.exp(-0.1 * np.arange(4))
     assert len(got) == 12 and got[0, 0] == pytest.approx(0) and got[1, 5] == pytest.approx(np.dot(w, [12, 13, 14, 15]) / w.sum())
+
+
+def test_chunk_ensemble(spark, tmp_path):
+    """The stream gives what the batch form gives, and both the plain mean of aligned predictions."""
+    chunks = {(e, k): [[float(e + 10 * k + j), float(-j)] for j in range(4)] for e in range(2) for k in range(6)}
+    rows = spark.createDataFrame([(e, k, c) for (e, k), c in chunks.items()], ensemble.CHUNK_INPUT)
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ensemble.CHUNK_INPUT).parquet(str(tmp_path / "in"))
+    query = ensemble.chunk_ensemble(stream, 4, 0.3).writeStream.format("memory").queryName("aligned").option("checkpointLocation", str(tmp_path / "ck")).start()
+    query.processAllAvailable()
+    query.stop()
+    for table in (spark.table("aligned"), ensemble.aligned_chunks(rows, 2, 4, 0.3)):
+        got = {(r["episode_id"], r["frame_index"]): list(r["ensembled"]) for r in table.collect()}
+        assert len(got) == 12
+        for (e, k), action in got.items():
+            back = list(range(min(k, 3), -1, -1))
+            w = np.exp(-0.3 * np.arange(len(back)))
+            assert action == pytest.approx(list(w / w.sum() @ np.array([chunks[e, k - b][b] for b in back])))
