@@ -71,7 +71,8 @@ _HALVES = """halves AS (SELECT sample_id, h, sample_id || '/' || h AS half, arg_
 
 def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = clip_frames(spark, sf).join(clips(spark, sf).select("sample_id", F.col("start_step").alias("first")), "sample_id").withColumn("h", (F.col("frame_index") > F.col("first") + 7).cast("int"))
-    mean = F.array(*[F.avg(F.col("state")[k]) for k in range(3)])
+    # summed in the frames' order: a half as near to two leaves as can be must not change sides with the order in which a shuffle brings its frames
+    mean = p.ordered_mean("state", "frame_index", 3)
     halves = rows.groupBy("sample_id", "h").agg(F.min_by("event_type", "frame_index").alias("action"), mean.alias("vec")).withColumn("half", F.concat_ws("/", "sample_id", "h"))
     every = tables.table(spark, sf, "events").select(F.col("event_type").alias("action")).distinct().agg(F.array_sort(F.collect_list("action")).alias("names")).select(F.posexplode("names").alias("k", "action"))
     j_ = F.posexplode(F.array(*[F.array(F.lit(20.0 + 30 * k), F.lit(70.0 - 20 * k), F.lit(6.0 + 5 * k)) for k in range(3)])).alias("i", "centre")
