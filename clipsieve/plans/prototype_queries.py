@@ -99,7 +99,7 @@ def centre_statistics(spark: SparkSession, sf: str) -> DataFrame:
 def merged_leaves(spark: SparkSession, sf: str) -> DataFrame:
     near = p.nearest_leaf(*_halves(spark, sf))
     weighed = near.join(F.broadcast(p.distance_bounds(near)), "action").withColumn("weight", p.distance_confidence(F.col("distance"), F.col("low"), F.col("high")))
-    return p.merge_halves(weighed).select("sample_id", "leaf", F.round(F.col("weight").cast("double"), 3).alias("weight"))
+    return p.merge_halves(weighed, "double").select("sample_id", "leaf", F.round("weight", 3).alias("weight"))
 
 
 @query(f"""WITH {FRAMES}, x AS (SELECT episode_id, frame_index, {_EIGHT} AS s FROM frames), t AS (SELECT *, cos(s[4]) AS cx, sin(s[4]) AS sx, cos(s[5]) AS cy, sin(s[5]) AS sy, cos(s[6]) AS cz, sin(s[6]) AS sz FROM x),
