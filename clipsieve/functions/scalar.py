@@ -73,6 +73,12 @@ def quaternion_euler(q: Column) -> Column:
     return F.array(roll, pitch, F.when(upright, 0.0).otherwise(F.atan2(2 * (x * y + w * z), 1 - 2 * (y * y + z * z))))
 
 
+def euler_trace_angle(turn: Column) -> Column:
+    """The angle (0 to pi) of a turn by ``euler`` angles, from the trace of its matrix; less exact than ``quaternion_rotation_vector`` at either end."""
+    (cx, sx), (cy, sy), (cz, sz) = ((F.cos(turn[k]), F.sin(turn[k])) for k in range(3))
+    return F.acos(F.least(F.greatest((cz * cy + sz * sy * sx + cz * cx + cy * cx - 1) / 2, F.lit(-1.0)), F.lit(1.0)))
+
+
 def environment_action(action: Column, threshold: float = 0.5) -> Column:
     """Seven numbers for the simulator: the move, the turn from Euler angles to a rotation vector, and the gripper as +1 (beyond the threshold) or -1."""
     turn = let(rotation_quaternion(F.slice(action, 4, 3), "euler"), quaternion_rotation_vector)

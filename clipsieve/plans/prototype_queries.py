@@ -110,10 +110,11 @@ def merged_leaves(spark: SparkSession, sf: str) -> DataFrame:
 def environment_actions(spark: SparkSession, sf: str) -> DataFrame:
     """Euler angles to rotation vectors; near half a turn the axis has two signs, so there only the angle is shown."""
     rows = eight(tables.frames(spark, sf)).withColumn("act", F.concat(F.slice("state", 1, 6), F.array(F.col("state")[7])))
-    got = rows.select("episode_id", "frame_index", scalar.environment_action(F.col("act")).alias("e"))
+    got = rows.select("episode_id", "frame_index", scalar.environment_action(F.col("act")).alias("e"), scalar.euler_trace_angle(F.slice("act", 4, 3)).alias("traced"))
     turn = lambda k: F.col("e")[3 + k]
     angle = F.sqrt(turn(0) * turn(0) + turn(1) * turn(1) + turn(2) * turn(2))
-    shown = lambda k: F.round(F.when((angle < 3) & (angle > 0.01), turn(k)), 4)
+    # a turn of 0.01 or 3 itself falls to the side of the cut to which the matrix's trace rounds it
+    shown = lambda k: F.round(F.when((F.col("traced") < 3) & (F.col("traced") > 0.01), turn(k)), 4)
     return got.select("episode_id", "frame_index", F.round(angle, 4).alias("angle"), shown(0).alias("x"), shown(1).alias("y"), shown(2).alias("z"), F.col("e")[6].alias("gripper"))
 
 
