@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import branches, prototypes, similarity
 from ..operators import graph as g
 from ..operators import selection as c
+from ..operators.stored import stored
 from ..sources import tables
 from .base import query, rounded
 from .graph_queries import _NODES, assignments, nodes
@@ -18,7 +19,7 @@ _TDUS = _SCORES + ", ranked AS (SELECT sample_id, round(least(greatest(0.4 * qua
 
 
 def tdus(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.combined(scores(spark, sf), TDUS, "tdus").withColumn("tdus", F.round("tdus", 9))
+    return stored(similarity.combined(scores(spark, sf), TDUS, "tdus").withColumn("tdus", F.round("tdus", 9)).select("sample_id", "length", "tdus"))
 
 
 @query(_TDUS + " SELECT sample_id, round(tdus, 6) AS tdus FROM ranked ORDER BY ranked.tdus DESC, sample_id LIMIT 50")
