@@ -1,7 +1,8 @@
 """Choosing clips: top k, percentages, quotas, and sequential selection under a budget.
 
-Sequential rules depend on what was chosen before; they run in numpy on the
-clips' reduced rows (id, scores, a short vector), which their callers bound.
+Sequential rules depend on what was chosen before. ``covering_selection`` and
+``budget_selection`` pass over a table of any size; the others run in numpy on
+the clips' reduced rows (id, scores, a short vector), which their callers bound.
 """
 
 from __future__ import annotations
@@ -10,16 +11,18 @@ import hashlib
 import heapq
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from decimal import ROUND_CEILING, Decimal
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_validation
 from .ordering import numbered
+from .stored import stored
 
 
 def ranked(scores: DataFrame, score: str) -> DataFrame:
@@ -367,6 +370,133 @@ def exact_greedy(nodes: pd.DataFrame, masses: np.ndarray, rarity: np.ndarray, bu
     return out
 
 
+def covering_selection(rows: DataFrame, prototypes: Sequence, budget: int, quotas: dict | None = None, pool: int = 4096) -> list[int]:
+    """``exact_greedy`` over ``node, task, mass`` rows (``mass``: an array, a number a prototype) of any number; the driver holds ``pool`` rows a task.
+
+    A gain can only fall as the coverage grows, so the gain last computed bounds
+    it from above. The pool holds the best rows of each open task by their gains
+    under the present coverage (ties to the smaller node). A row of the pool is
+    the choice if it comes before the last row that its own and every other full
+    pool took in, by gain and then node, for all others come after that; if none
+    does, the pools are drawn anew from all rows. So each pass over the table
+    gives one choice at least, and mostly many.
+    """
+    rows = stored(rows.select(F.col("node").cast("long").alias("node"), F.col("task").cast("string").alias("key"), "mass"))
+    total = rows.select(F.posexplode("mass").alias("p", "m")).groupBy("p").agg(F.sum("m").alias("m")).collect()
+    if not total:
+        return []
+    rarity = np.zeros(len(prototypes))
+    for p, m in total:
+        rarity[p] = 1 / math.sqrt(m + 1e-8)
+    rarity /= rarity.sum()
+    left = {str(t): q for t, q in quotas.items()} if quotas else None
+    cover, out, taken = np.zeros(len(prototypes)), [], {}
+
+    def gains(mass: np.ndarray) -> np.ndarray:
+        return (np.maximum(mass - cover, 0.0) * rarity).sum(1)
+
+    def draw() -> tuple[pd.DataFrame, list[tuple[float, int]]]:
+        """The pool, and where each full part of it ends: gain and node of its last row."""
+        def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None
+            for part in parts:
+                part = part[[k not in taken and (left is None or left.get(t, 0) > 0) for k, t in zip(part["node"], part["key"], strict=True)]]
+                if not len(part):
+                    continue
+                part = part.assign(gain=gains(np.array(part["mass"].to_list(), float)))
+                held = part if held is None else pd.concat([held, part])
+                held = held.sort_values(["gain", "node"], ascending=[False, True])
+                held = held.groupby("key" if left is not None else np.zeros(len(held)), sort=False).head(pool)
+            if held is not None:
+                yield held
+
+        found = rows.mapInPandas(best, "node long, key string, mass array<double>, gain double")
+        order = (W.partitionBy("key") if left is not None else W.partitionBy(F.lit(0))).orderBy(F.desc("gain"), "node")
+        found = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= pool).toPandas().sort_values(["gain", "node"], ascending=[False, True])
+        parts = found.groupby("key") if left is not None else [("", found)]
+        return found.reset_index(drop=True), [(float(p["gain"].iloc[-1]), int(p["node"].iloc[-1])) for _, p in parts if len(p) >= pool]
+
+    while len(out) < budget:
+        table, ends = draw()
+        if not len(table):
+            break
+        mass, nodes, keys, free = np.array(table["mass"].to_list(), float), table["node"].to_numpy(), table["key"].to_numpy(), np.ones(len(table), bool)
+        fresh = True
+        while len(out) < budget:
+            open_ = free & (np.array([left[t] > 0 for t in keys]) if left is not None else True)
+            if not open_.any():
+                break
+            gain = np.where(open_, gains(mass), -np.inf)
+            best = int(np.lexsort((nodes, -gain))[0])
+            place = (-gain[best], nodes[best])
+            if not fresh and any(place > (-g, n) for g, n in ends):
+                break
+            fresh = False
+            cover = np.maximum(cover, mass[best])
+            free[best] = False
+            taken[int(nodes[best])] = True
+            if left is not None:
+                left[keys[best]] -= 1
+            out.append(int(nodes[best]))
+    return out
+
+
+def budget_selection(clips: DataFrame, budget: int, weights: Sequence[float], sigma: float) -> list[str]:
+    """``greedy_budget`` over ``sample_id, length, quality, novelty, score, vec`` rows of any number, a pass over the table a choice.
+
+    Kernel means come from ``similarity.mean_affinity``. Every task computes its
+    rows' gains from the chosen rows, which are all that the driver sends, and
+    gives its best one back.
+    """
+    from .similarity import mean_affinity
+
+    wq, wc, wd, wn = weights
+    rows = stored(clips.withColumn("id", F.monotonically_increasing_id()))
+    rows = stored(rows.join(mean_affinity(rows, rows, sigma), "id"))
+    overall = rows.agg(F.avg("affinity")).first()[0] or 0.0
+    chosen: list[dict] = []
+    inner = pairs = s_mean = s_quality = s_novelty = now = 0.0
+    left = float(budget)
+    schema = rows.select("id", "sample_id", "length", "quality", "novelty", "score", "vec", "affinity").withColumns({c: F.lit(0.0) for c in ("utility", "rate", "near", "cosine")}).schema
+
+    while True:
+        m, taken = len(chosen) + 1, {c["id"] for c in chosen}
+        points = np.array([c["vec"] for c in chosen], float)
+
+        def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = []
+            for part in parts:
+                part = part[(part["length"] <= left) & ~part["id"].isin(taken)]
+                if not len(part):
+                    continue
+                x = np.array(part["vec"].to_list(), float)
+                near, cosine = np.zeros(len(x)), np.zeros(len(x))
+                for p in points:
+                    near += np.exp(-((x - p) ** 2).sum(1) / (2 * sigma**2))
+                    cosine += _unit(x) @ _unit(p[None])[0]
+                length, mean = part["length"].to_numpy(float), part["affinity"].to_numpy()
+                mmd = np.maximum(overall + (inner + 2 * near + 1.0) / m**2 - 2 * (s_mean + mean) / m, 0.0)
+                spread = 1 - ((pairs + cosine) / (m * (m - 1) / 2) + 1) / 2 if m > 1 else np.zeros(len(x))
+                utility = wq * (s_quality + length * part["quality"]) / budget + wc * np.exp(-mmd) + wd * spread + wn * (s_novelty + length * part["novelty"]) / budget
+                part = part.assign(utility=utility, rate=(utility - now) / length, near=near, cosine=cosine)
+                held.append(part.sort_values(["rate", "score", "length", "sample_id"], ascending=[False, False, True, True]).head(1))
+            if held:
+                yield pd.concat(held).sort_values(["rate", "score", "length", "sample_id"], ascending=[False, False, True, True]).head(1)[schema.names]
+
+        found = rows.select(*schema.names[:8]).mapInPandas(best, schema).orderBy(F.desc("rate"), F.desc("score"), "length", "sample_id").first()
+        if found is None or found["utility"] - now <= 0:
+            break
+        inner += 2 * found["near"] + 1.0
+        pairs += found["cosine"]
+        s_mean += found["affinity"]
+        s_quality += found["length"] * found["quality"]
+        s_novelty += found["length"] * found["novelty"]
+        left -= found["length"]
+        now = found["utility"]
+        chosen.append(found.asDict())
+    return [c["sample_id"] for c in chosen]
+
+
 def random_selection(rows: DataFrame, budget: int, seed: int, start: DataFrame | None = None) -> DataFrame:
     """``sample_id``: the start set and clips by a hash of seed and id, ``budget`` in all."""
     first = start.select("sample_id").distinct() if start is not None else rows.select("sample_id").limit(0)

@@ -67,12 +67,10 @@ def greedy_budget_selection(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def exact_greedy_selection(spark: SparkSession, sf: str) -> DataFrame:
     rows = nodes(spark, sf)
-    given = assignments(spark, sf).join(rows.select("node", "reliability"), "node").select("node", "prototype", (F.col("weight") * F.col("reliability")).alias("mass")).toPandas()
-    table = given.pivot(index="node", columns="prototype", values="mass").fillna(0.0).sort_index()
-    tasks = rows.select("node", "task").toPandas().set_index("node").loc[table.index].reset_index()
-    masses = table.to_numpy()
-    rarity = 1 / np.sqrt(masses.sum(0) + 1e-8)
-    chosen = c.exact_greedy(tasks, masses, rarity / rarity.sum(), 30, {t: 10 for t in sorted(set(tasks["task"]))})
+    given = stored(assignments(spark, sf).join(rows.select("node", "task", "reliability"), "node").select("node", "task", "prototype", (F.col("weight") * F.col("reliability")).alias("mass")))
+    kinds = [r[0] for r in given.select("prototype").distinct().orderBy("prototype").collect()]  # event types
+    wide = given.groupBy("node", "task").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("prototype") == p, F.col("mass"))), F.lit(0.0)) for p in kinds]).alias("mass"))
+    chosen = c.covering_selection(wide, kinds, 30, {r[0]: 10 for r in given.select("task").distinct().collect()})
     return spark.createDataFrame(list(enumerate(chosen, 1)), "selection_order long, node long")
 
 
