@@ -58,9 +58,9 @@ def hamilton_quota(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def greedy_budget_selection(spark: SparkSession, sf: str) -> DataFrame:
-    rows = vectors(spark, sf).orderBy("id").toPandas()
-    clips = rows.assign(sample_id=rows["id"].map(lambda i: f"ep{i:06d}"), length=15, quality=(rows["id"] * 37 % 101) / 100.0, novelty=(rows["id"] * 53 % 97) / 96.0, score=(rows["id"] * 37 % 101) / 100.0)
-    chosen = c.greedy_budget(clips, np.array(rows["vec"].to_list(), float), 450, (0.4, 0.2, 0.2, 0.2), 1.5)
+    at = F.col("id")
+    clips = vectors(spark, sf).select(F.format_string("ep%06d", at).alias("sample_id"), F.lit(15).alias("length"), (at * 37 % 101 / 100.0).alias("quality"), (at * 53 % 97 / 96.0).alias("novelty"), (at * 37 % 101 / 100.0).alias("score"), "vec")
+    chosen = c.budget_selection(clips, 450, (0.4, 0.2, 0.2, 0.2), 1.5)
     return spark.createDataFrame(list(enumerate(chosen, 1)), "selection_order long, sample_id string")
 
 
