@@ -31,8 +31,8 @@ FANOUT, MAX_LEAVES = 8, 4096
 LEAF_SHARE = 0.25
 #: Queries on which the width of the search is calibrated, and the recall to reach there.
 CALIBRATE, RECALL = 64, 0.95
-#: Vectors, and queries, of a leaf that one task meets at once; larger leaves are cut.
-CHUNK, QUERIES = 8192, 2048
+#: Bundles of leaves; vectors, and queries, of a bundle that one task meets at once (larger bundles are cut).
+BUNDLES, CHUNK, QUERIES = 32, 8192, 2048
 
 
 @dataclass(frozen=True)
@@ -174,10 +174,11 @@ def search(table: DataFrame, scratch: Scratch, k: int = 20, step: int = 20, reca
     ``query_id``. Other columns are not read.
 
     The tree is fitted on a bounded sample (FIT_ROWS), but every vector is
-    indexed. Queries and vectors meet by leaf: a leaf of more than CHUNK vectors
-    or QUERIES queries is cut by hashes of their rows, and each part of the one
-    meets each of the other, so neither copies of one vector nor a leaf that all
-    queries visit are one task's burden. Each part returns k rows a query; the k
+    indexed. Queries and vectors meet by leaf, the leaves dealt to BUNDLES: a
+    bundle of more than CHUNK vectors or QUERIES queries is cut by hashes of their
+    rows, and each part of the one meets each of the other, so neither copies of
+    one vector nor a leaf that all queries visit are one task's burden. Each part
+    returns k rows a query, however many of its leaves the query visits; the k
     best of them are the result.
     """
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -264,26 +265,44 @@ def _calibrate(placed: DataFrame, queries: pd.DataFrame, tree: Tree, width: int,
 
 def _meet(placed: DataFrame, asked: DataFrame, tree: Tree, wide: int, width: int, k: int, schema: T.StructType) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        """A row for each query and bundle, with the leaves of it that the query visits."""
         for batch in batches:
-            lists = [tree.visit(q, wide) for q in _matrix(batch.column(1), width)]
-            leaf = pa.array([y for z in lists for y in z], pa.int64())
-            at = pa.array(np.repeat(np.arange(len(lists)), [len(y) for y in lists]))
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), leaf], [*batch.schema.names, "leaf"]) if whole else pa.RecordBatch.from_arrays([leaf], ["leaf"])
+            at, bundle, leaves = [], [], []
+            for n, q in enumerate(_matrix(batch.column(1), width)):
+                found = np.array(tree.visit(q, wide), np.int64)
+                for b in np.unique(found % BUNDLES).tolist():
+                    at.append(n)
+                    bundle.append(b)
+                    leaves.append(found[found % BUNDLES == b])
+            bundle = pa.array(bundle, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(leaves, pa.list_(pa.int64())), bundle], [*batch.schema.names, "leaves", "bundle"]) if whole else pa.RecordBatch.from_arrays([bundle], ["bundle"])
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         q, x = (_matrix(side.column("v").combine_chunks(), width) if side.num_rows else np.zeros((0, width)) for side in (left, right))
-        own, ids, rows = left.column("row").to_numpy(), right.column("id").to_numpy(), right.column("row").to_numpy()
-        at, to, score = nearest(q, own, x, ids, rows, k)
+        own, ids, rows, leaf = left.column("row").to_numpy(), right.column("id").to_numpy(), right.column("row").to_numpy(), right.column("leaf").to_numpy()
+        lists = left.column("leaves").to_pylist()
+        asks, visited = np.repeat(np.arange(len(lists)), [len(y) for y in lists]), np.array([y for z in lists for y in z], np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for one in np.unique(leaf):
+            some, mine = asks[visited == one], np.flatnonzero(leaf == one)
+            at, to, score = nearest(q[some], own[some], x[mine], ids[mine], rows[mine], k)
+            found.append((some[at], mine[to], score))
+        at, to, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((rows[to], ids[to], -score, at))
+        at, to, score = at[order], to[order], score[order]
+        first = np.arange(len(at)) - np.searchsorted(at, at) < k
+        at, to, score = at[first], to[first], score[first]
         return pa.table({"query_id": pa.array(left.column("id").to_numpy()[at], pa.int64()), "query": pa.array(own[at], pa.int64()), "vec_id": pa.array(ids[to], pa.int64()),
                          "row": pa.array(rows[to], pa.int64()), "score": pa.array(score, pa.float64())})
 
-    leaf = T.StructField("leaf", T.LongType())
+    bundle = T.StructField("bundle", T.LongType())
     parts = lambda most: F.ceil(F.count(F.lit(1)) / most).cast("int")
-    visits = asked.mapInArrow(lambda b: walk(b, False), T.StructType([leaf])).groupBy("leaf").agg(parts(QUERIES).alias("lots"))
-    sizes = F.broadcast(placed.groupBy("leaf").agg(parts(CHUNK).alias("parts")).join(visits, "leaf"))  # MAX_LEAVES rows at most
-    vectors = placed.join(sizes, "leaf").select("id", "v", "row", "leaf", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
-    queries = asked.mapInArrow(lambda b: walk(b, True), T.StructType([*_VECTOR, leaf])).join(sizes, "leaf").select(
-        "id", "v", "row", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("row"), F.col("lots")).cast("int").alias("lot"))
-    met = queries.groupBy("leaf", "part", "lot").cogroup(vectors.groupBy("leaf", "part", "lot")).applyInArrow(block, "query_id long, query long, vec_id long, row long, score double")
+    placed = placed.withColumn("bundle", F.col("leaf") % BUNDLES)
+    visits = asked.mapInArrow(lambda b: walk(b, False), T.StructType([bundle])).groupBy("bundle").agg(parts(QUERIES).alias("lots"))
+    sizes = F.broadcast(placed.groupBy("bundle").agg(parts(CHUNK).alias("parts")).join(visits, "bundle"))  # BUNDLES rows at most
+    vectors = placed.join(sizes, "bundle").select("id", "v", "row", "leaf", "bundle", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    queries = asked.mapInArrow(lambda b: walk(b, True), T.StructType([*_VECTOR, T.StructField("leaves", T.ArrayType(T.LongType())), bundle])).join(sizes, "bundle").select(
+        "id", "v", "row", "leaves", "bundle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("row"), F.col("lots")).cast("int").alias("lot"))
+    met = queries.groupBy("bundle", "part", "lot").cogroup(vectors.groupBy("bundle", "part", "lot")).applyInArrow(block, "query_id long, query long, vec_id long, row long, score double")
     order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
