@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import branches, prototypes, similarity
+from ..operators import branch_passes, branches, prototypes, similarity
 from ..operators import graph as g
 from ..operators import selection as c
 from ..operators.stored import stored
@@ -110,12 +110,34 @@ def clip_graph(spark: SparkSession, sf: str, quota: int | None = None, most_rows
                                                   wide.to_numpy(), table["episode_id"].tolist(), tasks if quota else None, {t: quota for t in set(tasks)} if quota else None)
 
 
+def clip_tables(spark: SparkSession, sf: str) -> dict:
+    """What ``clip_graph`` holds, as tables; only matrices and sums over event types are on the driver."""
+    rows, given = stored(nodes(spark, sf)), stored(assignments(spark, sf))
+    often = sorted((p, w) for p, w in given.filter("prototype IS NOT NULL").groupBy("prototype").agg(F.sum("weight")).collect())
+    kinds = {p: k for k, (p, _) in enumerate(often)}
+
+    def matrix(edges: DataFrame) -> np.ndarray:
+        out = np.zeros((len(kinds), len(kinds)))
+        for p, q, x in g.prototype_matrix(edges, given.filter("prototype IS NOT NULL")).collect():
+            out[kinds[p], kinds[q]] = x
+        return out
+
+    wide = given.groupBy("node").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("prototype") == p, F.col("weight"))), F.lit(0.0)) for p in kinds]).alias("vec"))
+    clips = rows.select("node", "episode_id", "task", "reliability").join(wide, "node").withColumn("mass", F.transform("vec", lambda w: w * F.col("reliability")))
+    edges, moves = stored(g.sequence_edges(rows)), stored(g.sequence_edges(rows, product=True))
+    over = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.7 + F.col("weight") / 2) - 0.8)
+    alike = edges.join(moves.select("source", "target", F.col("weight").alias("r")), ["source", "target"]).select("source", "target", (F.col("r") * over / 0.2).alias("penalty"))
+    rare = 1 / np.sqrt(np.array([w for _, w in often]) + 1e-8)
+    return {"rows": stored(clips), "edges": edges, "alike": alike, "rarity": rare / rare.sum(), "transition": matrix(moves), "together": matrix(g.cooccurrence_edges(rows, 3))}
+
+
 @query()
 def branch_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Twelve clips, four a task, by four branches of pooled greedy choice and one round of swaps each."""
-    ids, graph = clip_graph(spark, sf, 4)
-    found = branches.best_branch(spark, graph, sum(graph.quotas.values()), 4, rounds=1)
-    rows = [(int(b), float(v), k, int(ids[row])) for b, v, chosen in found.itertuples(index=False, name=None) for k, row in enumerate(chosen, 1)]
+    clips = clip_tables(spark, sf)
+    quotas = {r[0]: 4 for r in clips["rows"].select("task").distinct().collect()}
+    found = branch_passes.best_branch(**clips, budget=sum(quotas.values()), quotas=quotas, branches=4, rounds=1)
+    rows = [(int(b), float(v), k, int(node)) for b, v, chosen in found.itertuples(index=False, name=None) for k, node in enumerate(chosen, 1)]
     return rounded(spark.createDataFrame(rows, "branch long, objective double, selection_order long, node long"))
 
 
